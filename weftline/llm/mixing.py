@@ -109,7 +109,7 @@ def op4(docs: DataFrame) -> DataFrame:
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce('0' || source, '1') AS skey FROM documents),
 k AS (SELECT *, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS k, length(bin(size)) AS c FROM d),
-s AS (SELECT skey, sum(size)::BIGINT AS source_size, [1.0, 2.0, 3.0]::DOUBLE[][((row_number() OVER (ORDER BY skey) - 1) % 3) + 1] AS w FROM d GROUP BY skey),
+s AS (SELECT skey, sum(size)::BIGINT AS source_size, (((row_number() OVER (ORDER BY skey) - 1) % 3) + 1)::DOUBLE AS w FROM d GROUP BY skey),
 l AS (
   SELECT *, 3 * source_size / w AS stop,
          (sum(source_size) OVER () * 1.0::DOUBLE - 3 * coalesce(sum(source_size) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level

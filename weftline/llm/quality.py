@@ -110,9 +110,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
 
 def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of `docs` that pass, with the columns of `docs`."""
+    """The rows of `docs` that pass, with the columns of `docs`.
+
+    The partition number keeps the filter above the projection that computes `kept`;
+    pushed below it, the filter would evaluate all its steps inside each other.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__wl_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return judge(packed, "doc_id", "text", rules, keep=("__wl_row",)).filter("kept").select("__wl_row.*")
+    return judge(packed, "doc_id", "text", rules, keep=("__wl_row",)).withColumn("__wl_p", F.spark_partition_id()).filter("kept AND __wl_p >= 0").select("__wl_row.*")
 
 
 def op8(docs: DataFrame) -> DataFrame:
