@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import langid, mixing, packing, quality, simhash
+from weftline.llm import fingerprints, langid, mixing, packing, quality, simhash
 from weftline.llm.common import documents
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": _over_documents(langid.op1),
         "op4_source_mix": _over_documents(mixing.op4),
         "op6_best_fit_packing": _over_documents(packing.op6),
+        "op7_paragraph_sketch": _over_documents(fingerprints.op7),
         "op8_quality_rules": _over_documents(quality.op8),
         "op9_simhash_dedup": _over_documents(simhash.op9),
         "pipeline": corpus_pipeline.run,
