@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fingerprints, langid, mixing, packing, quality, simhash
+from weftline.llm import fingerprints, langid, licenses, mixing, packing, quality, simhash, tokencounts
 from weftline.llm.common import documents
 
 
@@ -20,13 +20,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": _over_documents(langid.op1),
         "op4_source_mix": _over_documents(mixing.op4),
+        "op5_license_scan": _over_documents(licenses.op5),
         "op6_best_fit_packing": _over_documents(packing.op6),
         "op7_paragraph_sketch": _over_documents(fingerprints.op7),
         "op8_quality_rules": _over_documents(quality.op8),
         "op9_simhash_dedup": _over_documents(simhash.op9),
+        "op10_edit_token_counts": _over_documents(tokencounts.op10),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.OP4_SQL, "op8_quality_rules": quality.OP8_SQL}
+    return {"op4_source_mix": mixing.OP4_SQL, "op5_license_scan": licenses.OP5_SQL, "op8_quality_rules": quality.OP8_SQL}
