@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fingerprints, langid, licenses, mixing, packing, quality, simhash, tokencounts
+from weftline.llm import fingerprints, langid, licenses, mixing, packing, quality, simhash, tokencounts, warc
 from weftline.llm.common import documents
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "op1_language_id": _over_documents(langid.op1),
+        "op3_warc_archive": warc.op3,
         "op4_source_mix": _over_documents(mixing.op4),
         "op5_license_scan": _over_documents(licenses.op5),
         "op6_best_fit_packing": _over_documents(packing.op6),
@@ -31,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.OP4_SQL, "op5_license_scan": licenses.OP5_SQL, "op8_quality_rules": quality.OP8_SQL}
+    return {"op3_warc_archive": warc.OP3_SQL, "op4_source_mix": mixing.OP4_SQL, "op5_license_scan": licenses.OP5_SQL, "op8_quality_rules": quality.OP8_SQL}
