@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fingerprints, langid, licenses, mixing, packing, quality, simhash, tokencounts, warc
+from weftline.llm import fingerprints, langid, licenses, lm, mixing, packing, quality, simhash, tokencounts, warc
 from weftline.llm.common import documents
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "op1_language_id": _over_documents(langid.op1),
+        "op2_pitman_yor_lm": _over_documents(lm.op2),
         "op3_warc_archive": warc.op3,
         "op4_source_mix": _over_documents(mixing.op4),
         "op5_license_scan": _over_documents(licenses.op5),
