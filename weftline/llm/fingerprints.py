@@ -69,30 +69,35 @@ KEYS = "array<struct<k:bigint,n:bigint>>"
 
 def peel(cells: Column, size: Column, salt: int = 0) -> Column:
     """The differing digests (k, n: 1 in the first version only, -1 in the second only), or null if peeling stops early."""
-    kinds = "struct<cells:array<struct<n:bigint,k:bigint,x:bigint>>,found:" + KEYS + ",on:boolean>"
+    table = "array<struct<n:bigint,k:bigint,x:bigint>>"
+    kinds = f"struct<t0:{table},t1:{table},t2:{table},found:{KEYS},on:boolean>"
 
-    def places(key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(r + 3 * salt)), size) + r * size for r in range(3)]
+    def keys(s: Column, sign: int) -> Column:
+        single = F.filter(F.concat(s["t0"], s["t1"], s["t2"]), lambda c: (c["n"] == sign) & (F.xxhash64(c["k"], F.lit(CHECK)) == c["x"]))
+        return F.array_distinct(F.transform(single, lambda c: c["k"]))
 
-    def round_(s: Column, _: Column) -> Column:
-        single = F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"], F.lit(CHECK)) == c["x"]))
+    def located(s: Column, sign: int) -> Column:
+        return F.transform(keys(s, sign), lambda k: F.struct(k.alias("k"), F.lit(sign).cast("long").alias("n"), F.xxhash64(k, F.lit(CHECK)).alias("x"), *[F.pmod(F.xxhash64(k, F.lit(r + 3 * salt)), size).alias(f"p{r}") for r in range(3)]))
 
-        def step(p: Column) -> Column:
-            def without(c: Column, i: Column) -> Column:
-                hit = F.filter(p, lambda e: (e["p0"] == i) | (e["p1"] == i) | (e["p2"] == i))
+    def round_(s: Column, _: Column) -> Column:
+        def without(p: Column, r: int) -> Column:
+            def cell(c: Column, i: Column) -> Column:
+                hit = F.filter(p, lambda e: e[f"p{r}"] == i)
                 return let(hit, lambda h: F.when(F.size(h) == 0, c).otherwise(F.struct((c["n"] - F.aggregate(h, F.lit(0).cast("long"), lambda a, e: a + e["n"])).alias("n"), c["k"].bitwiseXOR(_xor(h, lambda e: e["k"])).alias("k"), c["x"].bitwiseXOR(_xor(h, lambda e: e["x"])).alias("x"))))
 
+            return F.transform(s[f"t{r}"], cell).alias(f"t{r}")
+
+        def step(p: Column) -> Column:
             more = F.concat(s["found"], F.transform(p, lambda e: F.struct(e["k"].alias("k"), e["n"].alias("n"))))
-            new = F.struct(F.transform(s["cells"], without).alias("cells"), more.alias("found"), F.lit(True).alias("on"))
-            stop = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(False).alias("on"))
-            return F.when(F.size(p) == 0, stop).otherwise(new)
+            new = F.struct(*[without(p, r) for r in range(3)], more.alias("found"), F.lit(True).alias("on")).cast(kinds)
+            return F.when(F.size(p) == 0, s.withField("on", F.lit(False))).otherwise(new)
 
-        located = F.transform(F.array_distinct(F.transform(single, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), c["x"].alias("x")))), lambda e: F.struct(e["k"].alias("k"), e["n"].alias("n"), e["x"].alias("x"), *[p.alias(f"p{r}") for r, p in enumerate(places(e["k"]))]))
-        return F.when(~s["on"], s).otherwise(let(located, step)).cast(kinds)
+        return F.when(~s["on"], s).otherwise(let(F.concat(located(s, 1), located(s, -1)), step))
 
-    start = F.struct(cells.alias("cells"), F.array().cast(KEYS).alias("found"), F.lit(True).alias("on")).cast(kinds)
+    start = F.struct(*[F.slice(cells, (size * r + 1).cast("int"), size.cast("int")).alias(f"t{r}") for r in range(3)], F.array().cast(KEYS).alias("found"), F.lit(True).alias("on")).cast(kinds)
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
-    return let(end, lambda s: F.when(F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["x"] != 0)), F.lit(None)).otherwise(s["found"]))
+    rest = lambda s: F.exists(F.concat(s["t0"], s["t1"], s["t2"]), lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["x"] != 0))
+    return let(end, lambda s: F.when(rest(s), F.lit(None)).otherwise(s["found"]))
 
 
 def differing(text_a: Column, text_b: Column, cells_a: Column, cells_b: Column, n: Column) -> Column:
@@ -105,9 +110,9 @@ def differing(text_a: Column, text_b: Column, cells_a: Column, cells_b: Column,
 
     def larger(salt: int, times: float) -> Column:
         both = F.struct(entries(text_a, salt).alias("a"), entries(text_b, salt).alias("b"))
-        return let(F.ceil(n * times) + 8, lambda s: let(both, lambda e: peel(subtract(sketch(e["a"], s), sketch(e["b"], s)), s, salt)))
+        return let(F.ceil(n * times) + 6, lambda s: let(both, lambda e: peel(subtract(sketch(e["a"], s), sketch(e["b"], s)), s, salt)))
 
-    tries += [larger(1, 0.7), larger(2, 1.4)]
+    tries += [larger(1, 0.5), larger(2, 1.0)]
     keys = lambda t: F.transform(entries(t), lambda e: e["k"])
     last = F.concat(F.transform(F.array_except(keys(text_a), keys(text_b)), lambda k: F.struct(k.alias("k"), F.lit(1).cast("long").alias("n"))), F.transform(F.array_except(keys(text_b), keys(text_a)), lambda k: F.struct(k.alias("k"), F.lit(-1).cast("long").alias("n"))))
     return F.coalesce(*tries, last)
@@ -150,18 +155,16 @@ def likeness(n: Column, differ: Column) -> Column:
 
 def compare(pairs: DataFrame, others: dict[str, str], text_col: str = "text") -> DataFrame:
     """Adds fp (cells of text) and for each `name: column` in others fp_name and near_name."""
-    df = pairs.withColumn("__e", entries(F.col(text_col)))
-    df = df.withColumn("fp", sketch(F.col("__e"), F.lit(CELLS).cast("long")))
-
-    def near(name: str, other: str) -> Column:
-        differ = lambda k: F.size(differing(F.col(text_col), F.col(other), F.col("fp"), F.col(f"fp_{name}"), k))
-        return let(F.size("__e") + F.size(f"__e_{name}"), lambda k: likeness(k, differ(k))).cast("double")
-
-    for name, other in others.items():
-        df = df.withColumn(f"__e_{name}", entries(F.col(other)))
-        df = df.withColumn(f"fp_{name}", sketch(F.col(f"__e_{name}"), F.lit(CELLS).cast("long")))
-        df = df.withColumn(f"near_{name}", near(name, other))
-    return df
+    # all entries, all sketches, all comparisons: large expressions are analysed with every later step
+    texts = {"": text_col} | {f"_{name}": other for name, other in others.items()}
+    df = pairs.withColumns({f"__e{k}": entries(F.col(t)) for k, t in texts.items()})
+    df = df.withColumns({f"fp{k}": sketch(F.col(f"__e{k}"), F.lit(CELLS).cast("long")) for k in texts})
+
+    def near(k: str, other: str) -> Column:
+        differ = lambda n: F.size(differing(F.col(text_col), F.col(other), F.col("fp"), F.col(f"fp{k}"), n))
+        return let(F.size("__e") + F.size(f"__e{k}"), lambda n: let(differ(n), lambda d: likeness(n, d))).cast("double")
+
+    return df.withColumns({f"near{k}": near(k, t) for k, t in texts.items() if k})
 
 
 def op7(docs: DataFrame) -> DataFrame:
