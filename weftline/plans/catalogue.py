@@ -1,11 +1,570 @@
-"""Named queries over the tables, each with the SQL that gives the same rows."""
+"""Named queries over the tables, each with the SQL that gives the same rows (none where SQL can't express it)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from weftline.functions import scalars as S
+from weftline.functions import text as T
+from weftline.operators import checks, glossary, jobs, layout, licensing, segments, translate
+from weftline.sources import languages, tables
+from weftline.sources.tables import EVENTS_NOW, JOBS_SQL, LICENSES_SQL, NOW, PAIRS_SQL, SEGMENTS_SQL, USERS_SQL, now, table
+from weftline.streaming import state
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+TS = f"TIMESTAMP '{NOW}'"
+EVENTS_TS = f"TIMESTAMP '{EVENTS_NOW}'"
+STRIP = r"regexp_replace({}, '^[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+|[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+$', '', 'g')"
+
+
+def strip_sql(c: str) -> str:
+    return STRIP.format(c)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+# ---- terms and values that the tables lack
+
+TERMS = [("the", "le"), ("and", "et"), ("tion", "tionn"), ("der", "the"), ("que", "that"), ("en", "in"), ("x", "y")]
+TERMS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in TERMS) + ") AS g(source_term, target_term)"
+MARKED = [(1, "see ⟦T2⟧ and ⟦T10⟧ and ⟦T1⟧", "siehe ⟦T1⟧"), (2, "none", "keine"), (3, "⟦T0⟧⟦T0⟧", "⟦T0⟧"), (4, "a ⟦T3⟧", ""), (5, "no mark", "⟦T9⟧")]
+MARKED_SQL = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, a, b in MARKED) + ") AS m(id, src, tgt)"
+EDITS = [(1, None, None), (2, "", "x"), (3, "e", "x"), (4, None, "x"), (5, "e", None), (6, "", None)]
+EDITS_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in EDITS) + ") AS e(id, edited, translated)"
+PROTECTED_EXAMPLES = [
+    "see https://example.org/a?b=c#d now", "mail élan.x@exämple.org", "hello {{name}}", "pay ${amount}", "<%= user %> in", "on 2024-01-02T03:04:05Z", "use v1.2.3-rc1 or v2.0", "<b>bold</b> text",
+    "https://e.org {{x}} ${y} <%= z %> 2024-01-02 v1.0 <i>a@b.com</i>", "⟦T0⟧ and https://e.org", "", "plain",
+]
+
+
+def terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TERMS, "source_term string, target_term string")
+
+
+# ---- flagship
+
+
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags and flagged segments by type when documents' lines come back untranslated."""
+    s = segments.identify(segments.number(tables.segments(spark, sf_dir)))
+    answers = segments.distinct_texts(s).select("job_id", "text", F.col("text").alias("translated_text"))
+    s = segments.spread(s, answers).select("job_id", "seq", F.col("text").alias("source_text"), "translated_text")
+    found = checks.flags(s, terms(spark))
+    return found.groupBy("flag_type").agg(F.count(F.lit(1)).alias("flags"), F.count_distinct("job_id", "seq").alias("segments"))
+
+
+NUMBERED_SQL = f"(SELECT job_id, text, row_number() OVER (PARTITION BY job_id ORDER BY line) - 1 AS seq FROM {SEGMENTS_SQL} WHERE {strip_sql('text')} <> '')"
+query(f"""
+WITH s AS {NUMBERED_SQL},
+f AS (
+  SELECT 'llm_refusal' AS flag_type, job_id, seq FROM s WHERE length(text) > 8 AND regexp_matches(text, '[^\\x00-\\x7F]')
+  UNION ALL SELECT 'glossary_violation', job_id, seq FROM s, {TERMS_SQL} WHERE length(target_term) >= 2 AND contains(lower(text), lower(source_term)) AND NOT contains(lower(text), lower(target_term)))
+SELECT flag_type, count(*) AS flags, count(DISTINCT (job_id, seq)) AS segments FROM f GROUP BY flag_type
+""")(quality_report)
+
+
+# ---- jobs and pages
+
+
+@query(f"SELECT id, user_id, status, created_at FROM {JOBS_SQL} ORDER BY created_at DESC, id DESC LIMIT 50")
+def recent_jobs_top50(spark, d):
+    return jobs.recent(tables.jobs(spark, d).select("id", "user_id", "status", "created_at"))
+
+
+@query(f"SELECT l.id, tier, status, issued_at, coalesce(u.email, customer_id::VARCHAR) AS owner FROM {LICENSES_SQL} l LEFT JOIN {USERS_SQL} u ON u.id = l.customer_id WHERE tier = 'PRO' AND (key_hash ILIKE '%ab%' OR customer_id::VARCHAR ILIKE '%ab%') AND issued_at >= TIMESTAMP '1996-01-01' AND issued_at <= TIMESTAMP '2000-01-01' ORDER BY issued_at DESC NULLS FIRST, l.id LIMIT 25 OFFSET 25")
+def jobs_paged_search(spark, d):
+    found = licensing.search(tables.licenses(spark, d), tier="PRO", text="ab", since=now("1996-01-01 00:00:00"), until=now("2000-01-01 00:00:00"))
+    return licensing.with_owner(licensing.page(found, 2, 25), tables.users(spark, d)).select("id", "tier", "status", "issued_at", "owner")
+
+
+@query(f"SELECT count(*) AS total FROM {LICENSES_SQL} WHERE status = 'ACTIVE' AND issued_at >= TIMESTAMP '1996-01-01'")
+def filtered_total(spark, d):
+    return licensing.search(tables.licenses(spark, d), status="ACTIVE", since=now("1996-01-01 00:00:00")).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query(f"SELECT id, tier, status FROM {LICENSES_SQL} ORDER BY list_position(['TRIAL', 'PRO', 'ENTERPRISE'], tier), id LIMIT 40 OFFSET 4480")
+def enum_rank_sort_page(spark, d):
+    return licensing.page(tables.licenses(spark, d), 113, 40, "tier", "asc").select("id", "tier", "status")
+
+
+@query(f"SELECT id, expired_at FROM {LICENSES_SQL} ORDER BY expired_at DESC NULLS FIRST, id LIMIT 60 OFFSET 270")
+def null_order_page(spark, d):
+    return licensing.page(tables.licenses(spark, d), 10, 30, "expired_at", "desc").select("id", "expired_at").union(licensing.page(tables.licenses(spark, d), 11, 30, "expired_at", "desc").select("id", "expired_at"))
+
+
+@query(f"SELECT l.id, coalesce(u.email, l.customer_id::VARCHAR) AS owner, '****-****-****-' || upper(right(key_hash, 4)) AS key FROM {LICENSES_SQL} l LEFT JOIN {USERS_SQL} u ON u.id = l.customer_id AND u.is_active")
+def owner_email_left_join(spark, d):
+    out = licensing.with_owner(tables.licenses(spark, d), tables.users(spark, d).filter("is_active"))
+    return out.select("id", "owner", T.mask_key(F.col("key_hash")).alias("key"))
+
+
+@query(f"SELECT id, CASE tier WHEN 'TRIAL' THEN 'starter' WHEN 'PRO' THEN 'professional' WHEN 'ENTERPRISE' THEN 'enterprise' ELSE 'unknown' END AS tier, lower(status) AS status, '****-****-****-' || upper(right(key_hash, 4)) AS key FROM {LICENSES_SQL}")
+def license_listing(spark, d):
+    return licensing.listing(tables.licenses(spark, d))
+
+
+@query(f"SELECT id, email, CASE WHEN id = 7 THEN 'owner' ELSE 'member' END AS role FROM {USERS_SQL} WHERE id = 7 OR workspace_id = 7")
+def workspace_members(spark, d):
+    return jobs.members(tables.users(spark, d), 7)
+
+
+@query(f"SELECT count(*) AS admins FROM {USERS_SQL} WHERE is_superuser AND is_active")
+def active_admins(spark, d):
+    return tables.users(spark, d).agg(F.count_if(F.col("is_superuser") & F.col("is_active")).alias("admins"))
+
+
+@query(f"SELECT user_id, count(*) AS jobs, count(*) FILTER (status = 'done') AS done FROM {JOBS_SQL} GROUP BY user_id")
+def jobs_by_user(spark, d):
+    return tables.jobs(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("status") == "done").alias("done"))
+
+
+@query(f"SELECT u.id FROM {USERS_SQL} u WHERE NOT EXISTS (SELECT 1 FROM {JOBS_SQL} j WHERE j.user_id = u.id)")
+def users_without_jobs(spark, d):
+    j = tables.jobs(spark, d).select("user_id")
+    return tables.users(spark, d).join(j, F.col("id") == F.col("user_id"), "left_anti").select("id")
+
+
+@query(f"SELECT strftime(m, '%Y-%m') AS month, count(j.id) AS jobs, (count(j.id) * 1200)::BIGINT AS words FROM (SELECT (date_trunc('month', {TS}) - to_months(i::INTEGER))::DATE AS m FROM range(6) r(i)) LEFT JOIN (SELECT * FROM {JOBS_SQL} WHERE status = 'done') j ON date_trunc('month', j.created_at)::DATE = m GROUP BY m")
+def monthly_chart(spark, d):
+    return jobs.monthly(tables.jobs(spark, d), now())
+
+
+@query(f"""
+WITH j AS {JOBS_SQL}, l AS {LICENSES_SQL}, u AS {USERS_SQL},
+e AS (SELECT *, epoch_us({TS}) - epoch_us(created_at) AS us FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS n FROM j) WHERE n <= 10 AND status IN ('done', 'failed')),
+a AS (
+  SELECT user_id, 'job_' || status AS kind, id::VARCHAR AS ref,
+    CASE WHEN floor(us / 1e6) < 60 THEN 'just now' WHEN floor(us / 1e6) < 3600 THEN trunc(floor(us / 1e6) / 60)::BIGINT || 'm ago' WHEN floor(us / 1e6) < 86400 THEN trunc(floor(us / 1e6) / 3600)::BIGINT || 'h ago' ELSE trunc(floor(us / 1e6) / 86400)::BIGINT || 'd ago' END AS age FROM e
+  UNION ALL SELECT customer_id, 'license_expiring', id::VARCHAR, floor((epoch_us(expired_at) - epoch_us({TS})) / 1e6 / 86400)::BIGINT || ' days left' FROM l WHERE status = 'ACTIVE' AND expired_at <= {TS} + INTERVAL 7 DAY
+  UNION ALL SELECT id, 'no_license', '', '' FROM u WHERE id NOT IN (SELECT customer_id FROM l WHERE status = 'ACTIVE')),
+r AS (SELECT *, CASE WHEN kind IN ('license_expiring', 'no_license') THEN 0 WHEN age LIKE '%m ago' THEN 1 WHEN age LIKE '%h ago' THEN 2 WHEN age LIKE '%d ago' THEN 3 ELSE 4 END AS rank FROM a)
+SELECT user_id, kind, ref, age, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank, age, kind, ref) AS place FROM r) WHERE place <= 10
+""")
+def notifications_top10(spark, d):
+    return jobs.notifications(tables.jobs(spark, d), tables.licenses(spark, d), tables.users(spark, d), now())
+
+
+@query(f"SELECT id, CASE WHEN tier IS NULL THEN 'no_license' WHEN scanned AND tier = 'TRIAL' THEN 'ocr_not_allowed' WHEN has_glossary AND tier = 'TRIAL' THEN 'glossary_not_allowed' WHEN declared > CASE tier WHEN 'TRIAL' THEN 5242880 WHEN 'PRO' THEN 52428800 ELSE 104857600 END THEN 'too_large' WHEN ext NOT IN ('docx', 'pptx', 'pdf') THEN 'bad_format' WHEN target = 'auto' THEN 'bad_target' WHEN tier = 'TRIAL' AND used >= 10 THEN 'quota' END AS error FROM (SELECT id, CASE WHEN id % 13 = 0 THEN NULL ELSE tier END AS tier, id % 4 = 0 AS scanned, id % 5 = 0 AS has_glossary, id * 10007 AS declared, CASE id % 7 WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' ELSE 'docx' END AS ext, CASE WHEN id % 11 = 0 THEN 'auto' ELSE 'en' END AS target, (id % 17)::BIGINT AS used FROM {LICENSES_SQL})")
+def admission_first_failure(spark, d):
+    i = F.col("id")
+    up = tables.licenses(spark, d).select("id", F.when(i % 13 != 0, F.col("tier")).alias("tier"), (i % 4 == 0).alias("scanned"), (i % 5 == 0).alias("has_glossary"), (i * 10007).alias("declared"), F.when(i % 7 == 0, "txt").when(i % 7 == 1, "pdf").otherwise("docx").alias("ext"), F.when(i % 11 == 0, "auto").otherwise("en").alias("target"), (i % 17).alias("used"))
+    return jobs.admission(up, languages.TARGETS).select("id", "error")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'locked' WHEN event_id % 5 = 0 THEN 'bad_credentials' WHEN event_id % 7 = 0 THEN 'inactive' WHEN event_id % 11 = 0 THEN 'unverified' ELSE 'ok' END AS outcome FROM events")
+def login_outcomes(spark, d):
+    i = F.col("event_id")
+    a = tables.events(spark, d).select("event_id", (i % 3 == 0).alias("locked"), (i % 5 != 0).alias("password_ok"), (i % 7 != 0).alias("is_active"), (i % 11 != 0).alias("verified"))
+    return jobs.login(a).select("event_id", "outcome")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS events FROM events GROUP BY user_id")
+def audit_latest_state(spark, d):
+    return jobs.latest_state(tables.events(spark, d), "user_id", "event_type", ["ts", "event_id"])
+
+
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase') WHERE n = 1")
+def activation_winner(spark, d):
+    return licensing.first_by_key(tables.events(spark, d).filter("event_type = 'purchase'"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "ts")
+
+
+@query("WITH k AS (SELECT *, CASE WHEN event_id % 9 <> 0 THEN (event_id * 7) % 500 END AS key FROM events) SELECT event_id, key FROM k WHERE key IS NULL UNION ALL SELECT event_id, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM k WHERE key IS NOT NULL) WHERE n = 1")
+def idempotent_first(spark, d):
+    i = F.col("event_id")
+    return licensing.first_by_key(tables.events(spark, d).withColumn("key", F.when(i % 9 != 0, (i * 7) % 500)), "key", ["ts", "event_id"]).select("event_id", "key")
+
+
+@query(f"SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN trunc(s / 60)::BIGINT || 'm ago' WHEN s < 86400 THEN trunc(s / 3600)::BIGINT || 'h ago' ELSE trunc(s / 86400)::BIGINT || 'd ago' END AS age FROM (SELECT event_id, floor((epoch_us({EVENTS_TS}) - epoch_us(ts)) / 1e6) AS s FROM events WHERE ts <= {EVENTS_TS})")
+def relative_age(spark, d):
+    at = now(EVENTS_NOW)
+    return tables.events(spark, d).filter(F.col("ts") <= at).select("event_id", S.relative_age(F.col("ts"), at).alias("age"))
+
+
+@query("SELECT user_id, batch, so_far, so_far / total AS share FROM (SELECT user_id, batch, sum(done) OVER (PARTITION BY user_id ORDER BY batch) AS so_far, sum(done) OVER (PARTITION BY user_id) AS total FROM (SELECT user_id, date_trunc('day', ts)::DATE AS batch, count(*) AS done FROM events GROUP BY ALL))")
+def running_progress(spark, d):
+    b = tables.events(spark, d).groupBy(F.col("user_id").alias("job_id"), F.to_date("ts").alias("batch")).agg(F.count(F.lit(1)).alias("done"))
+    b = b.withColumn("total", F.sum("done").over(Window.partitionBy("job_id")))
+    return jobs.progress(b).select(F.col("job_id").alias("user_id"), "batch", "so_far", "share")
+
+
+@query("SELECT t.event_type, count(e.event_id) AS events, count(DISTINCT e.user_id) AS users FROM (VALUES ('click'), ('error'), ('purchase'), ('refund'), ('view')) t(event_type) LEFT JOIN events e USING (event_type) GROUP BY t.event_type")
+def facet_zero_fill(spark, d):
+    kinds = spark.createDataFrame([(k,) for k in ("click", "error", "purchase", "refund", "view")], "event_type string")
+    n = tables.events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"))
+    return kinds.join(n, "event_type", "left").select("event_type", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("users", F.lit(0)).alias("users"))
+
+
+@query("SELECT user_id, session, count(*) AS fails, min(ts) AS started, max(ts) AS ended FROM (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events WHERE event_type = 'error')) GROUP BY user_id, session")
+def lockout_sessions(spark, d):
+    return jobs.fail_sessions(tables.events(spark, d).filter("event_type = 'error'"), 86400)
+
+
+# ---- licences
+
+
+@query(f"SELECT u.id, CASE WHEN is_superuser THEN 'ENTERPRISE' ELSE (SELECT CASE max(list_position(['TRIAL', 'PRO', 'ENTERPRISE'], tier)) WHEN 1 THEN 'TRIAL' WHEN 2 THEN 'PRO' WHEN 3 THEN 'ENTERPRISE' END FROM {LICENSES_SQL} l WHERE l.customer_id = u.id AND status = 'ACTIVE') END AS tier FROM {USERS_SQL} u")
+def best_tier(spark, d):
+    return licensing.entitlement(tables.users(spark, d), tables.licenses(spark, d))
+
+
+@query(f"SELECT u.id AS user_id, count(j.id) AS used FROM {USERS_SQL} u LEFT JOIN (SELECT * FROM {JOBS_SQL} WHERE created_at >= date_trunc('month', {TS}) AND created_at <= {TS}) j ON j.user_id = u.id GROUP BY u.id")
+def monthly_quota(spark, d):
+    return licensing.quota(tables.users(spark, d), tables.jobs(spark, d), now())
+
+
+@query(f"""
+WITH t AS (SELECT u.id, CASE WHEN is_superuser THEN 3 ELSE max(list_position(['TRIAL', 'PRO', 'ENTERPRISE'], l.tier)) END AS r FROM {USERS_SQL} u LEFT JOIN (SELECT * FROM {LICENSES_SQL} WHERE status = 'ACTIVE') l ON l.customer_id = u.id GROUP BY u.id, is_superuser),
+q AS (SELECT user_id, count(*) AS used FROM {JOBS_SQL} WHERE created_at >= date_trunc('month', {TS}) AND created_at <= {TS} GROUP BY user_id)
+SELECT t.id, ['TRIAL', 'PRO', 'ENTERPRISE'][r] AS tier, coalesce(used, 0) AS used, CASE r WHEN 1 THEN 5242880 WHEN 2 THEN 52428800 WHEN 3 THEN 104857600 END AS max_bytes, CASE r WHEN 1 THEN 10 END AS quota, CASE r WHEN 1 THEN greatest(0, 10 - coalesce(used, 0)) END AS left FROM t LEFT JOIN q ON q.user_id = t.id
+""".replace(" AS left", ' AS "left"'))
+def entitlement_summary(spark, d):
+    return licensing.summary(tables.users(spark, d), tables.licenses(spark, d), tables.jobs(spark, d), now()).withColumn("left", F.when(F.col("quota").isNotNull(), F.col("left")))
+
+
+@query(f"SELECT id, CASE WHEN status = 'ACTIVE' AND expired_at < {TS} THEN 'EXPIRED' ELSE status END AS status FROM {LICENSES_SQL}")
+def expiry_reconcile(spark, d):
+    return licensing.reconcile(tables.licenses(spark, d), now())["licenses"].select("id", "status")
+
+
+@query(f"SELECT count(*) AS expired, ceil(count(*) / 500)::BIGINT AS batches FROM {LICENSES_SQL} WHERE status = 'ACTIVE' AND expired_at < {TS}")
+def reconcile_summary(spark, d):
+    return licensing.reconcile(tables.licenses(spark, d), now())["summary"]
+
+
+@query(f"SELECT id AS license_id, 'expired' AS event_type, status AS previous FROM {LICENSES_SQL} WHERE status = 'ACTIVE' AND expired_at < {TS}")
+def expiry_audit(spark, d):
+    return licensing.reconcile(tables.licenses(spark, d), now())["audit"]
+
+
+@query(f"SELECT id AS license_id, floor((epoch_us(expired_at) - epoch_us({TS})) / 1e6 / 86400)::BIGINT AS days_left FROM {LICENSES_SQL} WHERE status = 'ACTIVE' AND expired_at > {TS} AND expired_at <= {TS} + INTERVAL 7 DAY")
+def expiry_warnings(spark, d):
+    return licensing.reconcile(tables.licenses(spark, d), now())["warnings"]
+
+
+@query(f"SELECT id, status = 'ACTIVE' AND (expired_at IS NULL OR expired_at > {TS}) AS valid, greatest(0, floor((epoch_us(expired_at) - epoch_us({TS})) / 1e6))::BIGINT AS ttl FROM {LICENSES_SQL}")
+def license_validity(spark, d):
+    return tables.licenses(spark, d).select("id", S.license_valid(F.col("status"), F.col("expired_at"), now()).alias("valid"), F.when(F.col("expired_at").isNull(), 0).otherwise(S.ttl_seconds(F.col("expired_at"), now())).cast("long").alias("ttl"))
+
+
+IDS = list(range(1, 400, 3))
+IDS_SQL = "id IN (" + ", ".join(map(str, IDS)) + ")"
+
+
+@query(f"WITH h AS (SELECT id, status, CASE status WHEN 'ACTIVE' THEN 'ok' WHEN 'SUSPENDED' THEN 'conflict' ELSE 'bad_state' END AS outcome FROM {LICENSES_SQL} WHERE {IDS_SQL}) SELECT id, outcome, CASE WHEN (SELECT bool_or(outcome <> 'ok') FROM h) THEN status ELSE 'SUSPENDED' END AS status FROM h")
+def bulk_suspend(spark, d):
+    return licensing.suspend(tables.licenses(spark, d), IDS)
+
+
+@query(f"SELECT id, CASE status WHEN 'REVOKED' THEN 'conflict' ELSE 'ok' END AS outcome, status AS previous, 'REVOKED' AS status FROM {LICENSES_SQL} WHERE {IDS_SQL}")
+def bulk_revoke(spark, d):
+    return licensing.revoke(tables.licenses(spark, d), IDS)
+
+
+@query(f"SELECT id, 'ok' AS outcome, TIMESTAMP '1999-01-01' AS expired_at, floor((epoch_us(TIMESTAMP '1999-01-01') - epoch_us({TS})) / 1e6)::BIGINT AS ttl FROM {LICENSES_SQL} WHERE {IDS_SQL}")
+def bulk_extend(spark, d):
+    return licensing.extend(tables.licenses(spark, d), IDS, now("1999-01-01 00:00:00"), now())
+
+
+@query(f"""
+WITH a AS (SELECT (event_id % 997) + 1 AS license_id, user_id AS device, ts FROM events),
+f AS (SELECT license_id, arg_min(device, (ts, device)) AS winner FROM a GROUP BY license_id)
+SELECT f.license_id, CASE status WHEN 'PENDING' THEN winner END AS winner, CASE status WHEN 'PENDING' THEN 'ok' ELSE 'bad_state' END AS outcome,
+  CASE status WHEN 'PENDING' THEN coalesce(expired_at, {TS} + to_days(CASE tier WHEN 'TRIAL' THEN 30 WHEN 'PRO' THEN 365 ELSE 730 END)) ELSE expired_at END AS expired_at
+FROM f JOIN {LICENSES_SQL} l ON l.id = f.license_id
+""")
+def activate_licenses(spark, d):
+    a = tables.events(spark, d).select((F.col("event_id") % 997 + 1).alias("license_id"), F.col("user_id").alias("device"), "ts")
+    return licensing.activate(tables.licenses(spark, d), a, now())
+
+
+# ---- segments
+
+
+@query(f"SELECT job_id, seq, 'para.' || seq AS position, substr(sha256(text || chr(0) || 'para.' || seq), 1, 16) AS segment_id, regexp_full_match({strip_sql('text')}, '[0-9]+') AS passthrough FROM {NUMBERED_SQL}")
+def segments_explode_ids(spark, d):
+    s = segments.identify(segments.number(tables.segments(spark, d)))
+    return s.select("job_id", "seq", "position", "segment_id", T.is_passthrough(F.col("text")).alias("passthrough"))
+
+
+DISTINCT_SQL = f"(SELECT job_id, text, min(seq) AS first_seq, count(*) AS copies, row_number() OVER (PARTITION BY job_id ORDER BY min(seq)) - 1 AS ordinal FROM {NUMBERED_SQL} GROUP BY job_id, text)"
+
+
+@query(f"SELECT s.job_id, s.seq, d.ordinal, d.copies FROM {NUMBERED_SQL} s JOIN {DISTINCT_SQL} d USING (job_id, text)")
+def segment_dedup_broadcast(spark, d):
+    s = segments.number(tables.segments(spark, d))
+    return segments.spread(s, segments.distinct_texts(s)).select("job_id", "seq", "ordinal", "copies")
+
+
+@query(f"SELECT job_id, (ordinal // 10)::INTEGER AS batch, count(*) AS texts, sum(length(text))::BIGINT AS chars FROM {DISTINCT_SQL} GROUP BY ALL")
+def fixed_chunks(spark, d):
+    c = segments.chunks(segments.distinct_texts(segments.number(tables.segments(spark, d))))
+    return c.groupBy("job_id", "batch").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"""
+WITH RECURSIVE s AS MATERIALIZED (SELECT job_id, seq, ceil(length(text) / 4)::INTEGER AS tokens FROM {NUMBERED_SQL}),
+e AS (SELECT job_id, max(tokens) > 7000 AS too_long FROM s GROUP BY job_id),
+r(job_id, seq, tokens, batch, t) AS (
+  SELECT job_id, seq, tokens, 0, tokens FROM s WHERE seq = 0
+  UNION ALL SELECT s.job_id, s.seq, s.tokens, CASE WHEN r.t > 0 AND r.t + s.tokens > 600 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.t > 0 AND r.t + s.tokens > 600 THEN s.tokens ELSE r.t + s.tokens END
+  FROM r JOIN s ON s.job_id = r.job_id AND s.seq = r.seq + 1)
+SELECT job_id, seq::INTEGER AS seq, tokens, CASE WHEN NOT too_long THEN batch END AS batch FROM r JOIN e USING (job_id)
+""")
+def greedy_token_batches(spark, d):
+    return segments.greedy_batches(segments.number(tables.segments(spark, d)), T.token_estimate(F.col("text")), budget=600)
+
+
+@query("SELECT user_id, min(place) AS first, count(*) AS size, event_type FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, row_number() OVER w - 1 AS place, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, island, event_type")
+def run_islands(spark, d):
+    return segments.islands(tables.events(spark, d), ["event_type"], ["ts", "event_id"], "user_id").select("user_id", "first", "size", "event_type")
+
+
+# ---- checks
+
+
+@query(f"SELECT job_id, seq, length(translated_text) / length(source_text) AS expansion_ratio, CASE role WHEN 0 THEN 2.0 ELSE 1.5 END::DOUBLE AS threshold FROM (SELECT *, job_id % 2 AS role FROM {PAIRS_SQL})")
+def expansion_ratio(spark, d):
+    p = tables.pairs(spark, d).withColumns({"source_lang": F.lit("en"), "target_lang": F.when(F.col("job_id") % 2 == 0, "de").otherwise("fr")})
+    limits = spark.createDataFrame([("en", "de", 2.0)], "source_lang string, target_lang string, threshold double")
+    return checks.ratios(p, limits).select("job_id", "seq", "expansion_ratio", "threshold")
+
+
+FLAGS_SQL = f"""(
+  SELECT job_id, seq, 'overflow' AS flag_type, 'ratio above threshold' AS details FROM {PAIRS_SQL} WHERE length(source_text) > 0 AND length(translated_text) / length(source_text) > 1.5
+  UNION ALL SELECT job_id, seq, 'glossary_violation', source_term FROM {PAIRS_SQL}, {TERMS_SQL} WHERE length(target_term) >= 2 AND contains(lower(source_text), lower(source_term)) AND NOT contains(lower(translated_text), lower(target_term))
+  UNION ALL SELECT job_id, seq, 'placeholder_mismatch', '' FROM {PAIRS_SQL} WHERE len(list_filter(regexp_extract_all(source_text, '⟦T[0-9]+⟧'), lambda x: NOT contains(translated_text, x))) > 0
+  UNION ALL SELECT job_id, seq, 'llm_refusal', 'unchanged' FROM {PAIRS_SQL} WHERE {strip_sql('source_text')} = {strip_sql('translated_text')} AND length(source_text) > 8 AND regexp_matches(source_text, '[^\\x00-\\x7F]'))"""
+
+
+def _flags(spark, d):
+    return checks.flags(tables.pairs(spark, d), terms(spark))
+
+
+@query(f"SELECT job_id, seq, flag_type, 'warn' AS severity, details FROM {FLAGS_SQL}")
+def quality_flags(spark, d):
+    return _flags(spark, d)
+
+
+@query(f"SELECT flag_type, count(*) AS flags FROM {FLAGS_SQL} GROUP BY flag_type")
+def flag_facets_flags(spark, d):
+    return checks.facets(_flags(spark, d))
+
+
+@query("SELECT t.flag_type, count(DISTINCT (f.job_id, f.seq)) FILTER (f.job_id IS NOT NULL) AS segments FROM (VALUES " + ", ".join(f"('{k}')" for k in checks.FLAG_TYPES) + f") t(flag_type) LEFT JOIN {FLAGS_SQL} f USING (flag_type) GROUP BY t.flag_type")
+def flag_facets_segments(spark, d):
+    return checks.segment_facets(_flags(spark, d))
+
+
+@query(f"SELECT p.job_id, p.seq, count(f.flag_type) AS n_flags FROM {PAIRS_SQL} p LEFT JOIN {FLAGS_SQL} f ON f.job_id = p.job_id AND f.seq = p.seq GROUP BY ALL")
+def segments_with_flags(spark, d):
+    return checks.with_flags(tables.pairs(spark, d), _flags(spark, d)).select("job_id", "seq", F.size("flags").cast("long").alias("n_flags"))
+
+
+@query(f"SELECT job_id, seq FROM {PAIRS_SQL} p WHERE EXISTS (SELECT 1 FROM {FLAGS_SQL} f WHERE f.job_id = p.job_id AND f.seq = p.seq AND f.flag_type = 'overflow')")
+def segments_by_flag(spark, d):
+    return checks.flagged(tables.pairs(spark, d), _flags(spark, d), "overflow").select("job_id", "seq")
+
+
+@query(f"SELECT source_term, count(*) AS segments, count(DISTINCT job_id) AS jobs FROM {SEGMENTS_SQL}, {TERMS_SQL} WHERE contains(lower(text), lower(source_term)) GROUP BY source_term")
+def glossary_violations(spark, d):
+    hits = checks.term_hits(tables.segments(spark, d), terms(spark), "text")
+    return hits.groupBy("source_term").agg(F.count(F.lit(1)).alias("segments"), F.count_distinct("job_id").alias("jobs"))
+
+
+@query(f"SELECT id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(src, '⟦T[0-9]+⟧')), lambda x: NOT list_contains(regexp_extract_all(tgt, '⟦T[0-9]+⟧'), x))), ',') AS missing FROM {MARKED_SQL}")
+def placeholder_missing(spark, d):
+    m = spark.createDataFrame(MARKED, "id int, src string, tgt string")
+    return m.select("id", F.array_join(T.missing_marks(F.col("src"), F.col("tgt")), ",").alias("missing"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '</?[a-zA-Z][^>]*>')) AS tags, len(regexp_extract_all(html, 'https?://[^\\s]+')) AS urls, len(regexp_extract_all(html, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS dates FROM pages")
+def protected_markup(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", F.regexp_count("html", F.lit(T.PROTECTED[7])).cast("long").alias("tags"), F.regexp_count("html", F.lit(T.PROTECTED[0])).cast("long").alias("urls"), F.regexp_count("html", F.lit(r"\d{4}-\d{2}-\d{2}")).cast("long").alias("dates"))
+
+
+@query(f"SELECT id, coalesce(edited, translated, '') AS exported, coalesce(nullif(edited, ''), translated) AS redo FROM {EDITS_SQL}")
+def effective_text(spark, d):
+    e = spark.createDataFrame(EDITS, "id int, edited string, translated string")
+    return e.select("id", translate.effective_text("edited", "translated").alias("exported"), translate.effective_source("edited", "translated").alias("redo"))
+
+
+
+@query(f"SELECT source_term, row_num FROM (SELECT *, row_number() OVER (PARTITION BY source_term ORDER BY row_num) AS n FROM (SELECT source_term, doc_id * 100000 + row_num AS row_num FROM (SELECT doc_id, unnest(range(0, len(w)))::BIGINT AS row_num, unnest(w) AS source_term FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))) WHERE n = 1 AND source_term NOT IN ('the', 'and', 'que', 'der')")
+def terms_import_first_wins(spark, d):
+    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "source_term"))
+    rows = w.select("source_term", (F.col("doc_id") * 100000 + F.col("p")).alias("row_num"))
+    have = spark.createDataFrame([(x,) for x in ("the", "and", "que", "der")], "source_term string")
+    return glossary.import_terms(have, rows).select("source_term", "row_num")
+
+
+@query("WITH w AS (SELECT unnest(string_split(text, ' ')) AS t FROM documents), n AS (SELECT count(DISTINCT t) FILTER (t NOT IN ('the', 'and')) AS imported, count(*) AS n FROM w) SELECT imported, n - imported AS skipped_duplicates FROM n")
+def terms_import_summary(spark, d):
+    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "source_term"))
+    have = spark.createDataFrame([("the",), ("and",)], "source_term string")
+    return glossary.import_summary(have, w.select("source_term", (F.col("doc_id") * 100000 + F.col("p")).alias("row_num")))
+
+
+@query(f"SELECT job_id, seq, CASE WHEN r <= 1 THEN 'none' WHEN 1 / r >= 0.7 THEN 'auto_adjusted' ELSE 'overflow' END AS outcome FROM (SELECT job_id, seq, length(translated_text) / greatest(length(source_text), 1) AS r FROM {PAIRS_SQL})")
+def shrink_overflow(spark, d):
+    return tables.pairs(spark, d).select("job_id", "seq", S.shrink(F.col("source_text"), F.col("translated_text"), F.lit(10)).alias("outcome"))
+
+
+# ---- layout
+
+
+@query("SELECT l_orderkey, arg_max(size, (n, -size)) AS body_size FROM (SELECT l_orderkey, round(l_quantity * 2) / 2 AS size, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
+def body_size_mode(spark, d):
+    return layout.body_size(table(spark, d, "lineitem"), "l_orderkey", "l_quantity")
+
+
+@query("SELECT l_orderkey, arg_max(f, (chars, -first)) AS font FROM (SELECT l_orderkey, l_returnflag || l_linestatus AS f, sum(l_partkey) AS chars, min(l_suppkey) AS first FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
+def weighted_argmax(spark, d):
+    s = table(spark, d, "lineitem").withColumn("font", F.concat("l_returnflag", "l_linestatus"))
+    return layout.body_font(s, "l_orderkey", "font", "l_partkey", "l_suppkey")
+
+
+@query("WITH g AS (SELECT user_id, event_id, value, (epoch_us(ts) / 1e6)::DOUBLE - lag((epoch_us(ts) / 1e6)::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), m AS (SELECT user_id, median(gap) AS median_gap FROM g WHERE gap > 0 GROUP BY user_id) SELECT user_id, event_id, gap, median_gap, coalesce(gap > 1.2 * median_gap, false) AS is_break FROM g LEFT JOIN m USING (user_id)")
+def median_gap_breaks(spark, d):
+    e = tables.events(spark, d).withColumn("y", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return layout.line_breaks(e, "user_id", "y", ["ts", "event_id"]).select("user_id", "event_id", "gap", "median_gap", "is_break")
+
+
+@query("SELECT p_brand, list_transform(range(0, 20), lambda i: coalesce(list_sum(list_transform(b, lambda x: (x = i)::INTEGER)), 0)::BIGINT) AS bins FROM (SELECT p_brand, list(least(19, floor(p_size / 2.5))) AS b FROM part GROUP BY p_brand)")
+def histogram_bins(spark, d):
+    p = table(spark, d, "part").select("p_brand", F.col("p_size").cast("double").alias("x"), F.lit(50.0).alias("w"))
+    return layout.midpoint_bins(p, "p_brand", "x", "x", "w").select("p_brand", F.transform("bins", lambda x: x.cast("long")).alias("bins"))
+
+
+@query("WITH b AS (SELECT label, least(19, greatest(0, floor((embedding[1] + 1) * 10)))::INTEGER AS bin FROM embeddings), f AS (SELECT label, bin, lead(bin) OVER (PARTITION BY label ORDER BY bin) AS next FROM (SELECT DISTINCT label, bin FROM b)) SELECT label, coalesce(array_to_string(list(((bin + 1 + next) // 2)::VARCHAR ORDER BY bin) FILTER (next - bin - 1 >= 1), ','), '') AS gaps, count(*) FILTER (next IS NULL OR next > bin + 1) AS peaks FROM f GROUP BY label")
+def histogram_gaps(spark, d):
+    e = table(spark, d, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("float").alias("x"), F.lit(20.0).alias("w"))
+    b = layout.midpoint_bins(e.withColumn("m", (F.col("x") + 1) * 10), "label", "m", "m", "w")
+    return b.select("label", F.array_join(segments.histogram_gaps(F.col("bins"), 1), ",").alias("gaps"), segments.peaks(F.col("bins")).cast("long").alias("peaks"))
+
+
+@query("SELECT doc_id, CASE WHEN h < 14.4 THEN least(w / (n * 12 * 0.5), h / 14.4) ELSE sqrt(w * h / (n * 12 * 12 * 0.6)) END AS scale FROM (SELECT doc_id, length(text) AS n, 100.0::DOUBLE + doc_id % 400 AS w, 5.0::DOUBLE + doc_id % 300 AS h FROM documents WHERE length(text) > 0)")
+def fit_scale(spark, d):
+    doc = table(spark, d, "documents").filter(F.length("text") > 0)
+    return doc.select("doc_id", S.fit_scale(F.length("text"), 100.0 + F.col("doc_id") % 400, 5.0 + F.col("doc_id") % 300, F.lit(12.0)).alias("scale"))
+
+
+@query(f"""
+WITH b AS (SELECT job_id, seq, source_text, translated_text, 15.0::DOUBLE + job_id % 300 AS w, 4.0::DOUBLE + (job_id * 7 + seq) % 200 AS h, job_id % 9 = 0 AS img, CASE WHEN job_id % 10 = 0 THEN 'math_passthrough' ELSE 'text' END AS kind FROM {PAIRS_SQL}),
+s AS (SELECT *, CASE WHEN length(translated_text) = 0 THEN 1.0 WHEN h < 14.4 THEN least(w / (length(translated_text) * 12 * 0.5), h / 14.4) ELSE sqrt(w * h / (length(translated_text) * 12 * 12 * 0.6)) END AS scale FROM b),
+r AS (SELECT *, CASE WHEN kind = 'math_passthrough' THEN 'math' WHEN {strip_sql('source_text')} = {strip_sql('translated_text')} THEN 'identity' WHEN h < 6 OR w < 20 THEN 'too_small' WHEN scale < 0.15 THEN 'too_dense' WHEN img THEN 'image_collision' END AS reason FROM s)
+SELECT job_id, seq, CASE WHEN reason IS NULL THEN 'insert' ELSE 'skip' END AS action, reason, CASE WHEN reason IS NULL THEN greatest(0.15, least(0.7, scale)) END AS scale FROM r
+""")
+def block_partition(spark, d):
+    j = F.col("job_id")
+    b = tables.pairs(spark, d).withColumns({"width": 15.0 + j % 300, "height": 4.0 + (j * 7 + F.col("seq")) % 200, "hits_image": j % 9 == 0, "kind": F.when(j % 10 == 0, "math_passthrough").otherwise("text")})
+    return layout.decide(b).select("job_id", "seq", "action", "reason", "scale")
+
+
+@query("WITH b AS (SELECT l_orderkey % 50 AS page, l_orderkey AS id, l_linenumber AS line, (l_quantity * 10)::DOUBLE AS x0, l_quantity * 10 + 20 AS x1, (l_partkey % 700)::DOUBLE AS y0, (l_partkey % 700 + 10)::DOUBLE AS y1 FROM lineitem), c AS (SELECT p_partkey % 50 AS page, p_size * 10.0::DOUBLE AS x0, p_size * 10.0 + 60 AS x1, (p_partkey % 700)::DOUBLE AS y0, (p_partkey % 700 + 30)::DOUBLE AS y1 FROM part WHERE p_partkey <= 500) SELECT b.page, b.id, b.line, b.x0, b.y0 FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = b.page AND (b.x0 + b.x1) / 2 BETWEEN c.x0 AND c.x1 AND (b.y0 + b.y1) / 2 BETWEEN c.y0 AND c.y1)")
+def spatial_anti(spark, d):
+    k, p = F.col("l_orderkey"), F.col("l_partkey") % 700
+    b = table(spark, d, "lineitem").select((k % 50).alias("page"), k.alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + 20).alias("x1"), p.cast("double").alias("y0"), (p + 10).cast("double").alias("y1"))
+    q = F.col("p_partkey") % 700
+    c = table(spark, d, "part").filter("p_partkey <= 500").select((F.col("p_partkey") % 50).alias("page"), (F.col("p_size") * 10.0).alias("x0"), (F.col("p_size") * 10.0 + 60).alias("x1"), q.cast("double").alias("y0"), (q + 30).cast("double").alias("y1"))
+    return layout.outside_cells(b, c).select("page", "id", "line", "x0", "y0")
+
+
+@query(f"SELECT job_id AS doc_id, count(*) AS pages, sum(length({strip_sql('text')})) / count(*) AS chars_per_page, sum(length({strip_sql('text')})) / count(*) < 50 AS scanned FROM {SEGMENTS_SQL} GROUP BY job_id")
+def density_detector(spark, d):
+    return layout.density(tables.segments(spark, d), "job_id", "text").withColumnRenamed("job_id", "doc_id")
+
+
+@query("SELECT user_id, coalesce(avg(CASE WHEN event_type <> 'error' THEN (event_id % 101) / 100 END), 1.0) AS confidence, coalesce(avg(CASE WHEN event_type <> 'error' THEN (event_id % 101) / 100 END), 1.0) < 0.7 AS low FROM events GROUP BY user_id")
+def page_confidence(spark, d):
+    return layout.confidence(tables.events(spark, d), "user_id", F.when(F.col("event_type") != "error", (F.col("event_id") % 101) / 100))
+
+
+@query(f"SELECT job_id, array_to_string(list(CASE seq % 5 WHEN 0 THEN '# ' || text WHEN 1 THEN '## ' || text WHEN 2 THEN '[Figure]' ELSE text END ORDER BY seq) FILTER (seq % 5 <> 4), chr(10) || chr(10)) AS markdown FROM {NUMBERED_SQL} GROUP BY job_id HAVING count(*) FILTER (seq % 5 <> 4) > 0")
+def markdown_render(spark, d):
+    label = F.get(F.array(*map(F.lit, ("doc_title", "header", "figure", "text", "seal"))), (F.col("seq") % 5).cast("int"))
+    s = segments.number(tables.segments(spark, d)).select("job_id", "seq", F.col("text").alias("source_text"), F.lit(None).cast("string").alias("edited_text"), F.lit("").alias("translated_text"), label.alias("label"))
+    return translate.to_markdown(s)
+
+
+@query("SELECT code, name, row_number() OVER (ORDER BY rank, name) AS place FROM (VALUES " + ", ".join(f"('{c}', '{n}', {languages.PRIORITY.index(c) if c in languages.PRIORITY else 5})" for c, n in languages.ROWS) + ") l(code, name, rank) WHERE code <> 'auto'")
+def language_picker(spark, d):
+    ls = languages.languages(spark).filter("code <> 'auto'")
+    return ls.select("code", "name", F.row_number().over(Window.orderBy("rank", "name")).alias("place"))
+
+
+# ---- translation and streams (no SQL: user functions, state)
+
+
+@query("SELECT id, nfc_normalize(t) AS text, length(nfc_normalize(t)) AS n FROM (VALUES (1, 'e' || chr(769)), (2, 'é'), (3, ''), (4, 'a' || chr(778) || 'b')) v(id, t)")
+def nfc_roundtrip(spark, d):
+    v = spark.createDataFrame([(1, "é"), (2, "é"), (3, ""), (4, "åb")], "id int, t string")
+    return v.select("id", T.nfc(F.col("t")).alias("text")).withColumn("n", F.length("text").cast("long"))
+
+
+@query("SELECT i::INTEGER AS id, i <> 10 AS same FROM range(1, 13) r(i)")
+def mask_restore(spark, d):
+    """All come back but the tenth, whose literal mark can't be told from the token of the same number."""
+    v = spark.createDataFrame(list(enumerate(PROTECTED_EXAMPLES, 1)), "id int, t string")
+    m = v.withColumn("m", T.mask_protected(F.col("t")))
+    return m.select("id", (T.restore(F.col("m.masked"), F.col("m.tokens")) == F.col("t")).alias("same"))
+
+
+@query(f"SELECT job_id, seq, md5(CASE WHEN regexp_full_match({strip_sql('text')}, '[0-9]*') THEN text ELSE text END) AS digest FROM {NUMBERED_SQL}")
+def translate_stub(spark, d):
+    s = segments.number(tables.segments(spark, d)).select("job_id", "seq", "text")
+    out = translate.translate(s, translate.identity)
+    return out.select("job_id", "seq", F.md5(F.col("translated_text").cast("binary")).alias("digest"))
+
+
+def _attempts(df: DataFrame) -> DataFrame:
+    """Days stand for minutes, so that five failures in a row occur."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 1440
+    return df.select("user_id", "event_id", at.alias("at"), F.col("event_type").isin("error", "view", "click").alias("failed"))
+
+
+@query()
+def stream_lockout(spark, d):
+    """Outcomes by the stream's rule; tests hold the stream against this batch twin."""
+    return state.lockout_batch(_attempts(tables.events(spark, d)))
+
+
+@query("SELECT user_id AS job_id, max(event_id) AS seq, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
+def stream_progress_latest(spark, d):
+    e = tables.events(spark, d)
+    log = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.lit(1).alias("done"), F.lit(2).alias("total"))
+    return state.progress(state.to_messages(log)).select("job_id", "seq", "status")
+
+
+@query("""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(user_id, n, event_id, last, pass) AS (
+  SELECT user_id, n, event_id, s, true FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.s - r.last >= 86400 THEN e.s ELSE r.last END, e.s - r.last >= 86400 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id AS key, event_id FROM r WHERE pass
+""")
+def reset_cooldown(spark, d):
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return state.cooldown(tables.events(spark, d).select(F.col("user_id").alias("key"), "event_id", at.alias("at")), 86400)
