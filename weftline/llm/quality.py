@@ -48,16 +48,16 @@ class Rule:
         return F.coalesce(out, F.lit(False))
 
 
-#: The table. Divisors are at least 1 where n_words passes; the first rule rejects the rest.
+#: The table. A text without words or lines has no ratios and fails their rules.
 RULES = (
     Rule("length", "n_words", 50, 1_000_000),
-    Rule("mean_word_length", "word_chars / n_words", 2.0, 15.0),
-    Rule("symbol_share", "n_symbols / n_words", None, 0.1),
-    Rule("upper_share", "n_upper / word_chars", None, 0.3),
-    Rule("stop_word_share", "n_stop / n_words", 0.04, None),
-    Rule("dup_line_share", "n_dup_lines / n_lines", None, 0.3),
-    Rule("ellipsis_line_share", "n_ellipsis / n_lines", None, 0.3),
-    Rule("repeat_word_share", "n_repeat_words / n_words", None, 0.5),
+    Rule("mean_word_length", "try_divide(word_chars, n_words)", 2.0, 15.0),
+    Rule("symbol_share", "try_divide(n_symbols, n_words)", None, 0.1),
+    Rule("upper_share", "try_divide(n_upper, word_chars)", None, 0.3),
+    Rule("stop_word_share", "try_divide(n_stop, n_words)", 0.04, None),
+    Rule("dup_line_share", "try_divide(n_dup_lines, n_lines)", None, 0.3),
+    Rule("ellipsis_line_share", "try_divide(n_ellipsis, n_lines)", None, 0.3),
+    Rule("repeat_word_share", "try_divide(n_repeat_words, n_words)", None, 0.5),
 )
 
 
