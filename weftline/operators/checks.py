@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +39,25 @@ def term_hits(texts: DataFrame, terms: DataFrame, text_col: str = "source_text")
 
 
 def flags(pairs: DataFrame, terms: DataFrame | None = None, thresholds: DataFrame | None = None) -> DataFrame:
-    """(job_id, seq, flag_type, severity, details): one row per finding; segments without a translation are skipped."""
+    """(job_id, seq, flag_type, severity, details): one row per finding; segments without a translation are skipped.
+
+    The checks of a row on its own are one projection; only the glossary needs a join.
+    """
     pairs = ratios(pairs.filter(F.col("translated_text").isNotNull()), thresholds)
     src, out = F.col("source_text"), F.col("translated_text")
-    flag = lambda df, kind, details: df.select("job_id", "seq", F.lit(kind).alias("flag_type"), F.lit("warn").alias("severity"), details.alias("details"))
-    found = [
-        flag(pairs.filter(F.col("expansion_ratio") > F.col("threshold")), "overflow", F.lit("ratio above threshold")),
-        flag(pairs.withColumn("m", T.missing_marks(src, out)).filter(F.size("m") > 0), "placeholder_mismatch", F.array_join("m", ",")),
-        flag(pairs.filter((T.strip(src) == T.strip(out)) & (F.length(src) > 8) & ~T.is_ascii(src)), "llm_refusal", F.lit("unchanged")),
-    ]
+    flag = lambda kind, details: F.struct(F.lit(kind).alias("flag_type"), F.lit("warn").alias("severity"), details.alias("details"))
+    missing = F.array_join(T.missing_marks(src, out), ",")
+    own = F.array_compact(F.array(
+        F.when(F.col("expansion_ratio") > F.col("threshold"), flag("overflow", F.lit("ratio above threshold"))),
+        F.when(missing != "", flag("placeholder_mismatch", missing)),
+        F.when((T.strip(src) == T.strip(out)) & (F.length(src) > 8) & ~T.is_ascii(src), flag("llm_refusal", F.lit("unchanged"))),
+    ))
+    found = pairs.select("job_id", "seq", F.inline(own))
     if terms is not None:
         hits = term_hits(pairs, terms.filter(F.length("target_term") >= 2))
-        found.append(flag(hits.filter(~T.contains_ci(out, F.col("target_term"))), "glossary_violation", F.col("source_term")))
-    return reduce(DataFrame.unionByName, found)
+        lost = hits.filter(~T.contains_ci(out, F.col("target_term")))
+        found = found.unionByName(lost.select("job_id", "seq", F.lit("glossary_violation").alias("flag_type"), F.lit("warn").alias("severity"), F.col("source_term").alias("details")))
+    return found
 
 
 def facets(found: DataFrame) -> DataFrame:
