@@ -1,7 +1,7 @@
 """Language identification by rank-order n-gram profiles.
 
-A profile is the ranking of a text's letter n-grams (1 to 3 letters, words padded
-with underscores) by count, cut at rank `size`. A document gets the language whose
+A profile is the ranking of a text's letter n-grams (1 to 3 places; a word's border
+is a place in those of 2 and 3) by count, cut at rank `size`. A document gets the language whose
 profile is nearest by out-of-place distance: the sum, over the document's n-grams,
 of the difference of ranks, or `size` where the profile lacks the n-gram. N-grams of
 equal count share their mean rank, and the cut keeps or drops them together, so
@@ -15,9 +15,8 @@ an empty table gives an empty result. Only the named columns are read.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +26,50 @@ from pyspark.sql import functions as F
 from weftline.llm.common import bucket_of, text_or_empty
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Words that a task remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 200_000
-
-
-def grams(token: str, longest: int = 3) -> list[str]:
-    """The padded n-grams of the letter runs in a token."""
-    out = []
-    for w in LETTERS.findall(token):
-        w = f"_{w}_"
-        for n in range(1, longest + 1):
-            out += [w[i : i + n] for i in range(len(w) - n + 1)]
-    return out
+#: Code points that a task counts at once; bounds its memory, not its results.
+AT_ONCE = 1 << 20
+#: A word's border; no letter has this code point.
+BORDER = 1
+
+
+@cache
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def grams(text: str) -> np.ndarray:
+    """The n-grams of a text as numbers, 21 bits a place, repeats included; empty for a text without a letter."""
+    a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = letters()[a]
+    if not letter.any():
+        return np.empty(0, np.int64)
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]  # of a run of others, one border
+    s = np.where(letter, a, BORDER)[kept].astype(np.int64)
+    s = np.concatenate([np.full(1, BORDER), s, np.full(int(s[-1] != BORDER), BORDER)])
+    two = s[:-1] << 21 | s[1:]
+    middle = s[1:-1] != BORDER
+    return np.concatenate([s[s != BORDER], two, (two[:-1] << 21 | s[2:])[middle]])
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their counts; long texts in parts that overlap by no n-gram, as they are cut after words."""
+    if len(text) <= AT_ONCE:
+        return np.unique(grams(text), return_counts=True)
+    parts, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + AT_ONCE)
+        while end < len(text) and text[end].isalpha() and end - at < 2 * AT_ONCE:
+            end += 1
+        parts.append(np.unique(grams(text[at:end]), return_counts=True))
+        at = end
+    return summed(parts)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
 
 
 def ranks(counts: np.ndarray, size: int) -> np.ndarray:
@@ -49,35 +79,38 @@ def ranks(counts: np.ndarray, size: int) -> np.ndarray:
     return np.where(above < size, above + (many - 1) / 2, np.inf)[which]
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = 400, longest: int = 3, most_langs: int = 10_000) -> dict[str, dict[str, float]]:
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = 400, most_langs: int = 10_000) -> dict[str, dict[int, float]]:
     """language -> n-gram -> rank, over all rows with a language.
 
-    Tasks count words, turn them into n-grams and emit partial counts; what reaches
-    the driver is `size` n-grams (and ties of the last) for each language.
+    Tasks emit counts by language and n-gram; what reaches the driver is `size` n-grams
+    (and ties of the last) for each language.
     """
     src = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(seen: dict[str, Counter]) -> pa.RecordBatch:
-            out: dict[tuple[str, str], int] = Counter()
-            for lang, tokens in seen.items():
-                for t, n in tokens.items():
-                    for g in grams(t, longest):
-                        out[lang, g] += n
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.string()), pa.array(out.values(), pa.int64())], ["lang", "gram", "n"])
-
-        seen: dict[str, Counter] = {}
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(text.lower().split())
-            if sum(map(len, seen.values())) > REMEMBERED:
-                yield flush(seen)
-                seen = {}
-        yield flush(seen)
+            texts: dict[str, list[str]] = {}
+            sizes: dict[str, int] = {}
+            parts: dict[str, list] = {}
 
-    n = src.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            def close(lang: str) -> None:
+                parts.setdefault(lang, []).append(counted("\n".join(texts.pop(lang))))  # noqa: B023
+                sizes[lang] = 0  # noqa: B023
+
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                texts.setdefault(lang, []).append(text)
+                sizes[lang] = sizes.get(lang, 0) + len(text)
+                if sizes[lang] > AT_ONCE // 2:
+                    close(lang)
+            for lang in list(texts):
+                close(lang)
+            for lang, found in parts.items():
+                keys, n = summed(found)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+
+    n = src.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = n.withColumn("r", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("n")))).filter(F.col("r") <= size)
-    by: dict[str, tuple[list[str], list[int]]] = {}
+    by: dict[str, tuple[list[int], list[int]]] = {}
     for lang, gram, c in top.select("lang", "gram", "n").toLocalIterator():
         x = by.setdefault(lang, ([], []))
         x[0].append(gram)
@@ -88,54 +121,36 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
 
 
 class Classifier:
-    """Distances of texts to profiles. Kept per task; n-grams get numbers as they are met."""
-
-    def __init__(self, profiles: dict[str, dict[str, float]], size: int, longest: int):
-        self.profiles, self.langs, self.size, self.longest = profiles, list(profiles), size, longest
-        self.ids: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.known = np.full((len(self.langs), 1 << 12), np.nan)
-
-    def _of(self, token: str) -> np.ndarray:
-        ids, found = self.ids, grams(token, self.longest)
-        for g in found:
-            if g not in ids:
-                ids[g] = len(ids)
-                if len(ids) > self.known.shape[1]:
-                    self.known = np.concatenate([self.known, np.full_like(self.known, np.nan)], axis=1)
-                self.known[:, ids[g]] = [p.get(g, np.nan) for p in self.profiles.values()]
-        self.words[token] = out = np.array([ids[g] for g in found], dtype=np.int64)
-        return out
+    """Distances of texts to profiles."""
+
+    def __init__(self, profiles: dict[str, dict[int, float]], size: int):
+        self.langs, self.size = list(profiles), size
+        self.grams = np.array(sorted({g for p in profiles.values() for g in p}), dtype=np.int64)
+        self.ranks = np.array([[p.get(g, np.nan) for g in self.grams.tolist()] for p in profiles.values()])
 
     def __call__(self, text: str) -> tuple[str, float, float]:
         """Language, score (1 - distance / largest possible distance), and the lead over the second."""
-        tokens = Counter(text.lower().split())
-        if len(self.words) + len(tokens) > REMEMBERED:
-            self.words.clear()
-            self.ids.clear()
-        get = self.words.get
-        parts = [w if (w := get(t)) is not None else self._of(t) for t in tokens]
-        if not self.langs or not sum(map(len, parts)):
+        keys, n = counted(text)
+        if not self.langs or not len(keys):
             return UNKNOWN, 0.0, 0.0
-        weights = np.repeat(np.fromiter(tokens.values(), np.int64, len(tokens)), [len(p) for p in parts])
-        n = np.bincount(np.concatenate(parts), weights=weights)
-        at = np.flatnonzero(n)
-        r = ranks(n[at], self.size)
-        at, r = at[r < np.inf], r[r < np.inf]
-        d = np.abs(self.known[:, at] - r)
-        d = np.minimum(np.where(np.isnan(d), self.size, d), self.size).sum(axis=1) / (self.size * len(at))
+        r = ranks(n, self.size)
+        use = r < np.inf
+        keys, r = keys[use], r[use]
+        at = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
+        d = np.abs(np.where(self.grams[at] == keys, self.ranks[:, at], np.nan) - r)
+        d = np.minimum(np.where(np.isnan(d), self.size, d), self.size).sum(axis=1) / (self.size * len(keys))
         best = int(np.argmin(d))
         lead = float(np.partition(d, 1)[1] - d[best]) if len(d) > 1 else 1.0
         return self.langs[best], float(1 - d[best]), lead
 
 
-def identify(docs: DataFrame, profiles: dict[str, dict[str, float]], id_col: str = "doc_id", text_col: str = "text", size: int = 400, longest: int = 3, keep: tuple[Column, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, dict[int, float]], id_col: str = "doc_id", text_col: str = "text", size: int = 400, keep: tuple[Column, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, lead) and the columns in `keep`, one row per row of `docs`, by its text alone."""
     src = docs.select(text_or_empty(text_col).alias("__wl_text"), F.col(id_col).alias("doc_id"), *keep)
     add = "lang_pred string, score double, lead double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Classifier(profiles, size, longest)
+        of = Classifier(profiles, size)
         for b in batches:
             found = [of(t) for t in b.column(0).to_pylist()]
             cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64()))]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.functions import text as T
-from weftline.operators import checks, glossary, jobs, layout, licensing, segments, translate
+from weftline.operators import accounts, checks, glossary, jobs, layout, licensing, segments, translate
 from weftline.sources import languages, tables
 from weftline.sources.tables import EVENTS_NOW, JOBS_SQL, LICENSES_SQL, NOW, PAIRS_SQL, SEGMENTS_SQL, USERS_SQL, now, table
 from weftline.streaming import state
@@ -568,3 +568,59 @@ SELECT user_id AS key, event_id FROM r WHERE pass
 def reset_cooldown(spark, d):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     return state.cooldown(tables.events(spark, d).select(F.col("user_id").alias("key"), "event_id", at.alias("at")), 86400)
+
+
+# ---- accounts
+
+ACCOUNTS_SQL = f"(SELECT id, email, upper(email) AS name, is_superuser, is_active, created_at, CASE WHEN id % 10 = 3 THEN {TS} END AS deleted_at FROM (SELECT u.*, TIMESTAMP '1998-01-01' + to_days((id % 100)::INTEGER) AS created_at FROM {USERS_SQL} u))"
+
+
+def _accounts(spark, d):
+    i = F.col("id")
+    return tables.users(spark, d).withColumns({"name": F.upper("email"), "created_at": now("1998-01-01 00:00:00") + F.make_dt_interval((i % 100).cast("int")), "deleted_at": F.when(i % 10 == 3, now())})
+
+
+@query(f"SELECT id, email FROM {ACCOUNTS_SQL} WHERE deleted_at IS NULL AND (email ILIKE '%1_0%' OR name ILIKE '%1_0%') AND is_active ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20")
+def accounts_page(spark, d):
+    return accounts.page(accounts.search(_accounts(spark, d), "1_0", active=True), 2, 20).select("id", "email")
+
+
+TOKENS_SQL = f"(SELECT event_id AS id, user_id, ts AS created_at, ts + INTERVAL 1 HOUR AS expires_at, CASE WHEN event_id % 3 = 0 THEN ts END AS used_at FROM events)"
+
+
+def _tokens(spark, d):
+    return tables.events(spark, d).select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("expires_at"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("used_at"))
+
+
+@query(f"SELECT id, user_id FROM {TOKENS_SQL} WHERE used_at IS NULL AND expires_at >= {EVENTS_TS}")
+def usable_tokens(spark, d):
+    return accounts.usable_tokens(_tokens(spark, d), now(EVENTS_NOW)).select("id", "user_id")
+
+
+@query(f"SELECT id, CASE WHEN used_at IS NULL AND row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) > 1 THEN {EVENTS_TS} ELSE used_at END AS used_at FROM {TOKENS_SQL}")
+def replaced_tokens(spark, d):
+    return accounts.replace_tokens(_tokens(spark, d), now(EVENTS_NOW)).select("id", "used_at")
+
+
+@query(f"SELECT id AS target, CASE WHEN id % 7 = 0 THEN id ELSE 0 END AS actor, 'demote' AS action, CASE WHEN id % 7 = 0 THEN 'own_account' WHEN is_superuser AND is_active AND (SELECT count(*) FROM {ACCOUNTS_SQL} WHERE is_superuser AND is_active AND deleted_at IS NULL) <= 1 THEN 'last_admin' ELSE 'ok' END AS outcome FROM {ACCOUNTS_SQL}")
+def admin_guards(spark, d):
+    a = _accounts(spark, d)
+    changes = a.select(F.col("id").alias("target"), F.when(F.col("id") % 7 == 0, F.col("id")).otherwise(0).alias("actor"), F.lit("demote").alias("action"))
+    return accounts.guard(a, changes)
+
+
+@query("SELECT event_id, coalesce(k, 'none') AS theme, CASE WHEN event_id % 2 = 0 THEN 'patched' ELSE coalesce(k, 'en') END AS lang FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_type END AS k FROM events)")
+def merged_preferences(spark, d):
+    k = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
+    stored = F.create_map(F.lit("theme"), k, F.lit("lang"), k)
+    merged = accounts.preferences(stored, {"theme": "none", "lang": "en"})
+    patch = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("lang"), F.lit("patched")))
+    e = tables.events(spark, d).select("event_id", accounts.patched(merged, patch).alias("m"))
+    return e.select("event_id", F.col("m")["theme"].alias("theme"), F.col("m")["lang"].alias("lang"))
+
+
+@query(f"SELECT id, starts_with(path, '/v1/') AND NOT starts_with(path, '/v1/auth/login') AS checked FROM (SELECT id, CASE id % 3 WHEN 0 THEN '/v1/auth/login/' ELSE CASE id % 3 WHEN 1 THEN '/v1/jobs/' ELSE '/health/' END END || id AS path FROM {USERS_SQL})")
+def request_paths(spark, d):
+    i = F.col("id")
+    path = F.concat(F.when(i % 3 == 0, "/v1/auth/login/").when(i % 3 == 1, "/v1/jobs/").otherwise("/health/"), i.cast("string"))
+    return tables.users(spark, d).select("id", licensing.request_path_checked(path, ["/health", "/docs", "/v1/auth/login"]).alias("checked"))
