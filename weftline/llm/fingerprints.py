@@ -16,7 +16,7 @@ result. Only the named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,78 +26,90 @@ from weftline.llm.common import text_or_empty
 LINE = 200
 #: Cells in each of the three tables of the fingerprint itself.
 CELLS = 8
-#: Rounds of peeling; a round peels all single cells, and sketches large enough need a handful.
-ROUNDS = 24
+#: Steps of peeling, a table each; sketches large enough need a dozen or two.
+STEPS = 72
 CHECK = 99
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def given(body: str, **cols: Column) -> Column:
+    """`body`, SQL over the fields of `v`, which are `cols` and are evaluated once.
+
+    The larger expressions here are SQL texts: one made of thousands of Column calls
+    takes the driver longer to build than many tables take to read.
+    """
+    return F.get(F.call_function("transform", F.array(F.struct(*[c.alias(k) for k, c in cols.items()])), F.expr(f"v -> {body}")), F.lit(0))
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL for `body`, in which `name` is a value that is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _xor(array: Column, of: Callable[[Column], Column]) -> Column:
-    return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(of(x)))
+NONE = "named_struct('n', 0L, 'k', 0L, 'x', 0L)"
 
 
-def entries(text: Column, salt: int = 0) -> Column:
-    """The text's distinct paragraph digests with their checksum and three hashes."""
-    parts = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{LINE}}}"), F.lit(0))
-    digests = F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
-    return F.transform(digests, lambda d: F.struct(d.alias("k"), F.xxhash64(d, F.lit(CHECK)).alias("x"), *[F.xxhash64(d, F.lit(r + 3 * salt)).alias(f"h{r}") for r in range(3)]))
+def _digests(text: str) -> str:
+    return rf"array_distinct(transform(regexp_extract_all({text}, '[^\\n]{{1,{LINE}}}', 0), p -> xxhash64(p)))"
 
 
-def sketch(found: Column, size: Column) -> Column:
-    """Cells (n, k, x) of three tables of `size` cells, one after the other."""
+def _entries(keys: str) -> str:
+    return f"transform({keys}, d -> named_struct('n', 1L, 'k', d, 'x', xxhash64(d, {CHECK})))"
 
-    def table(r: int) -> Column:
-        def cell(i: Column) -> Column:
-            own = F.filter(found, lambda e: F.pmod(e[f"h{r}"], size) == i)
-            return let(own, lambda m: F.struct(F.size(m).cast("long").alias("n"), _xor(m, lambda e: e["k"]).alias("k"), _xor(m, lambda e: e["x"]).alias("x")))
 
-        return F.transform(F.sequence(F.lit(0).cast("long"), size - 1), cell)
+def _placed(found: str, size: str, salt: int) -> str:
+    """Entries with their places in the three tables, and the run of about sqrt(size) cells that each place is in."""
+    places = ", ".join(f"pmod(xxhash64(e.k, {r + 3 * salt}), {size})" for r in range(3))
+    one = let("p", f"array({places})", "named_struct('n', e.n, 'k', e.k, 'x', e.x, 'p', p, 'g', transform(p, y -> y div step))")
+    return let("step", f"ceil(sqrt({size}))", f"transform({found}, e -> {one})")
 
-    return F.concat(*[table(r) for r in range(3)])
 
+def _table(placed: str, r: str, size: str) -> str:
+    """Cells (n, k, x) of table `r`: what stands in a cell is summed and XORed.
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda p, q: F.struct((p["n"] - q["n"]).alias("n"), p["k"].bitwiseXOR(q["k"]).alias("k"), p["x"].bitwiseXOR(q["x"]).alias("x")))
+    Entries are dealt to runs of cells and then to the cells of a run, so that work is
+    the number of entries times sqrt(size) and not times size.
+    """
+    xor = lambda c: f"aggregate(m, 0L, (a, e) -> a ^ e.{c})"
+    cell = f"if(size(m) = 0, {NONE}, named_struct('n', aggregate(m, 0L, (a, e) -> a + e.n), 'k', {xor('k')}, 'x', {xor('x')}))"
+    cells = f"transform(sequence(g * step, least(g * step + step, {size}) - 1), i -> if(size(o) = 0, {NONE}, {let('m', f'filter(o, e -> get(e.p, {r}) = i)', cell)}))"
+    runs = f"flatten(transform(sequence(0L, ({size} - 1) div step), g -> {let('o', f'filter({placed}, e -> get(e.g, {r}) = g)', cells)}))"
+    return let("step", f"ceil(sqrt({size}))", runs)
 
 
-KEYS = "array<struct<k:bigint,n:bigint>>"
+def _sketch(found: str, size: str, salt: int) -> str:
+    return let("q", _placed(found, size, salt), f"flatten(transform(array(0, 1, 2), r -> {_table('q', 'r', size)}))")
 
 
-def peel(cells: Column, size: Column, salt: int = 0) -> Column:
-    """The differing digests (k, n: 1 in the first version only, -1 in the second only), or null if peeling stops early."""
-    table = "array<struct<n:bigint,k:bigint,x:bigint>>"
-    kinds = f"struct<t0:{table},t1:{table},t2:{table},found:{KEYS},on:boolean>"
+def _subtract(a: str, b: str) -> str:
+    return f"zip_with({a}, {b}, (c, d) -> named_struct('n', c.n - d.n, 'k', c.k ^ d.k, 'x', c.x ^ d.x))"
 
-    def keys(s: Column, sign: int) -> Column:
-        single = F.filter(F.concat(s["t0"], s["t1"], s["t2"]), lambda c: (c["n"] == sign) & (F.xxhash64(c["k"], F.lit(CHECK)) == c["x"]))
-        return F.array_distinct(F.transform(single, lambda c: c["k"]))
 
-    def located(s: Column, sign: int) -> Column:
-        return F.transform(keys(s, sign), lambda k: F.struct(k.alias("k"), F.lit(sign).cast("long").alias("n"), F.xxhash64(k, F.lit(CHECK)).alias("x"), *[F.pmod(F.xxhash64(k, F.lit(r + 3 * salt)), size).alias(f"p{r}") for r in range(3)]))
+def _peel(cells: str, size: str, salt: int) -> str:
+    """The differing digests (k, n: 1 in the first version only, -1 in the second only), or null if peeling stops early.
 
-    def round_(s: Column, _: Column) -> Column:
-        def without(p: Column, r: int) -> Column:
-            def cell(c: Column, i: Column) -> Column:
-                hit = F.filter(p, lambda e: e[f"p{r}"] == i)
-                return let(hit, lambda h: F.when(F.size(h) == 0, c).otherwise(F.struct((c["n"] - F.aggregate(h, F.lit(0).cast("long"), lambda a, e: a + e["n"])).alias("n"), c["k"].bitwiseXOR(_xor(h, lambda e: e["k"])).alias("k"), c["x"].bitwiseXOR(_xor(h, lambda e: e["x"])).alias("x"))))
+    A step takes the cells with a single digest out of one table and out of the other
+    two; the tables take turns (`a` is table j mod 3). It ends when each in turn had none.
+    """
+    single = f"abs(c.n) = 1 AND xxhash64(c.k, {CHECK}) = c.x"
+    table = lambda r: f"slice({cells}, cast({size} * {r} + 1 AS int), cast({size} AS int))"
+    start = f"named_struct('a', {table(0)}, 'b', {table(1)}, 'c', {table(2)}, 'found', cast(array() AS array<struct<k: bigint, n: bigint>>), 'idle', 0)"
+    turned = "named_struct('a', s.b, 'b', s.c, 'c', s.a, 'found', s.found, 'idle', s.idle + 1)"
+    without = lambda t, by: _subtract(f"s.{t}", _table("w", f"pmod(j + {by}, 3)", size))
+    taken = f"named_struct('a', {without('b', 1)}, 'b', {without('c', 2)}, 'c', transform(s.a, c -> if({single}, {NONE}, c)), 'found', concat(s.found, transform(w, e -> named_struct('k', e.k, 'n', e.n))), 'idle', 0)"
+    step = f"if(s.idle >= 3, s, {let('u', f'filter(s.a, c -> {single})', f'if(size(u) = 0, {turned}, {let("w", _placed("u", size, salt), taken)})')})"
+    end = f"aggregate(sequence(0, {STEPS - 1}), {start}, (s, j) -> {step})"
+    rest = "exists(concat(z.a, z.b, z.c), c -> c.n <> 0 OR c.k <> 0 OR c.x <> 0)"
+    return let("z", end, f"if({rest}, null, z.found)")
 
-            return F.transform(s[f"t{r}"], cell).alias(f"t{r}")
 
-        def step(p: Column) -> Column:
-            more = F.concat(s["found"], F.transform(p, lambda e: F.struct(e["k"].alias("k"), e["n"].alias("n"))))
-            new = F.struct(*[without(p, r) for r in range(3)], more.alias("found"), F.lit(True).alias("on")).cast(kinds)
-            return F.when(F.size(p) == 0, s.withField("on", F.lit(False))).otherwise(new)
+def entries(text: Column) -> Column:
+    """The text's distinct paragraph digests with their checksums, as single entries of a sketch."""
+    return given(_entries(_digests("v.text")), text=text)
 
-        return F.when(~s["on"], s).otherwise(let(F.concat(located(s, 1), located(s, -1)), step))
 
-    start = F.struct(*[F.slice(cells, (size * r + 1).cast("int"), size.cast("int")).alias(f"t{r}") for r in range(3)], F.array().cast(KEYS).alias("found"), F.lit(True).alias("on")).cast(kinds)
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
-    rest = lambda s: F.exists(F.concat(s["t0"], s["t1"], s["t2"]), lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["x"] != 0))
-    return let(end, lambda s: F.when(rest(s), F.lit(None)).otherwise(s["found"]))
+def sketch(found: Column, size: Column, salt: int = 0) -> Column:
+    """Cells (n, k, x) of the three tables of `size` cells, one table after the other."""
+    return given(_sketch("v.found", "v.size", salt), found=found, size=size.cast("long"))
 
 
 def differing(text_a: Column, text_b: Column, cells_a: Column, cells_b: Column, n: Column) -> Column:
@@ -106,16 +118,15 @@ def differing(text_a: Column, text_b: Column, cells_a: Column, cells_b: Column,
     `n`: paragraphs of both. The second try has room for all of them; the third has
     twice that and other hashes. Digests that even that leaves are compared as sets.
     """
-    tries = [peel(subtract(cells_a, cells_b), F.lit(CELLS).cast("long"))]
 
-    def larger(salt: int, times: float) -> Column:
-        both = F.struct(entries(text_a, salt).alias("a"), entries(text_b, salt).alias("b"))
-        return let(F.ceil(n * times) + 6, lambda s: let(both, lambda e: peel(subtract(sketch(e["a"], s), sketch(e["b"], s)), s, salt)))
+    def larger(salt: int, times: float) -> str:
+        diff = _subtract(*[_sketch(_entries(f"t.{x}"), "sz", salt) for x in "ab"])
+        return let("sz", f"ceil(v.n * {times}D) + 6", let("diff", diff, _peel("diff", "sz", salt)))
 
-    tries += [larger(1, 0.5), larger(2, 1.0)]
-    keys = lambda t: F.transform(entries(t), lambda e: e["k"])
-    last = F.concat(F.transform(F.array_except(keys(text_a), keys(text_b)), lambda k: F.struct(k.alias("k"), F.lit(1).cast("long").alias("n"))), F.transform(F.array_except(keys(text_b), keys(text_a)), lambda k: F.struct(k.alias("k"), F.lit(-1).cast("long").alias("n"))))
-    return F.coalesce(*tries, last)
+    only = lambda x, y, sign: f"transform(array_except({x}, {y}), k -> named_struct('k', k, 'n', {sign}L))"
+    again = let("t", f"named_struct('a', {_digests('v.text_a')}, 'b', {_digests('v.text_b')})", f"coalesce({larger(1, 0.5)}, {larger(2, 1.0)}, concat({only('t.a', 't.b', 1)}, {only('t.b', 't.a', -1)}))")
+    first = let("diff", _subtract("v.cells_a", "v.cells_b"), _peel("diff", f"{CELLS}L", 0))
+    return given(f"coalesce({first}, {again})", text_a=text_a, text_b=text_b, cells_a=cells_a, cells_b=cells_b, n=n)
 
 
 def as_string(cells: Column) -> Column:
@@ -141,28 +152,24 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     src = src.withColumn("part", F.coalesce(part, F.lit(0)))
     tops = sorted(src.groupBy("part").agg(F.max("doc_id").alias("top")).collect())
     follow = [(below["top"], here["part"]) for below, here in zip(tops[-1:] + tops[:-1], tops, strict=True)] or [(0, 0)]
-    follow = docs.sparkSession.createDataFrame(follow, f"top {src.schema['doc_id'].dataType.simpleString()}, target int")
+    kind = f"array<struct<top:{src.schema['doc_id'].dataType.simpleString()},target:int>>"
+    follow = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"top": t, "target": p} for t, p in follow])), kind)))
     heads = src.join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", F.col("target").alias("part"), F.lit(True).alias("extra"))
     rows_ = src.select("doc_id", "text", "part", F.lit(False).alias("extra")).union(heads)
     order = Window.partitionBy("part").orderBy("extra", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     return rows_.withColumn("next_text", F.lead("text").over(order)).filter(~F.col("extra")).select("doc_id", "text", "next_text")
 
 
-def likeness(n: Column, differ: Column) -> Column:
-    """Shared paragraphs over all paragraphs of both, from the sum of their counts and the number that differ."""
-    return F.when(n == 0, F.lit(1.0)).otherwise((n - differ) / (n + differ))
-
-
 def compare(pairs: DataFrame, others: dict[str, str], text_col: str = "text") -> DataFrame:
-    """Adds fp (cells of text) and for each `name: column` in others fp_name and near_name."""
+    """Adds fp (cells of text) and for each `name: column` in others fp_name and near_name: shared paragraphs over all paragraphs of both."""
     # all entries, all sketches, all comparisons: large expressions are analysed with every later step
     texts = {"": text_col} | {f"_{name}": other for name, other in others.items()}
     df = pairs.withColumns({f"__e{k}": entries(F.col(t)) for k, t in texts.items()})
     df = df.withColumns({f"fp{k}": sketch(F.col(f"__e{k}"), F.lit(CELLS).cast("long")) for k in texts})
 
     def near(k: str, other: str) -> Column:
-        differ = lambda n: F.size(differing(F.col(text_col), F.col(other), F.col("fp"), F.col(f"fp{k}"), n))
-        return let(F.size("__e") + F.size(f"__e{k}"), lambda n: let(differ(n), lambda d: likeness(n, d))).cast("double")
+        n = F.size("__e") + F.size(f"__e{k}")
+        return given("if(v.n = 0, 1D, (v.n - v.d) / (v.n + v.d))", n=n, d=F.size(differing(F.col(text_col), F.col(other), F.col("fp"), F.col(f"fp{k}"), n)))
 
     return df.withColumns({f"near{k}": near(k, t) for k, t in texts.items() if k})
 
