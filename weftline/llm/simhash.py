@@ -184,7 +184,8 @@ def cluster(docs: DataFrame, id_col: Column | str = "doc_id", text_col: str = "t
     linked = each.join(roots, each.fp == roots.node).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     least = linked.join(least, "root").select(F.col("fp").alias("lfp"), "least")
-    of = each.join(least, F.col("fp") == F.col("lfp"), "left").select(F.col("fp").alias("cfp"), F.coalesce("least", "first").alias("component_id"))
+    # a table of its own: a join whose sides are plain exchanges is split where one fingerprint has very many rows
+    of = cut(each.join(least, F.col("fp") == F.col("lfp"), "left").select(F.col("fp").alias("cfp"), F.coalesce("least", "first").alias("component_id")))
     return fps.join(of, F.col("fp") == F.col("cfp")).select("doc_id", "fp", "component_id")
 
 
