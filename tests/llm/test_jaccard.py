@@ -1,0 +1,51 @@
+import random
+
+import corpus_pipeline
+from weftline.llm import jaccard
+
+
+def sets_of(texts):
+    out = []
+    for t in texts:
+        w = (t or "").lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def survivors(texts):
+    """Smallest places of the components, by all pairs."""
+    s, root = sets_of(texts), list(range(len(texts)))
+    for i in range(len(s)):
+        for j in range(i):
+            both = len(s[i] & s[j])
+            if 5 * both >= 4 * (len(s[i]) + len(s[j]) - both):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return [i for i, r in enumerate(root) if i == r]
+
+
+def test_near_duplicates_match_all_pairs(spark):
+    """Texts edited in a few places: similarities on both sides of 0.8, mostly far beyond 4 bits; chains, a common passage, copies."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    common, texts = prose(40), []
+    for k in range(40):
+        base = prose(rng.choice([30, 60, 120, 250])) + (common if k % 2 else [])
+        for _ in range(6):
+            texts.append(" ".join(base))
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+                base = [*base]
+                base[rng.randrange(len(base))] = rng.choice(vocabulary)
+    texts += [" ".join([f"x{i}", *prose(20), *common]) for i in range(200)]  # a passage that many texts have
+    texts += [texts[0], None, "", "a b", "A  b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    expected = survivors(texts)
+    assert 100 < len(expected) < len(texts) - 50
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == expected
+
+
+def test_empty(empty):
+    assert jaccard.keep_one(empty).count() == 0

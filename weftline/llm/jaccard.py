@@ -1,0 +1,194 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+Shingles are in one order for the whole corpus. Two sets whose similarity reaches the
+share then have their first common shingle in a prefix of each, so sets are dealt by
+the shingles of their prefixes and every linked pair meets there. Any order is right;
+shingles that a sixteenth of the texts shows to be frequent come last, so that a common
+passage brings few texts together. Equal sets enter once.
+
+A group of sets with one shingle first holds its members against one of them only
+(`STARS` rounds, each with another), and links make components. The last round holds
+all pairs against each other whose components still differ. Every candidate is
+verified on whole sets before it is a link.
+
+Defined cases: a null or empty text has no shingle and equals any other such text; a
+text of at most `width` words is one shingle; an empty table gives an empty result.
+Only the named columns are read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from weftline.llm.common import cut, text_or_empty
+from weftline.llm.simhash import components, rows_of, row_key
+
+#: The least similarity, as a fraction.
+SHARE = (4, 5)
+STARS = 2
+#: Frequent shingles that the order knows, at most, and in how many of the texts looked at they are.
+FREQUENT, OFTEN = 50_000, 8
+
+
+def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's runs of `width` words, ascending."""
+    w = text.lower().split()
+    if not w:
+        return np.empty(0, np.int64)
+    flat, of = b" ".join(w), xxhash.xxh64_intdigest
+    if len(w) <= width:
+        return np.array([of(flat, seed)], dtype=np.uint64).view(np.int64)
+    ends = list(accumulate(len(x) + 1 for x in w))
+    starts = [0, *ends[: len(w) - width]]
+    return np.unique(np.array([of(flat[s : e - 1], seed) for s, e in zip(starts, ends[width - 1 :], strict=True)], dtype=np.uint64).view(np.int64))
+
+
+def ceil_share(n: np.ndarray | int, share: tuple[int, int]) -> np.ndarray | int:
+    return -(-n * share[0] // share[1])
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.empty(0, np.int64)]), pa.int64()))
+
+
+def sets(docs: DataFrame, text_col: str = "text", width: int = 5) -> DataFrame:
+    """(the other columns of `docs`, shingles)."""
+    src = docs.withColumn(text_col, text_or_empty(text_col).cast("binary"))
+    others = [c for c in src.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], _lists([shingles(t, width) for t in b.column(text_col).to_pylist()])], [*others, "shingles"])
+
+    return src.mapInArrow(run, ", ".join([*[f"{c} {src.schema[c].dataType.simpleString()}" for c in others], "shingles array<bigint>"]))
+
+
+def frequent(docs: DataFrame, text_col: str = "text", width: int = 5) -> np.ndarray:
+    """Frequent shingles, the least frequent first; for the order only."""
+    some = docs.select(text_col).filter(F.pmod(F.xxhash64(text_col), F.lit(16)) == 0)
+    n = sets(some, text_col, width).select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= OFTEN)
+    found = n.orderBy(F.desc("count"), "s").limit(FREQUENT).select("s").collect()
+    return np.array([r.s for r in reversed(found)], dtype=np.int64)
+
+
+def prefixes(docs: DataFrame, key: Column, text_col: str, width: int, share: tuple[int, int]) -> DataFrame:
+    """(k, h, n, prefix): the set's hash and size, and the shingles by which it is dealt."""
+    last = frequent(docs, text_col, width)
+    sent = docs.sparkSession.sparkContext.broadcast((np.sort(last), np.argsort(last)))
+    src = docs.select(text_or_empty(text_col).cast("binary").alias("t"), key.alias("k"))
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        many = len(s) - ceil_share(len(s), share) + 1 if len(s) else 0
+        known, rank = sent.value
+        if len(known) and len(s):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            s = s[np.argsort(np.where(known[at] == s, rank[at] + 1, 0), kind="stable")]
+        return s[:many]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            all_ = [shingles(t, width) for t in b.column(0).to_pylist()]
+            h = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in all_], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(h), pa.array([len(s) for s in all_], pa.int32()), _lists([prefix(s) for s in all_])], ["k", "h", "n", "prefix"])
+
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, h long, n int, prefix array<bigint>")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted rows, cut where the first column's value changes."""
+    kept: list[np.ndarray] | None = None
+    for b in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        kept = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
+        if not len(kept[0]):
+            continue
+        last = int(np.searchsorted(kept[0], kept[0][-1]))
+        if last:
+            yield [x[:last] for x in kept]
+            kept = [x[last:] for x in kept]
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def shared(dealt: DataFrame) -> DataFrame:
+    """Rows (s, h, n, pos) whose shingle is in more than one prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, *others in _groups(batches):
+            same = s[1:] == s[:-1]
+            use = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (s, *others)], ["s", "h", "n", "pos"])
+
+    return dealt.select("s", "h", "n", "pos").repartition("s").sortWithinPartitions("s").mapInArrow(run, "s long, h long, n int, pos int")
+
+
+def candidates(rows: DataFrame, share: tuple[int, int], star: int | None) -> DataFrame:
+    """(a, b) of different roots that may reach the share: with one member of each group (`star`: which), or all pairs."""
+
+    def pairs(r: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        _, _, h, n, pos, root = r
+        low, high = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
+        use = (root[i] != root[j]) & (low * share[1] >= high * share[0])
+        if star is None:  # at the first common shingle, all that are common stand at or behind it
+            most = np.minimum(n[i].astype(np.int64) - pos[i], n[j].astype(np.int64) - pos[j])
+            use &= most * (share[0] + share[1]) >= share[0] * (low + high)
+        a, b = h[i[use]], h[j[use]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _groups(batches):
+            s = r[0]
+            if star is not None:
+                first = np.searchsorted(s, s)
+                yield pairs(r, first, np.arange(len(s)))
+                continue
+            i, k = np.arange(len(s)), 1
+            while len(i := i[i + k < len(s)]) and len(i := i[s[i] == s[i + k]]):
+                for at in range(0, len(i), 1 << 18):
+                    part = i[at : at + (1 << 18)]
+                    yield pairs(r, part, part + k)
+                k += 1
+
+    order = F.xxhash64(F.lit(star or 0), "h")
+    dealt = rows.select("s", order.alias("o"), "h", "n", "pos", "root").repartition("s").sortWithinPartitions("s", "o")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, whole: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets (h, shingles) reach the share."""
+    one = whole.select(F.col("h").alias("a"), F.col("shingles").alias("x"))
+    two = whole.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    return pairs.join(two, "b").join(one, "a").filter(both * (share[0] + share[1]) >= share[0] * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: tuple[int, int] = SHARE) -> DataFrame:
+    """One row of each component of texts linked by similarity, that with the smallest (id, text hash); columns as in `docs`."""
+    key = row_key(id_col, text_col)
+    base = cut(prefixes(docs, key, text_col, width, share))
+    each = cut(base.groupBy("h").agg(F.min("k").alias("first"), F.max("n").alias("n")))
+    own = base.join(each.select(F.col("h").alias("eh"), F.col("first").alias("ek")), (F.col("h") == F.col("eh")) & (F.col("k") == F.col("ek"))).dropDuplicates(["h"])
+    dealt = cut(shared(own.select("h", "n", F.posexplode("prefix").alias("pos", "s"))))
+    few = each.join(dealt.select("h").distinct(), "h", "left_semi").select("h", F.col("first").alias("k"))
+    texts = docs.select(key.alias("__wl_k"), F.col(text_col).alias("t"))
+    texts = texts.join(few, (F.col("__wl_k.t") == F.col("k.t")) & F.col("__wl_k.d").eqNullSafe(F.col("k.d"))).select("h", "t").dropDuplicates(["h"])
+    whole = cut(sets(texts, "t", width))
+    links = roots = None
+    for star in [*range(STARS), None]:
+        if roots is None:
+            rows = dealt.withColumn("root", F.col("h"))
+        else:
+            rows = dealt.join(roots, dealt.h == roots.node, "left").select("s", "h", "n", "pos", F.coalesce("root", "h").alias("root"))
+        found = cut(verified(candidates(rows, share, star), whole, share))
+        links = found if links is None else links.union(found)
+        roots = cut(components(links))
+    of = each.join(roots, each.h == roots.node, "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first").alias("k"))
+    return rows_of(docs, key, of.select("k"))

@@ -189,15 +189,24 @@ def cluster(docs: DataFrame, id_col: Column | str = "doc_id", text_col: str = "t
     return fps.join(of, F.col("fp") == F.col("cfp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS, **how: int) -> DataFrame:
-    """One row of each component, that with the smallest (id, text hash); columns as in `docs`."""
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"))
-    keys = cluster(docs, key, text_col, width, radius, **how).select(F.col("component_id").alias("k")).distinct()
+def row_key(id_col: str, text_col: str) -> Column:
+    """Orders rows by id, nulls last, and then by the text's hash."""
+    return F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"))
+
+
+def rows_of(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """One row of `docs` for each of the distinct `keys` (k), with the columns of `docs`."""
     keys = keys.select(F.col("k.n").alias("__wl_n"), F.col("k.d").alias("__wl_d"), F.col("k.t").alias("__wl_t"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__wl_row"), key.alias("__wl_k"))
     one = own.join(keys, (F.col("__wl_k.t") == F.col("__wl_t")) & F.col("__wl_k.d").eqNullSafe(F.col("__wl_d")), "left_semi")
     return one.dropDuplicates(["__wl_k"]).select("__wl_row.*")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS, **how: int) -> DataFrame:
+    """One row of each component, that with the smallest (id, text hash); columns as in `docs`."""
+    key = row_key(id_col, text_col)
+    return rows_of(docs, key, cluster(docs, key, text_col, width, radius, **how).select(F.col("component_id").alias("k")).distinct())
+
+
 def op9(docs: DataFrame) -> DataFrame:
     return cluster(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
