@@ -1,7 +1,9 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits with
-single spaces), and sentences that are known become identifiers. The sequence of a
+A text is normalised (lower case, letters and digits with single separators), where a
+separator is a sentence's end (also a blank line), a line's end or a space. A known
+sentence stands between ends of sentences or lines, may be wrapped over lines, and each
+line may begin with a comment leader. Known sentences become identifiers. The sequence of a
 text's identifiers is matched against ordered rules, longest first; a rule takes the
 identifiers that it matches, so that they don't count again for a shorter one. All of
 it is one projection of the scan: nothing is shuffled and no function leaves the JVM.
@@ -82,8 +84,11 @@ RULES = [
     ("CC0-1.0", ["cc0-ref"]),
 ]
 
-#: Every known sentence has one of these, in any case; others aren't normalised.
-HINTS = ["licen", "permission", "free software", "redistribut", "warrant", "liable", "without any", "cc by", "cc0"]
+#: What comments put before a line.
+LEADER = r"(?dm)^[^a-z0-9\n]+(?:(?:dnl|rem)[\x20\x09]+[^a-z0-9\n]*)?|^(?:dnl|rem)[\x20\x09]+[^a-z0-9\n]*"
+
+#: Every known sentence has one of these, in any case and wrapped anywhere; other texts aren't normalised.
+HINTS = ["licen", "permission", r"free[^a-z0-9]+(?:(?:dnl|rem)[^a-z0-9]+)?software", "redistribut", "warrant", "liable"]
 
 
 def normalised(sentence: str) -> str:
@@ -91,16 +96,23 @@ def normalised(sentence: str) -> str:
 
 
 KNOWN = {normalised(s): k for k, s in SENTENCES.items()}
-assert all(any(h in s.lower() for h in HINTS) for s in SENTENCES.values())
+assert all(re.search("|".join(HINTS), s.lower()) for s in SENTENCES.values())
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences in a text, in their order."""
-    broken = F.regexp_replace(text, r"([.!?;:])[\x20\x09]+", "$1\n")
-    likely = F.filter(F.split(broken, "\n"), lambda s: F.length(s).between(min(map(len, KNOWN)), 4 * max(map(len, KNOWN))) & F.lower(s).rlike("|".join(HINTS)))
-    norm = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
+    low = F.lower(text)
+    bare = F.regexp_replace(F.concat(F.lit("\n"), low, F.lit("\n")), LEADER, "")
+    ends = F.regexp_replace(bare, r"[.!?;:][\x20\x09\n]+", "\n\n")
+    # a blank line stands for a sentence's end from here on, then a bar
+    marked = F.regexp_replace(ends, r"[^a-z0-9\n]+", " ")
+    line = F.regexp_replace(marked, r"\x20*\n\x20*", "\n")
+    stream = F.concat(F.lit("|"), F.regexp_replace(line, r"\n\n+", "|"), F.lit("|"))
+    # the longest first, as one may begin another
+    known = "|".join(s.replace(" ", "[\\x20\n]") for s in sorted(KNOWN, key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(stream, F.lit(f"(?<=[|\n])({known})(?=[|\n])"), F.lit(1))
     ids = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    return F.transform(F.filter(norm, lambda s: s.isin(list(KNOWN))), lambda s: F.element_at(ids, s))
+    return F.when(low.rlike("|".join(HINTS)), F.transform(found, lambda s: F.element_at(ids, F.translate(s, "\n", " ")))).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
