@@ -56,11 +56,19 @@ def columns(blocks: DataFrame, by: str, x0: str, x1: str, width: str, share: flo
     return b.select(by, F.when(two, 2).otherwise(1).alias("n_columns"), F.when(two, (F.get("gaps", F.lit(0)) + 0.5) * F.col("width") / BINS).alias("split_x"), degraded.alias("degraded"))
 
 
-def outside_cells(blocks: DataFrame, cells: DataFrame, page: str = "page") -> DataFrame:
-    """Blocks (page, x0, y0, x1, y1) whose middle lies in no cell of their page; borders count as inside."""
-    b, c = blocks.alias("b"), cells.alias("c")
+def outside_cells(blocks: DataFrame, cells: DataFrame, page: str = "page", tile: float = 64.0) -> DataFrame:
+    """Blocks (page, x0, y0, x1, y1) whose middle lies in no cell of their page; borders count as inside.
+
+    A page is cut into square tiles of side `tile`. A cell is in each tile that it meets and a
+    middle in one, so blocks are held only against the cells of their tile.
+    """
+    place = lambda c: F.floor(c / tile)
+    span = lambda a, b: F.explode(F.sequence(place(F.col(a)), place(F.col(b))))
+    c = cells.select(page, "x0", "y0", "x1", "y1").filter("x0 <= x1 AND y0 <= y1").distinct().withColumn("__tx", span("x0", "x1")).withColumn("__ty", span("y0", "y1")).alias("c")
+    b = blocks.alias("b")
     x, y = (F.col("b.x0") + F.col("b.x1")) / 2, (F.col("b.y0") + F.col("b.y1")) / 2
-    inside = (F.col(f"b.{page}") == F.col(f"c.{page}")) & x.between(F.col("c.x0"), F.col("c.x1")) & y.between(F.col("c.y0"), F.col("c.y1"))
+    inside = (F.col(f"b.{page}") == F.col(f"c.{page}")) & (place(x) == F.col("c.__tx")) & (place(y) == F.col("c.__ty"))
+    inside &= x.between(F.col("c.x0"), F.col("c.x1")) & y.between(F.col("c.y0"), F.col("c.y1"))
     return b.join(c, inside, "left_anti")
 
 
