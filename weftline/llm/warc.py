@@ -9,8 +9,8 @@ moved to its final name, so a task that is run again leaves one whole file.
 
 Defined cases: a null payload counts as empty; null ids are written and come back
 null, and are the last choice for a response; rows that repeat a response's id and
-payload are responses too; an empty table gives no archives; too few records for a
-dictionary are written without one. Only the named columns are read. Ids are integers.
+payload are responses too; an empty table gives no archives; fewer than 16 records of
+64 bytes or more are written without a dictionary. Only the named columns are read. Ids are integers.
 """
 
 from __future__ import annotations
@@ -34,17 +34,17 @@ FRAME_MAGIC = 0xFD2FB528
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """(page_id, digest, record_type, refers_to) of distinct ids and payloads, without the payloads.
+    """(page_id, digest, record_type, refers_to, payload_bytes) of distinct ids and payloads, without the payloads.
 
     The response is the smallest id of those with the payload, and each row that has
     this id. A payload under `least` bytes is always a response.
     """
     payload = _payload(payload_col)
-    ids = pages.select(F.col(id_col).alias("page_id"), F.sha1(payload).alias("digest"), (F.length(payload) < least).alias("short")).distinct()
+    ids = pages.select(F.col(id_col).alias("page_id"), F.sha1(payload).alias("digest"), (F.length(payload) < least).alias("short"), F.length(payload).alias("payload_bytes")).distinct()
     ids = cut(ids)
     first = ids.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"))
     kind = F.when(F.col("short") | F.col("page_id").eqNullSafe(F.col("first")), "response").otherwise("revisit")
-    return ids.join(first, F.col("digest") == F.col("d")).select("page_id", "digest", kind.alias("record_type"), F.when(kind == "revisit", F.col("first")).alias("refers_to"))
+    return ids.join(first, F.col("digest") == F.col("d")).select("page_id", "digest", kind.alias("record_type"), F.when(kind == "revisit", F.col("first")).alias("refers_to"), "payload_bytes")
 
 
 def _payload(payload_col: str) -> Column:
@@ -59,13 +59,14 @@ def prepared(pages: DataFrame, planned: DataFrame, id_col: str = "page_id", url_
 
 
 def train(pages: DataFrame, planned: DataFrame, id_col: str = "page_id", payload_col: str = "html", size: int = 64 << 10, samples: int = 1000, longest: int = 32 << 10) -> bytes:
-    """A dictionary from at most `samples` whole responses of at most `longest` bytes, the first by digest; b"" if there are too few.
+    """A dictionary from at most `samples` responses of 64 bytes or more, the first by digest, each up to `longest` bytes; b"" if there are too few.
 
     Records that aren't chosen are compressed with the same dictionary all the same.
     """
-    chosen = planned.filter("record_type = 'response'").orderBy("digest", "page_id").limit(samples).select(F.col("page_id").alias("pid"))
-    src = pages.select(F.col(id_col).alias("page_id"), _payload(payload_col).alias("payload")).filter(F.length("payload").between(64, longest))
-    texts = sorted({bytes(r["payload"]) for r in src.join(F.broadcast(chosen), F.col("page_id") == F.col("pid")).dropDuplicates(["page_id"]).select("payload").collect()})
+    chosen = planned.filter("record_type = 'response' AND payload_bytes >= 64").orderBy("digest", "page_id").limit(samples).select(F.col("page_id").alias("pid"), F.col("digest").alias("pd"))
+    src = pages.select(F.col(id_col).alias("page_id"), _payload(payload_col).alias("payload")).withColumn("digest", F.sha1("payload"))
+    src = src.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("pid")) & (F.col("digest") == F.col("pd"))).dropDuplicates(["digest"])
+    texts = sorted({bytes(r["head"]) for r in src.select(F.substring("payload", 1, longest).alias("head")).collect()})
     try:
         return zstandard.train_dictionary(min(size, max(1024, sum(map(len, texts)) // 16)), texts).as_bytes() if len(texts) >= 16 else b""
     except zstandard.ZstdError:  # too little to learn from
