@@ -32,27 +32,47 @@ def bucket_of(text: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir; a local one where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Lets Spark remove a query's shuffle files once the query has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """The rows of `df`, read back from Parquet at `path`. The shuffles behind them are over and their files go."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEAN, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write(df, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop(df: DataFrame) -> None:
-    """Removes what `cut` wrote for `df`, which isn't to be read again."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if name.startswith(shared_dir(spark)):
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*dfs: DataFrame) -> None:
+    """Removes what `cut` wrote for each of `dfs`, which aren't to be read again."""
+    for df in dfs:
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if name.startswith(shared_dir(df.sparkSession)):
+                remove(df.sparkSession, name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

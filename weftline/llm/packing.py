@@ -9,9 +9,10 @@ plan therefore needs the histogram of lengths only (at most `capacity` numbers),
 whatever the number of pieces, and pieces find their place by their rank among
 those of their length.
 
-Defined cases: a null or empty text is the end token alone; repeated rows are
-packed separately; an empty table gives an empty result; other columns of the
-input are not read.
+Defined cases: a null or empty text is the end token alone; a very long text, or
+one with a very long run of one character, is encoded whole and cut into full pieces;
+repeated rows are packed separately; ids may be of any type and null; an empty table
+gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -30,23 +31,39 @@ CAPACITY = 1024
 END = 2
 
 
-def byte_encoder(path: str | None = None):
+#: The string that the tokenizer takes as its special token.
+SPECIAL = "<|endoftext|>"
+#: tiktoken gives up on white space much longer than this; such texts go to `tokenizers`.
+RUN = 10_000
+
+
+def byte_encoder(path: str | None = None, whole: str | None = None):
     """text -> ids of the byte-level BPE of 50,257 entries, as `tokenizers` gives them with default settings.
 
-    `path`: its ranks, in tiktoken's format. The literal end-of-text string in a text
-    is the special token, as in `tokenizers`.
+    `path`: its ranks, in tiktoken's format; `whole`: the same tokenizer in the format of
+    `tokenizers`. Both give the same ids, the first several times as fast. The literal
+    end-of-text string in a text is the special token, as in `tokenizers`.
     """
     import base64
+    import re
+    from functools import cache
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {"<|endoftext|>": 50256}
-    enc = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    plain = enc.encode_ordinary
-    return lambda text: enc.encode(text, allowed_special="all") if "<|endoftext|>" in text else plain(text)
+    enc = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: 50256})
+    plain, spaces = enc.encode_ordinary, re.compile(r"\s\s+")
+    slow = cache(lambda: Tokenizer.from_file(whole or public_tokenizers.path("byte_bpe_50k.json")))
+
+    def encode(text: str) -> list[int]:
+        if len(text) > RUN and any(m.end() - m.start() > RUN for m in spaces.finditer(text)):
+            return slow().encode(text, add_special_tokens=False).ids
+        return enc.encode(text, allowed_special="all") if SPECIAL in text else plain(text)
+
+    return encode
 
 
 def split_at(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -57,28 +74,43 @@ def split_at(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] * bool(first) + [(s, capacity) for s in range(first, n, capacity)]
 
 
+#: Ids that a task holds before it passes them on.
+AT_ONCE = 1 << 20
+
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every row's ids followed by `end`."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every row's ids followed by `end`; `with_ids` adds the piece's ids."""
     id_type = docs.schema[id_col].dataType
     src = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_encoder(tokenizer)
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.uint32())] * with_ids]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         for b in batches:
-            at, rows = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = np.array([*encode(text), end], dtype="<u4")
+            at, rows, size = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                cols = list(zip(*rows, strict=True)) or [()] * len(types)  # noqa: B023
+                cols = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+                if with_ids:
+                    cols[-1] = cols[-1].cast(pa.list_(pa.int32()))
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], names)  # noqa: B023
+
+            for i in range(b.num_rows):
+                ids = np.array([*encode(b.column(1)[i].as_py()), end], dtype="<u4")
                 for k, (s, n) in enumerate(split_at(len(ids), capacity)):
                     at.append(i)
-                    rows.append((k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((k, s, n, zlib.crc32(ids[s : s + n].tobytes()), *[ids[s : s + n]] * with_ids))
+                size += len(ids)
+                if size > AT_ONCE:
+                    yield out()
+                    at, rows, size = [], [], 0
+            yield out()
 
-    return src.mapInArrow(run, f"doc_id {id_type.simpleString()}, {PIECES}")
+    return src.mapInArrow(run, f"doc_id {id_type.simpleString()}, {PIECES}" + ", ids array<int>" * with_ids)
 
 
 def fullest(left: dict[int, int], room: int) -> dict[int, int]:
@@ -126,21 +158,28 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
     return out
 
 
-def pack(pieced: DataFrame, capacity: int = CAPACITY, buckets: int = 256) -> DataFrame:
-    """Adds sequence_id and offset to pieces. `pieced` is read twice and should be cheap to read again.
+def pack(pieced: DataFrame, capacity: int = CAPACITY, rows: int = 50_000) -> DataFrame:
+    """Adds sequence_id and offset to pieces. `pieced` is read three times and should be cheap to read again.
 
-    Ranks within a length are made by (length, bucket), so that a length that most
-    pieces have is dealt to many tasks; at most capacity * buckets counts reach the
-    driver, and the plan and these counts are what tasks get.
+    Ranks within a length are made by (length, bucket), with a bucket for about `rows`
+    pieces of the length, so that a length that most pieces have is dealt to many tasks.
+    The driver gets the histogram and a count for each bucket; the plan and these counts
+    are what tasks get.
     """
-    pieced = pieced.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counts = np.zeros((capacity + 1, buckets), dtype=np.int64)
-    for n, b, c in pieced.groupBy("length", "__b").count().collect():
-        counts[n, b] = c
-    before = np.cumsum(counts, axis=1) - counts
+    histogram = dict(map(tuple, pieced.groupBy("length").count().collect()))
+    many = [-(-histogram.get(n, 0) // rows) or 1 for n in range(capacity + 1)]
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(F.lit(many), F.col("length").cast("int") + 1))
+    pieced = pieced.withColumn("__b", bucket.cast("int"))
+    # where each length's buckets begin, and the pieces of the length before each bucket
+    at = np.concatenate([[0], np.cumsum(many)])
+    counts = np.zeros(at[-1], dtype=np.int64)
+    found = pieced.groupBy("length", "__b").count().toArrow()
+    counts[at[found["length"].to_numpy()] + found["__b"].to_numpy()] = found["count"].to_numpy()
+    before = np.cumsum(counts) - counts
+    before -= np.repeat(before[at[:-1]], many)
     # for each length, the intervals of ranks that a pattern takes: first rank, copies in a bin, first bin, offset in the bin
     taken, bins, spans = {}, 0, {}
-    for combo, times in plan({n: int(c) for n, c in enumerate(counts.sum(axis=1)) if c}, capacity):
+    for combo, times in plan(histogram, capacity):
         offset = 0
         for n, m in combo.items():
             first = taken.get(n, 0)
@@ -149,27 +188,30 @@ def pack(pieced: DataFrame, capacity: int = CAPACITY, buckets: int = 256) -> Dat
             offset += n * m
         bins += times
     spans = {n: np.array(x, dtype=np.int64).T for n, x in spans.items()}
-    before = {n: before[n].copy() for n in spans}
+    sent = pieced.sparkSession.sparkContext.broadcast((at, before, spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, before, spans = sent.value
         for b in batches:
             length, bucket, rank = (b.column(k).to_numpy(zero_copy_only=False) for k in (3, 5, 6))
             seq, off = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             order = np.argsort(length, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
-                n = int(length[at[0]])
+            for of in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
+                n = int(length[of[0]])
                 first, m, bin0, offset = spans[n]
-                r = rank[at] - 1 + before[n][bucket[at]]
+                r = rank[of] - 1 + before[at[n] + bucket[of]]
                 k = np.searchsorted(first, r, side="right") - 1
                 inside = r - first[k]
-                seq[at] = bin0[k] + inside // m[k]
-                off[at] = offset[k] + inside % m[k] * n
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], [*b.schema.names[:5], "sequence_id", "offset"])
+                seq[of] = bin0[k] + inside // m[k]
+                off[of] = offset[k] + inside % m[k] * n
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off), *b.columns[7:]], [*b.schema.names[:5], "sequence_id", "offset", *b.schema.names[7:]])
 
     within = Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = pieced.withColumn("__r", F.row_number().over(within).cast("long"))
+    ids = ["ids"] if "ids" in pieced.columns else []
     id_type = pieced.schema["doc_id"].dataType.simpleString()
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "__b", "__r").mapInArrow(run, f"doc_id {id_type}, {PIECES}, sequence_id long, offset long")
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "__b", "__r", *ids)
+    return ranked.mapInArrow(run, f"doc_id {id_type}, {PIECES}, sequence_id long, offset long" + ", ids array<int>" * len(ids))
 
 
 def op6(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
