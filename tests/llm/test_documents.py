@@ -219,6 +219,7 @@ def test_seating_matches_exact_chinese_restaurant():
         sizes, tables = lm.reseat(sizes, tables, np.full(n, c), np.full(n, c), np.full(n, a), d, np.arange(n, dtype=np.uint64) * np.uint64(2**40 + 7), k << 32)
     assert sizes.sum() == n * c and (sizes > 0).all() and tables.sum() == len(sizes)
     assert tables.mean() == pytest.approx(expected, rel=0.02)
+    assert lm.seated(np.full(n, c), np.full(n, a), d, np.arange(n, dtype=np.uint64) * np.uint64(2**40 + 7), 5)[0].mean() == pytest.approx(expected, rel=0.02)
 
 
 def test_seating_takes_and_gives():

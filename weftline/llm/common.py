@@ -46,20 +46,20 @@ def shared_dir(spark: SparkSession) -> str:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str) -> DataFrame:
+def write(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     """The rows of `df`, read back from Parquet at `path`. The shuffles behind them are over and their files go."""
     conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN, "false")
     conf.set(CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         conf.set(CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: lineage ends there and survives lost executors."""
-    return write(df, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}")
+    return write(df, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}", compression)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
