@@ -48,11 +48,62 @@ def code(gram):
 
 
 def test_language_grams():
-    got = Counter(langid.grams("Ab, é1b").tolist())
+    got = Counter(np.concatenate(list(langid.grams("Ab, é1b"))).tolist())
     assert got == Counter(map(code, ["a", "b", "é", "b", "_a", "ab", "b_", "_é", "é_", "_b", "b_", "_ab", "ab_", "_é_", "_b_"]))
-    long = "word or more " * 200_000
-    keys, n = langid.counted(long)
-    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == Counter(langid.grams(long).tolist())
+
+
+def plain_grams(text):
+    """n-grams by code point, from the text with each run of others as one border."""
+    t = "_" + "".join(c if c.isalpha() else "_" for c in text.lower()) + "_"
+    while "__" in t:
+        t = t.replace("__", "_")
+    out = Counter(t.replace("_", "")) if t != "_" else Counter()
+    for i in range(len(t) - 1):
+        out[t[i : i + 2]] += 1
+        if i + 2 < len(t) and t[i + 1] != "_":
+            out[t[i : i + 3]] += 1
+    return Counter({code(k): v for k, v in out.items() if t != "_"})
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 7, 1 << 20])
+def test_long_texts_are_counted_as_a_whole(monkeypatch, at_once):
+    monkeypatch.setattr(langid, "AT_ONCE", at_once)
+    for text in ("", " ", "a", "ab", " a", "Ab, é1b", "abcdefghijklmnopqrstuvwxyz" * 3, "one  two\n\nthree ", "...x"):
+        keys, n = langid.counted(text)
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == plain_grams(text), text
+
+
+def test_language_id_matches_brute_force(docs, rows):
+    """Ranks, ties, cuts and distances of whole profiles."""
+    size, held = 400, lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = {}
+    for r in rows:
+        if r[2] is not None and not held(r[0]):
+            learned.setdefault(r[2], Counter()).update(plain_grams(r[1] or ""))
+
+    def rank(items):
+        above = Counter()
+        for _, n in items:
+            above[n] += 1
+        out, at = {}, 0
+        for n in sorted(above, reverse=True):
+            out[n], at = (at, at + (above[n] - 1) / 2), at + above[n]
+        return {k: out[n] for k, n in items}
+
+    profiles = {}
+    for lang, c in learned.items():
+        top = sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]
+        profiles[lang] = {k: r for k, (_, r) in rank(top).items()}
+    text = {r[0]: r[1] for r in rows}
+    for r in langid.op1(docs).collect():
+        own = {k: m for k, (first, m) in rank(list(plain_grams(text[r.doc_id] or "").items())).items() if first < size}
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        far = {lang: sum(min(size, abs(p[k] - m)) if k in p else size for k, m in own.items()) / (size * len(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert r.lang_pred == best
+        assert r.score == pytest.approx(1 - far[best])
 
 
 def test_language_distance_is_out_of_place():
@@ -63,7 +114,7 @@ def test_language_distance_is_out_of_place():
 
 
 def test_language_filter_keeps_columns_and_rejects_texts_without_letters(docs, rows):
-    out = langid.filter_language(docs)
+    out = langid.filter_language(docs, least=0.15)
     assert out.columns == docs.columns
     assert not {200, 201, 202, 204} & {r.doc_id for r in out.collect()}
     assert out.count() == len(rows) - 4

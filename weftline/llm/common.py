@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,21 @@ def shared_dir(spark: SparkSession) -> str:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Folders of `cut` in use, in the order in which they were written.
+_cuts: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, what `cut` wrote within it."""
+    n = len(_cuts)
+    try:
+        yield
+    finally:
+        while len(_cuts) > n:
+            remove(spark, _cuts.pop())
+
+
 def write(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     """The rows of `df`, read back from Parquet at `path`. The shuffles behind them are over and their files go."""
     conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN, "false")
@@ -59,7 +76,8 @@ def write(df: DataFrame, path: str, compression: str | None = None) -> DataFrame
 
 def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: lineage ends there and survives lost executors."""
-    return write(df, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}", compression)
+    _cuts.append(f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}")
+    return write(df, _cuts[-1], compression)
 
 
 def remove(spark: SparkSession, folder: str) -> None:

@@ -4,11 +4,12 @@ A profile is the ranking of a text's letter n-grams (1 to 3 places; a word's bor
 is a place in those of 2 and 3) by count, cut at rank `size`. A document gets the language whose
 profile is nearest by out-of-place distance: the sum, over the document's n-grams,
 of the difference of ranks, or `size` where the profile lacks the n-gram. N-grams of
-equal count share their mean rank, and the cut keeps or drops them together, so
-nothing depends on the order of rows.
+equal count share their mean rank; a text's cut keeps them together, a profile's keeps
+the first by code, so nothing depends on the order of rows.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is any
-text if nothing was learned; rows with null language teach nothing; equal distances
+text if nothing was learned; very long texts are counted whole, in parts that bound
+memory; rows with null language teach nothing; equal distances
 go to the first language by code point; repeated rows count as often as they occur;
 an empty table gives an empty result. Only the named columns are read.
 """
@@ -30,6 +31,8 @@ UNKNOWN = "und"
 AT_ONCE = 1 << 20
 #: A word's border; no letter has this code point.
 BORDER = 1
+#: Texts of a learned language score 0.31 or more on sf0.1; random letters, base64 and texts of languages that share neither script nor spelling 0.21 or less.
+LEAST = 0.25
 
 
 @cache
@@ -38,33 +41,29 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def grams(text: str) -> np.ndarray:
-    """The n-grams of a text as numbers, 21 bits a place, repeats included; empty for a text without a letter."""
-    a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = letters()[a]
-    if not letter.any():
-        return np.empty(0, np.int64)
-    kept = letter.copy()
-    kept[1:] |= letter[:-1]  # of a run of others, one border
-    s = np.where(letter, a, BORDER)[kept].astype(np.int64)
-    s = np.concatenate([np.full(1, BORDER), s, np.full(int(s[-1] != BORDER), BORDER)])
-    two = s[:-1] << 21 | s[1:]
-    middle = s[1:-1] != BORDER
-    return np.concatenate([s[s != BORDER], two, (two[:-1] << 21 | s[2:])[middle]])
+def grams(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of a text as numbers, 21 bits a place, repeats included; those of `AT_ONCE` code points at a time."""
+    text, s = text.lower(), np.full(1, BORDER, np.int64)
+    for at in range(0, len(text) + 1, AT_ONCE):
+        a = np.frombuffer(text[at : at + AT_ONCE].encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = letters()[a]
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]  # of a run of others, one border
+        kept[:1] |= s[-1] != BORDER
+        new = np.where(letter, a, BORDER)[kept].astype(np.int64)
+        if at + AT_ONCE > len(text) and np.append(s, new)[-1] != BORDER:
+            new = np.append(new, BORDER)
+        n = len(s)
+        s = np.concatenate([s, new])
+        two, three = s[n - 1 : -1] << 21 | s[n:], s[: len(s) - 2] << 42 | s[1:-1] << 21 | s[2:]
+        three = three[s[1:-1] != BORDER]
+        yield np.concatenate([new[new != BORDER], two, three])
+        s = s[-2:]
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and their counts; long texts in parts that overlap by no n-gram, as they are cut after words."""
-    if len(text) <= AT_ONCE:
-        return np.unique(grams(text), return_counts=True)
-    parts, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + AT_ONCE)
-        while end < len(text) and text[end].isalpha() and end - at < 2 * AT_ONCE:
-            end += 1
-        parts.append(np.unique(grams(text[at:end]), return_counts=True))
-        at = end
-    return summed(parts)
+    """Distinct n-grams and their counts."""
+    return summed([np.unique(g, return_counts=True) for g in grams(text)])
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +81,8 @@ def ranks(counts: np.ndarray, size: int) -> np.ndarray:
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = 400, most_langs: int = 10_000) -> dict[str, dict[int, float]]:
     """language -> n-gram -> rank, over all rows with a language.
 
-    Tasks emit counts by language and n-gram; what reaches the driver is `size` n-grams
-    (and ties of the last) for each language.
+    Tasks emit counts by language and n-gram; what reaches the driver is at most `size`
+    n-grams for each language. Of those that tie at the cut, the first by code stay.
     """
     src = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
 
@@ -109,7 +108,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
 
     n = src.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = n.withColumn("r", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("n")))).filter(F.col("r") <= size)
+    top = n.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= size)
     by: dict[str, tuple[list[int], list[int]]] = {}
     for lang, gram, c in top.select("lang", "gram", "n").toLocalIterator():
         x = by.setdefault(lang, ([], []))
@@ -160,15 +159,17 @@ def identify(docs: DataFrame, profiles: dict[str, dict[int, float]], id_col: str
     return src.mapInArrow(run, f"{schema}, {add}")
 
 
-def filter_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.15, **how: int) -> DataFrame:
-    """The rows of `docs`, unchanged, whose text has a language: not `und`, and with a score of at least `least`.
+def filter_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST, **how: int) -> DataFrame:
+    """The rows of `docs` whose text has a language: not `und`, and with a score of at least `least`. A null language becomes the one found.
 
     Profiles are learned from the non-null languages of the same rows.
     """
     profiles = learn(docs, lang_col, text_col, **how)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__wl_row")
-    out = identify(docs, profiles, id_col, text_col, keep=(row,), **how)
-    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__wl_row.*")
+    lang = F.col(f"`{lang_col}`")
+    row = F.struct(*[lang.cast("string").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns]).alias("__wl_row")
+    out = identify(docs, profiles, id_col, text_col, keep=(row,), **how).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    found = F.coalesce(F.col(f"__wl_row.`{lang_col}`"), F.col("lang_pred"))
+    return out.select(*[found.alias(c) if c == lang_col else F.col(f"__wl_row.`{c}`") for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:

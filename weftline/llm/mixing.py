@@ -14,7 +14,8 @@ Defined cases: null text has size 0; null source is a source of its own, ordered
 last; a source of size 0 has target 0 and takes none; repeated rows are separate
 documents; an empty table gives an empty result. Results depend on the rows and
 the seed only. `mix` carries the input's columns under their own names; a clash
-with a column it adds raises ValueError, `mixed` can't clash.
+with a column it adds raises ValueError, `mixed` can't clash; a very long text counts
+whole.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), sha
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: str = "mix", sub_buckets: int = 256) -> DataFrame:
     """Every row of `docs` with size, source_size, target, copies and taken (copies times size)."""
     own = docs.columns
-    if clash := {*ADDED, "__skey", "__k", "__t", "__c", "__b"} & set(own):
+    if clash := set(ADDED) & set(own):
         raise ValueError(f"columns of the input would be overwritten: {sorted(clash)}")
     size = n_words(text_or_empty(text_col)) if size is None else size
     rows = docs.withColumns({
@@ -79,14 +80,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     classes = counts.groupBy("skey", "__c").agg(F.sum("n").alias("n")).withColumn("cn", F.coalesce(F.sum("n").over(before("skey").orderBy(F.desc("__c"))), F.lit(0)))
     offsets = counts.withColumn("bn", F.coalesce(F.sum("n").over(before("skey", "__c").orderBy("__b")), F.lit(0)))
     offsets = offsets.join(classes.drop("n"), ["skey", "__c"]).join(source_targets(counts, weights, share, most), "skey")
-    offsets = offsets.select("skey", F.col("__c").alias("oc"), F.col("__b").alias("ob"), (F.col("cn") + F.col("bn")).alias("before"), "source_size", "target")
-    out = rows.join(offsets, (F.col("__skey") == F.col("skey")) & (F.col("__c") == F.col("oc")) & (F.col("__b") == F.col("ob")))
+    offsets = offsets.select(F.col("skey").alias("__os"), F.col("__c").alias("__oc"), F.col("__b").alias("__ob"), (F.col("cn") + F.col("bn")).alias("__before"), "source_size", "target")
+    out = rows.join(offsets, (F.col("__skey") == F.col("__os")) & (F.col("__c") == F.col("__oc")) & (F.col("__b") == F.col("__ob")))
     wide = lambda c: c.cast("decimal(38,0)")
     each = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(F.lit(0)).cast("decimal(18,0)")
-    start = F.floor(_hex(F.md5(F.concat(F.lit(seed + "#"), F.col("skey")).cast("binary")), 1, 8) / F.lit(4294967296.0) * UNIT).cast("decimal(18,0)")
+    start = F.floor(_hex(F.md5(F.concat(F.lit(seed + "#"), F.col("__skey")).cast("binary")), 1, 8) / F.lit(4294967296.0) * UNIT).cast("decimal(18,0)")
     out = out.withColumns({"__e": each, "__u": start})
     within = Window.partitionBy("__skey", "__c", "__b").orderBy("__k", F.col(id_col), "size", "__t").rowsBetween(Window.unboundedPreceding, 0)
-    end = wide(F.sum("__e").over(within)) + wide(F.col("before").cast("decimal(19,0)") * F.col("__e")) + F.col("__u")
+    end = wide(F.sum("__e").over(within)) + wide(F.col("__before").cast("decimal(19,0)") * F.col("__e")) + F.col("__u")
     out = out.withColumn("__end", wide(end))
     crossed = F.expr(f"(__end div {UNIT}) - ((__end - __e) div {UNIT})")
     out = out.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
