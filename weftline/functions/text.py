@@ -148,8 +148,9 @@ def token_estimate(c: Column) -> Column:
 
 
 def reflow(c: Column) -> Column:
-    """Lines of a paragraph joined by a space; paragraphs are kept apart by a blank line."""
-    return F.array_join(F.transform(F.split(c, "\n\n"), lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), strip), lambda x: x != ""), " ")), "\n\n")
+    """Lines of a paragraph joined by a space; paragraphs are kept apart by a blank line, and empty ones go."""
+    paragraphs = F.transform(F.split(c, "\n\n"), lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), strip), lambda x: x != ""), " "))
+    return F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
 
 
 def human_bytes(c: Column) -> Column:

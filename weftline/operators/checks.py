@@ -14,11 +14,13 @@ MOST_BROADCAST_TERMS = 20_000
 
 
 def ratios(pairs: DataFrame, thresholds: DataFrame | None = None, default: float = 1.5) -> DataFrame:
-    """Adds expansion_ratio and the threshold of the row's language pair (source_lang, target_lang)."""
+    """Adds expansion_ratio and the threshold of the row's language pair (source_lang, target_lang), which `thresholds` has in lower case."""
     pairs = pairs.withColumn("expansion_ratio", S.expansion_ratio(F.col("source_text"), F.col("translated_text")))
     if thresholds is None:
         return pairs.withColumn("threshold", F.lit(default))
-    return pairs.join(thresholds, ["source_lang", "target_lang"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(default)))
+    of = thresholds.select(F.col("source_lang").alias("__s"), F.col("target_lang").alias("__t"), "threshold")
+    pairs = pairs.join(of, (F.lower("source_lang") == F.col("__s")) & (F.lower("target_lang") == F.col("__t")), "left").drop("__s", "__t")
+    return pairs.withColumn("threshold", F.coalesce("threshold", F.lit(default)))
 
 
 def term_hits(texts: DataFrame, terms: DataFrame, text_col: str = "source_text") -> DataFrame:
@@ -31,10 +33,10 @@ def term_hits(texts: DataFrame, terms: DataFrame, text_col: str = "source_text")
     """
     if terms.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS:
         return texts.join(F.broadcast(terms), T.contains_ci(F.col(text_col), F.col("source_term")))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.lower(c), i, F.lit(3))))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
     short = texts.join(F.broadcast(terms.filter(F.length("source_term") < 3).dropDuplicates()), T.contains_ci(F.col(text_col), F.col("source_term")))
-    left = texts.withColumn("__g", F.explode(grams(F.col(text_col))))
-    right = terms.filter(F.length("source_term") >= 3).withColumn("__g", F.lower(F.substring("source_term", 1, 3)))
+    left = texts.withColumn("__g", F.explode(grams(F.lower(text_col))))
+    right = terms.filter(F.length("source_term") >= 3).withColumn("__g", F.substring(F.lower("source_term"), 1, 3))
     return left.join(right, "__g").filter(T.contains_ci(F.col(text_col), F.col("source_term"))).drop("__g").unionByName(short)
 
 
@@ -50,7 +52,7 @@ def flags(pairs: DataFrame, terms: DataFrame | None = None, thresholds: DataFram
     own = F.array_compact(F.array(
         F.when(F.col("expansion_ratio") > F.col("threshold"), flag("overflow", F.lit("ratio above threshold"))),
         F.when(missing != "", flag("placeholder_mismatch", missing)),
-        F.when((T.strip(src) == T.strip(out)) & (F.length(src) > 8) & ~T.is_ascii(src), flag("llm_refusal", F.lit("unchanged"))),
+        F.when((T.strip(src) == T.strip(out)) & (F.length(T.strip(src)) > 8) & ~T.is_ascii(T.strip(src)), flag("llm_refusal", F.lit("unchanged"))),
     ))
     found = pairs.select("job_id", "seq", F.inline(own))
     if terms is not None:

@@ -16,16 +16,17 @@ LOW_CONFIDENCE = 0.7
 
 
 def body_size(spans: DataFrame, by: str, size: str) -> DataFrame:
-    """The most frequent size, in halves; the smallest of equally frequent ones."""
-    half = F.round(F.col(size) * 2) / 2
-    n = spans.filter(F.col(size).isNotNull()).groupBy(by, half.alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy(by).agg(F.max_by("size", F.struct("n", (-F.col("size")).alias("s"))).alias("body_size"))
+    """The most frequent positive size, in halves (a quarter goes to the even one); the smallest of equally frequent ones. 12 where there is none."""
+    half = F.when(F.col(size) > 0, F.bround(F.col(size).cast("double") * 2) / 2)
+    n = spans.groupBy(by, half.alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    order = F.when(F.col("size").isNotNull(), F.struct("n", (-F.col("size")).alias("s")))
+    return n.groupBy(by).agg(F.coalesce(F.max_by("size", order), F.lit(12.0)).alias("body_size"))
 
 
 def body_font(spans: DataFrame, by: str, font: str, chars: str, place: str) -> DataFrame:
-    """The font with most characters; of equal ones the first seen."""
+    """The font with most characters; of equal ones the first seen, and of those seen at one place the last by name."""
     n = spans.groupBy(by, font).agg(F.sum(chars).alias("chars"), F.min(place).alias("first"))
-    return n.groupBy(by).agg(F.max_by(font, F.struct("chars", (-F.col("first")).alias("f"))).alias("font"))
+    return n.groupBy(by).agg(F.max_by(font, F.struct("chars", (-F.col("first")).alias("f"), font)).alias("font"))
 
 
 def line_breaks(lines: DataFrame, by: str, y: str, order: list[str], factor: float = 1.2) -> DataFrame:

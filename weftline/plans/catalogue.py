@@ -79,7 +79,7 @@ NUMBERED_SQL = f"(SELECT job_id, text, row_number() OVER (PARTITION BY job_id OR
 query(f"""
 WITH s AS {NUMBERED_SQL},
 f AS (
-  SELECT 'llm_refusal' AS flag_type, job_id, seq FROM s WHERE length(text) > 8 AND regexp_matches(text, '[^\\x00-\\x7F]')
+  SELECT 'llm_refusal' AS flag_type, job_id, seq FROM s WHERE length({strip_sql('text')}) > 8 AND regexp_matches({strip_sql('text')}, '[^\\x00-\\x7F]')
   UNION ALL SELECT 'glossary_violation', job_id, seq FROM s, {TERMS_SQL} WHERE length(target_term) >= 2 AND contains(lower(text), lower(source_term)) AND NOT contains(lower(text), lower(target_term)))
 SELECT flag_type, count(*) AS flags, count(DISTINCT (job_id, seq)) AS segments FROM f GROUP BY flag_type
 """)(quality_report)
@@ -355,7 +355,7 @@ FLAGS_SQL = f"""(
   SELECT job_id, seq, 'overflow' AS flag_type, 'ratio above threshold' AS details FROM {PAIRS_SQL} WHERE length(source_text) > 0 AND length(translated_text) / length(source_text) > 1.5
   UNION ALL SELECT job_id, seq, 'glossary_violation', source_term FROM {PAIRS_SQL}, {TERMS_SQL} WHERE length(target_term) >= 2 AND contains(lower(source_text), lower(source_term)) AND NOT contains(lower(translated_text), lower(target_term))
   UNION ALL SELECT job_id, seq, 'placeholder_mismatch', '' FROM {PAIRS_SQL} WHERE len(list_filter(regexp_extract_all(source_text, '⟦T[0-9]+⟧'), lambda x: NOT contains(translated_text, x))) > 0
-  UNION ALL SELECT job_id, seq, 'llm_refusal', 'unchanged' FROM {PAIRS_SQL} WHERE {strip_sql('source_text')} = {strip_sql('translated_text')} AND length(source_text) > 8 AND regexp_matches(source_text, '[^\\x00-\\x7F]'))"""
+  UNION ALL SELECT job_id, seq, 'llm_refusal', 'unchanged' FROM {PAIRS_SQL} WHERE {strip_sql('source_text')} = {strip_sql('translated_text')} AND length({strip_sql('source_text')}) > 8 AND regexp_matches({strip_sql('source_text')}, '[^\\x00-\\x7F]'))"""
 
 
 def _flags(spark, d):
@@ -435,12 +435,18 @@ def shrink_overflow(spark, d):
 # ---- layout
 
 
-@query("SELECT l_orderkey, arg_max(size, (n, -size)) AS body_size FROM (SELECT l_orderkey, round(l_quantity * 2) / 2 AS size, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
+@query("""
+SELECT l_orderkey, coalesce(arg_max(size, (n, -size)) FILTER (WHERE size IS NOT NULL), 12.0::DOUBLE) AS body_size
+FROM (SELECT l_orderkey, CASE WHEN s > 0 THEN round_even(s * 2, 0) / 2 END AS size, count(*) AS n FROM (SELECT l_orderkey, (l_quantity::DOUBLE - 25) * 0.375::DOUBLE AS s FROM lineitem) GROUP BY ALL)
+GROUP BY l_orderkey
+""")
 def body_size_mode(spark, d):
-    return layout.body_size(table(spark, d, "lineitem"), "l_orderkey", "l_quantity")
+    # sizes with halves of a half, and some that are not positive
+    s = table(spark, d, "lineitem").select("l_orderkey", ((F.col("l_quantity").cast("double") - 25) * 0.375).alias("size"))
+    return layout.body_size(s, "l_orderkey", "size")
 
 
-@query("SELECT l_orderkey, arg_max(f, (chars, -first)) AS font FROM (SELECT l_orderkey, l_returnflag || l_linestatus AS f, sum(l_partkey) AS chars, min(l_suppkey) AS first FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, arg_max(f, (chars, -first, f)) AS font FROM (SELECT l_orderkey, l_returnflag || l_linestatus AS f, sum(l_partkey) AS chars, min(l_suppkey) AS first FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
 def weighted_argmax(spark, d):
     s = table(spark, d, "lineitem").withColumn("font", F.concat("l_returnflag", "l_linestatus"))
     return layout.body_font(s, "l_orderkey", "font", "l_partkey", "l_suppkey")
