@@ -229,7 +229,7 @@ SHARE = (4, 5)
 #: Bits of a long fingerprint, shards that each is dealt to, and bits that a shard's members have in common.
 BITS, TABLES, SAMPLED = 128, 60, 14
 #: Bits in which texts of the similarity may differ: the mean at 0.8 is 19.4, the standard deviation 4.1.
-FAR = 32
+FAR = 30
 #: Rounds in which a shard's members are held against one of them only, and the shards of each.
 STARS, STAR_TABLES = 3, 8
 
