@@ -230,8 +230,10 @@ SHARE = (4, 5)
 BITS, TABLES, SAMPLED = 128, 60, 14
 #: Bits in which texts of the similarity may differ: the mean at 0.8 is 19.4, the standard deviation 4.1.
 FAR = 30
+#: Bits of a wide fingerprint, and in how many texts of the similarity may differ: the mean at 0.8 is 621, the standard deviation 23.
+WIDE, WIDE_FAR = 4096, 690
 #: Rounds in which a shard's members are held against one of them only, and the shards of each.
-STARS, STAR_TABLES = 3, 8
+STARS, STAR_TABLES = 2, 8
 
 
 def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -304,10 +306,16 @@ def star_pairs(rows: DataFrame, salt: int, share: tuple[int, int]) -> DataFrame:
     return met.select(F.least("x.h", "hub.h").alias("a"), F.greatest("x.h", "hub.h").alias("b")).distinct()
 
 
-def all_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(a, b): all members of a shard whose roots differ, if they may reach the share."""
+def met(rows: DataFrame, share: tuple[int, int], what: str) -> DataFrame:
+    """What members of a shard whose roots differ make of each other, if they may reach the share.
 
-    def pairs(s: np.ndarray, h: np.ndarray, n: np.ndarray, f0: np.ndarray, f1: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    `what`: `some` gives (a, b), the shards and hashes of those that meet any; `nearest` gives
+    (a, b), the hashes of each and its nearest; `all` gives the hashes of every pair.
+    A column `wide` of `rows`, a fingerprint of WIDE bits, is held against WIDE_FAR.
+    """
+    wide = "wide" in rows.columns
+
+    def pairs(s: np.ndarray, h: np.ndarray, n: np.ndarray, f0: np.ndarray, f1: np.ndarray, root: np.ndarray, *w: np.ndarray) -> Iterator[pa.RecordBatch]:
         # rows are in the order of (s, root); a row meets those behind its root's, up to its shard's end
         new = np.concatenate([[True], s[1:] != s[:-1]])
         ends = np.append(np.flatnonzero(new), len(s))[np.cumsum(new)]
@@ -315,27 +323,55 @@ def all_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
         behind = np.append(np.flatnonzero(new), len(s))[np.cumsum(new)]
         many = ends - behind
         upto = np.cumsum(many)
+        least, other = np.full(len(s), np.iinfo(np.int64).max), np.full(len(s), -1)
+
+        def nearer(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+            o = np.lexsort((d, i))
+            o = o[np.diff(i[o], prepend=-1) > 0]
+            o = o[d[o] < least[i[o]]]
+            least[i[o]], other[i[o]] = d[o], j[o]
+
+        def batch(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
         lo = 0
         while lo < len(s):
             hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20), side="right")))
             m = many[lo:hi]
             i = np.repeat(np.arange(lo, hi), m)
             j = np.repeat(behind[lo:hi] - (np.cumsum(m) - m), m) + np.arange(len(i))
-            use = np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j]) <= FAR
-            i, j = i[use], j[use]
+            d = np.bitwise_count(f0[i] ^ f0[j]).astype(np.int64) + np.bitwise_count(f1[i] ^ f1[j])
+            use = d <= FAR
+            i, j, d = i[use], j[use], d[use]
             use = np.minimum(n[i], n[j]).astype(np.int64) * share[1] >= np.maximum(n[i], n[j]).astype(np.int64) * share[0]
-            a, b = h[i[use]], h[j[use]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            i, j, d = i[use], j[use], d[use]
+            if w:
+                for k in range(0, len(i), 1 << 14):  # bounds memory for dense shards
+                    d[k : k + (1 << 14)] = np.bitwise_count(w[0][i[k : k + (1 << 14)]] ^ w[0][j[k : k + (1 << 14)]]).sum(axis=1)
+                use = d <= WIDE_FAR
+                i, j, d = i[use], j[use], d[use]
+            if what == "all":
+                yield from batch(np.minimum(h[i], h[j]), np.maximum(h[i], h[j]))
+            elif len(i):
+                nearer(i, j, d)
+                nearer(j, i, d)
             lo = hi
+        found = np.flatnonzero(other >= 0)
+        if what == "some":
+            yield from batch(s[found], h[found])
+        elif what == "nearest":
+            yield from batch(np.minimum(h[found], h[other[found]]), np.maximum(h[found], h[other[found]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns[:6]]
             now[3:5] = [x.astype(np.int64).view(np.uint64) for x in now[3:5]]
+            if wide:
+                now.append(np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint64).reshape(b.num_rows, -1))
             s = now[0]
             last = int(np.searchsorted(s, s[-1]))  # the last shard may go on
             if kept and kept[0][0][0] != s[0] or last:
@@ -351,31 +387,42 @@ def all_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
         if kept:
             yield from pairs(*[np.concatenate(x) for x in zip(*kept, strict=True)])
 
-    return rows.repartition("s").sortWithinPartitions("s", "root").mapInArrow(run, "a long, b long").distinct()
+    columns = ["s", "h", "n", "f0", "f1", "root", *["wide"] * wide]
+    return rows.select(*columns).repartition("s").sortWithinPartitions("s", "root").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: Column, text_col: str, first: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose texts' shingles reach the share. `first`: (h, first), the key of a text for each hash."""
-    few = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(first.select("h", F.col("first").alias("k")), "h")
+def sets(few: DataFrame, docs: DataFrame, key: Column, text_col: str, first: DataFrame, width: int, wide: bool = False) -> DataFrame:
+    """(h, n, f0, f1, shingles, and their fingerprint of WIDE bits if asked for) of the hashes in `few`. `first`: (h, first), the key of a text for each hash."""
+    few = few.distinct().join(first.select("h", "n", "f0", "f1", F.col("first").alias("k")), "h")
     texts = docs.select(key.alias("__wl_k"), text_or_empty(text_col).cast("binary").alias("t"))
-    texts = texts.join(few, (F.col("__wl_k.t") == F.col("k.t")) & F.col("__wl_k.d").eqNullSafe(F.col("k.d"))).select("h", "t")
+    texts = texts.join(few, (F.col("__wl_k.t") == F.col("k.t")) & F.col("__wl_k.d").eqNullSafe(F.col("k.d"))).select("t", "h", "n", "f0", "f1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                s = shingles(b.column(1)[i].as_py(), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s))], ["h", "shingles"])
+                s = shingles(b.column(0)[i].as_py(), width)
+                own = pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s.view(np.int64)))
+                more = [pa.array([long_fingerprint(s, WIDE).tobytes()], pa.binary())] if wide else []
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, 1) for c in b.columns[1:]], own, *more], names)
+
+    names = ["h", "n", "f0", "f1", "shingles", *["wide"] * wide]
+    return cut(texts.mapInArrow(run, "h long, n int, f0 long, f1 long, shingles array<bigint>" + ", wide binary" * wide).dropDuplicates(["h"]))
 
-    whole = cut(texts.mapInArrow(run, "h long, shingles array<bigint>").dropDuplicates(["h"]))
+
+def verified(pairs: DataFrame, whole: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose shingles in `whole` reach the share."""
     both = F.size(F.array_intersect("x", "y")).cast("long")
     one, two = (whole.select(F.col("h").alias(p), F.col("shingles").alias(x)) for p, x in (("a", "x"), ("b", "y")))
-    out = cut(pairs.join(two, "b").join(one, "a").filter(both * (share[0] + share[1]) >= share[0] * (F.size("x") + F.size("y"))).select("a", "b"))
-    drop(whole)
-    return out
+    return cut(pairs.join(two, "b").join(one, "a").filter(both * (share[0] + share[1]) >= share[0] * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
 def similar(docs: DataFrame, key: Column, text_col: str = "text", width: int = 5, share: tuple[int, int] = SHARE) -> DataFrame:
-    """(k, kept): the key of every row, and whether it is the smallest of those that links of the similarity connect."""
+    """(k, kept): the key of every row, and whether it is the smallest of those that links of the similarity connect.
+
+    First the members of a shard are held against one of them, which leaves few roots of a
+    dense group. Of what is left, those that may reach the share with another root get a
+    wide fingerprint; each is linked with its nearest, and then all that still may be linked are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -391,19 +438,30 @@ def similar(docs: DataFrame, key: Column, text_col: str = "text", width: int = 5
     base = cut(src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, h long, n int, f0 long, f1 long"))
     each = cut(base.groupBy("h").agg(F.min("k").alias("first"), *[F.max(c).alias(c) for c in ("n", "f0", "f1")]))
     links = roots = None
-    for k in range(STARS + 1):
-        rooted = each.withColumn("root", F.col("h"))
-        if roots is not None:
-            rooted = each.join(roots, each.h == roots.node, "left").select("h", "n", "f0", "f1", F.coalesce("root", "h").alias("root"))
-        if k < STARS:
-            pairs = star_pairs(dealt(rooted, range(k * STAR_TABLES, (k + 1) * STAR_TABLES)), k, share)
-        else:
-            pairs = all_pairs(dealt(rooted, range(TABLES)), share)
-        pairs = cut(pairs)
-        found = verified(pairs, docs, key, text_col, each, width, share)
-        drop(pairs)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col("h"))
+        return rows.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h")).drop("node")
+
+    def linked(found: DataFrame) -> None:
+        nonlocal links, roots
         links = found if links is None else links.union(found)
         roots = cut(components(links))
+
+    for k in range(STARS):
+        pairs = cut(star_pairs(dealt(rooted(each), range(k * STAR_TABLES, (k + 1) * STAR_TABLES)), k, share))
+        whole = sets(pairs.select(F.explode(F.array("a", "b")).alias("h")), docs, key, text_col, each, width)
+        linked(verified(pairs, whole, share))
+        drop(pairs, whole)
+    some = cut(met(dealt(rooted(each), range(TABLES)), share, "some").select(F.col("a").alias("s"), F.col("b").alias("h")))
+    whole = sets(some.select("h"), docs, key, text_col, each, width, wide=True)
+    rows = cut(some.join(whole.drop("shingles"), "h"))
+    for what in ("nearest", "all"):
+        pairs = cut(met(rooted(rows), share, what))
+        linked(verified(pairs, whole, share))
+        drop(pairs)
+    drop(some, whole, rows)
     least = each.join(roots, each.h == roots.node, "left").select("h", "first", F.coalesce("root", "h").alias("root"))
     keep = least.groupBy("root").agg(F.min("first").alias("least"))
     of = cut(least.join(keep, "root").select(F.col("h").alias("kh"), "least"))
