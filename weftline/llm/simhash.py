@@ -437,7 +437,7 @@ def similar(docs: DataFrame, key: Column, text_col: str = "text", width: int = 5
     src = docs.select(text_or_empty(text_col).cast("binary").alias("t"), key.alias("k"))
     base = cut(src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, h long, n int, f0 long, f1 long"))
     each = cut(base.groupBy("h").agg(F.min("k").alias("first"), *[F.max(c).alias(c) for c in ("n", "f0", "f1")]))
-    links = roots = None
+    roots = None
 
     def rooted(rows: DataFrame) -> DataFrame:
         if roots is None:
@@ -445,9 +445,16 @@ def similar(docs: DataFrame, key: Column, text_col: str = "text", width: int = 5
         return rows.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h")).drop("node")
 
     def linked(found: DataFrame) -> None:
-        nonlocal links, roots
-        links = found if links is None else links.union(found)
-        roots = cut(components(links))
+        nonlocal roots
+        if roots is None:
+            roots = cut(components(found))
+        elif not found.isEmpty():
+            for c in "ab":
+                found = found.join(roots, F.col(c) == F.col("node"), "left").withColumn(c, F.coalesce("root", c)).drop("node", "root")
+            more = cut(components(found.distinct()))
+            now = more.select(F.col("node").alias("was"), F.col("root").alias("now"))
+            moved = roots.join(now, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+            roots = cut(moved.union(more.join(roots, "node", "left_anti")))
 
     for k in range(STARS):
         pairs = cut(star_pairs(dealt(rooted(each), range(k * STAR_TABLES, (k + 1) * STAR_TABLES)), k, share))
