@@ -18,7 +18,7 @@ once. Components come from randomised contraction, by joins and minima.
 `keep_similar` is for a Jaccard similarity of word shingles, at which fingerprints differ
 in many bits. It takes longer fingerprints, deals them to shards by samples of their bits
 (the restricted distance is 0 again), holds the members of a shard against each other by
-the whole distance, and links the pairs whose shingles reach the similarity. So no link is
+the whole distance, those that are near by a wide fingerprint too, and links the pairs whose shingles reach the similarity. So no link is
 below it; `recall` gives the share of the pairs at a similarity that meet in a shard.
 
 Defined cases: a null or empty text has fingerprint 0, linked like any other; a very long
