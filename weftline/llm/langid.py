@@ -110,12 +110,13 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
     n = src.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = n.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= size)
     by: dict[str, tuple[list[int], list[int]]] = {}
-    for lang, gram, c in top.select("lang", "gram", "n").toLocalIterator():
+    found = top.select("lang", "gram", "n").limit(most_langs * size + 1).collect()
+    for lang, gram, c in found:
         x = by.setdefault(lang, ([], []))
         x[0].append(gram)
         x[1].append(c)
-        if len(by) > most_langs:
-            raise ValueError(f"more than {most_langs} languages; is {lang_col} a language?")
+    if len(by) > most_langs or len(found) > most_langs * size:
+        raise ValueError(f"more than {most_langs} languages; is {lang_col} a language?")
     return {lang: dict(zip(g, ranks(np.array(c), size).tolist(), strict=True)) for lang, (g, c) in sorted(by.items())}
 
 
