@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from weftline.llm import fingerprints, importance, langid, licenses, lm, mixing, packing, quality, simhash, substrings, tokencounts, warc
+from weftline.llm import fingerprints, importance, langid, licenses, lm, mixing, packing, phrases, quality, simhash, substrings, tokencounts, warc
 from weftline.llm.common import documents
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": _over_documents(quality.op8),
         "op9_simhash_dedup": _over_documents(simhash.op9),
         "op10_edit_token_counts": _over_documents(tokencounts.op10),
+        "op11_phrase_collocations": _over_documents(phrases.op11),
         "op12_importance_resampling": importance.op12,
         "op13_substring_dedup": _over_documents(substrings.op13),
         "pipeline": corpus_pipeline.run,
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": warc.OP3_SQL, "op4_source_mix": mixing.OP4_SQL, "op5_license_scan": licenses.OP5_SQL, "op8_quality_rules": quality.OP8_SQL, "op12_importance_resampling": importance.OP12_SQL, "op13_substring_dedup": substrings.OP13_SQL}
+    return {"op3_warc_archive": warc.OP3_SQL, "op4_source_mix": mixing.OP4_SQL, "op5_license_scan": licenses.OP5_SQL, "op8_quality_rules": quality.OP8_SQL, "op11_phrase_collocations": phrases.OP11_SQL, "op12_importance_resampling": importance.OP12_SQL, "op13_substring_dedup": substrings.OP13_SQL}
