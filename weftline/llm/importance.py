@@ -40,11 +40,12 @@ def tokens(text: Column) -> Column:
 
 def features(words: Column, longest: int = 1) -> Column:
     """All runs of 1 to `longest` consecutive words, joined by a space."""
-    runs = [words]
-    for n in range(2, longest + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*runs) if longest > 1 else words
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.concat(words, *[runs(n) for n in range(2, longest + 1)]) if longest > 1 else words
 
 
 def bucket_array(words: Column, buckets: int = BUCKETS, longest: int = 1) -> Column:
@@ -53,7 +54,8 @@ def bucket_array(words: Column, buckets: int = BUCKETS, longest: int = 1) -> Col
 
 def bucket_totals(texts: DataFrame, text_col: str = "text", buckets: int = BUCKETS, longest: int = 1) -> list[int]:
     """How many features of all texts are in each bucket; the driver gets `buckets` numbers at most."""
-    each = texts.select(F.explode(features(tokens(F.col(f"`{text_col}`")), longest)).alias("f")).select((F.crc32(F.col("f").cast("binary")) % buckets).alias("b"))
+    words = texts.select(tokens(F.col(f"`{text_col}`")).alias("w"))
+    each = words.select(F.explode(features(F.col("w"), longest)).alias("f")).select((F.crc32(F.col("f").cast("binary")) % buckets).alias("b"))
     totals = [0] * buckets
     for b, n in each.groupBy("b").count().collect():
         totals[b] = n
