@@ -140,7 +140,7 @@ def _among(rows: np.ndarray, wanted: np.ndarray, base: int) -> np.ndarray:
 
 
 def _extend(k: int):
-    """Rows of a shard one after another: a word's id and positions, or the ids of a frequent phrase -> a row for each phrase of k + 1 words."""
+    """Rows of a shard one after another: a word's id and positions, or packed ids of frequent phrases -> a row for each phrase of k + 1 words."""
     names = [f"id{i}" for i in range(1, k + 2)]
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +163,11 @@ def _extend(k: int):
         words = table.filter(pa.compute.is_valid(table["positions"])).combine_chunks()
         phrases = None
         if k > 1:
-            found = table.filter(pa.compute.is_null(table["positions"]))
-            phrases = np.stack([found[c].to_numpy() for c in names[:k]], axis=1)
+            packs = table.filter(pa.compute.is_null(table["positions"]))["pack"].to_pylist()
+            phrases = np.frombuffer(b"".join(packs), np.int64).reshape(-1, k)
         lists = words["positions"].combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        out, n = extended(words["id1"].to_numpy(), pa.compute.list_value_length(lists).to_numpy(), lists.flatten().to_numpy(), phrases, k)
+        out, n = extended(words["id"].to_numpy(), pa.compute.list_value_length(lists).to_numpy(), lists.flatten().to_numpy(), phrases, k)
         for lo in range(0, len(n), 200_000):
             some = out[lo : lo + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), *[pa.array(some[:, j]) for j in range(k + 1)], pa.array(n[lo : lo + 200_000].astype(np.int32))], names=["shard", *names, "n"])
@@ -175,11 +175,46 @@ def _extend(k: int):
     return extend
 
 
+#: Rows of phrases that are packed at once.
+PACKED = 2_000_000
+
+
+def _pack(k: int):
+    """(shard, id1.., a, lead) -> the lead rows, and a row for each shard with the ids of its phrases in one binary value."""
+    ids = _ids(k)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= PACKED:
+                yield from packed(held)
+                held, n = [], 0
+        yield from packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        leads = table.filter(table["lead"])
+        shards = table["shard"].to_numpy()
+        order = np.argsort(shards, kind="stable")
+        rows = np.stack([table[c].to_numpy()[order] for c in ids], axis=1)
+        own, starts = np.unique(shards[order], return_index=True)
+        packs = [rows[lo:hi].tobytes() for lo, hi in zip(starts, [*starts[1:], len(rows)], strict=True)]
+        none = pa.nulls(len(own), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(own), *[none] * (k + 1), pa.array(packs, pa.binary())], names=["shard", *ids, "a", "pack"])
+        yield from leads.select(["shard", *ids, "a"]).append_column("pack", pa.nulls(len(leads), pa.binary())).to_batches()
+
+    return pack
+
+
 def _extension(lists: DataFrame, known: DataFrame | None, k: int, least: int, again: bool) -> DataFrame:
-    """(shard, id1.., a, lead) of phrases of k + 1 words with `least` occurrences or more, a row for each shard that has one; lead: one row of each phrase. Without `again`, a row for each phrase."""
-    rows = lists.select("shard", F.col("id").alias("id1"), *[F.lit(None).cast("long").alias(f"id{i}") for i in range(2, k + 1)], "positions")
+    """Phrases of k + 1 words with `least` occurrences or more: rows of (id1.., a), and, if they are to be extended `again`, the ids that each shard has, packed."""
+    rows = lists.select("shard", "id", "positions", F.lit(None).cast("binary").alias("pack"))
     if known is not None:
-        rows = rows.unionByName(known.select("shard", *_ids(k), F.lit(None).cast("array<int>").alias("positions")))
+        rows = rows.unionByName(known.select("shard", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<int>").alias("positions"), "pack"))
     ids = _ids(k + 1)
     rows = rows.repartition("shard").sortWithinPartitions("shard")
     met = rows.mapInArrow(_extend(k), ", ".join(["shard long", *[f"{c} long" for c in ids], "n int"]))
@@ -188,7 +223,8 @@ def _extension(lists: DataFrame, known: DataFrame | None, k: int, least: int, ag
     # a phrase has a row for each shard at most
     each = Window.partitionBy(*ids)
     met = met.withColumns({"a": F.sum("n").over(each.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "lead": F.row_number().over(each.orderBy("shard")) == 1})
-    return met.filter(F.col("a") >= least).drop("n")
+    met = met.filter(F.col("a") >= least).drop("n")
+    return met.mapInArrow(_pack(k + 1), ", ".join(["shard long", *[f"{c} long" for c in ids], "a long", "pack binary"]))
 
 
 def _ids(k: int) -> list[str]:
@@ -243,8 +279,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     for k in range(1, longest):
         last = k == longest - 1
         met = cut(_extension(lists, known, k, least, not last), "zstd")
-        phrases[k + 1] = met if last else met.filter("lead").drop("shard", "lead")
-        known = met
+        phrases[k + 1] = met if last else met.filter("pack IS NULL").drop("shard", "pack")
+        known = None if last else met.filter("pack IS NOT NULL")
     total = words.groupBy("lang").agg(F.sum("a").alias("n"))
     out = None
     for k in range(2, longest + 1):
