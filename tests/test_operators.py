@@ -180,18 +180,6 @@ def test_docx(spark, tmp_path):
     assert [t for _, t, _ in office.docx_parts(md)] == ["Title", "Part", "a < b"]
 
 
-def test_pptx():
-    page = lambda *texts: f'<p xmlns:a="{office.A[1:-1]}">' + "".join(f"<a:p><a:r><a:t>{t[:1]}</a:t></a:r><a:r><a:t>{t[1:]}</a:t></a:r></a:p>" for t in texts) + "</p>"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, body in (("slides/slide2", page("second")), ("slides/slide1", page("first", "", "more")), ("slideMasters/slideMaster1", page("master")), ("notesSlides/notesSlide1", page("note"))):
-            z.writestr(f"ppt/{name}.xml", body)
-    parts = [(p, t) for p, t, _ in office.pptx_parts(out.getvalue())]
-    assert parts == [("master.0.shape.0.para.0", "master"), ("slide.0.shape.0.para.0", "first"), ("slide.0.shape.2.para.0", "more"), ("slide.0.notes.para.0", "note"), ("slide.1.shape.0.para.0", "second")]
-    back = office.pptx_with(out.getvalue(), {"slide.0.shape.2.para.0": "mehr"})
-    assert [t for _, t, _ in office.pptx_parts(back)] == ["master", "first", "mehr", "note", "second"]
-
-
 def test_tracked_changes():
     xml = f'<w:document xmlns:w="{office.W[1:-1]}"><w:body><w:p><w:ins><w:r><w:t>new</w:t></w:r></w:ins><w:del><w:r><w:t>old</w:t></w:r></w:del></w:p></w:body></w:document>'.encode()
     out = office.without_tracked_changes(xml)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars as S
 from weftline.functions import text as T
 from weftline.operators import accounts, checks, glossary, jobs, layout, licensing, segments, translate
-from weftline.sources import languages, tables
+from weftline.sources import docx_runs, languages, pptx_shapes, tables
 from weftline.sources.tables import EVENTS_NOW, JOBS_SQL, LICENSES_SQL, NOW, PAIRS_SQL, SEGMENTS_SQL, USERS_SQL, now, table
 from weftline.streaming import state
 
@@ -489,7 +489,7 @@ def block_partition(spark, d):
     return layout.decide(b).select("job_id", "seq", "action", "reason", "scale")
 
 
-@query("WITH b AS (SELECT l_orderkey % 50 AS page, l_orderkey AS id, l_linenumber AS line, (l_quantity * 10)::DOUBLE AS x0, l_quantity * 10 + 20 AS x1, (l_partkey % 700)::DOUBLE AS y0, (l_partkey % 700 + 10)::DOUBLE AS y1 FROM lineitem), c AS (SELECT p_partkey % 50 AS page, p_size * 10.0::DOUBLE AS x0, p_size * 10.0 + 60 AS x1, (p_partkey % 700)::DOUBLE AS y0, (p_partkey % 700 + 30)::DOUBLE AS y1 FROM part WHERE p_partkey <= 500) SELECT b.page, b.id, b.line, b.x0, b.y0 FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = b.page AND (b.x0 + b.x1) / 2 BETWEEN c.x0 AND c.x1 AND (b.y0 + b.y1) / 2 BETWEEN c.y0 AND c.y1)")
+@query("WITH b AS (SELECT l_orderkey % 50 AS page, l_orderkey AS id, l_linenumber AS line, (l_quantity * 10)::DOUBLE AS x0, l_quantity * 10 + 20 AS x1, (l_partkey % 700)::DOUBLE AS y0, (l_partkey % 700 + 10)::DOUBLE AS y1 FROM lineitem), c AS (SELECT p_partkey % 50 AS page, p_size * 10.0::DOUBLE AS x0, p_size * 10.0 + 60 AS x1, (p_partkey % 700)::DOUBLE AS y0, (p_partkey % 700 + 30)::DOUBLE AS y1 FROM part) SELECT b.page, b.id, b.line, b.x0, b.y0 FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.page = b.page AND (b.x0 + b.x1) / 2 BETWEEN c.x0 AND c.x1 AND (b.y0 + b.y1) / 2 BETWEEN c.y0 AND c.y1)")
 def spatial_anti(spark, d):
     k, p = F.col("l_orderkey"), F.col("l_partkey") % 700
     b = table(spark, d, "lineitem").select((k % 50).alias("page"), k.alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + 20).alias("x1"), p.cast("double").alias("y0"), (p + 10).cast("double").alias("y1"))
@@ -630,3 +630,98 @@ def request_paths(spark, d):
     i = F.col("id")
     path = F.concat(F.when(i % 3 == 0, "/v1/auth/login/").when(i % 3 == 1, "/v1/jobs/").otherwise("/health/"), i.cast("string"))
     return tables.users(spark, d).select("id", licensing.request_path_checked(path, ["/health", "/docs", "/v1/auth/login"]).alias("checked"))
+
+
+# ---- files: documents become DOCX files, a run for each word, bold by its length, and are read back
+
+XML_BAD = r"[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]"
+WORDS_SQL = rf"""(
+  SELECT doc_id::VARCHAR AS path, para, i AS run, w || ' ' AS text, CASE length(w) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS bold
+  FROM (SELECT doc_id, para, w.unnest AS w, w.ordinality::INTEGER - 1 AS i
+        FROM (SELECT doc_id, l.ordinality::INTEGER - 1 AS para, l.unnest AS line FROM documents, unnest(string_split(regexp_replace(text, '{XML_BAD}', '_', 'g'), chr(10))) WITH ORDINALITY AS l(unnest, ordinality)) p,
+             unnest(string_split(line, ' ')) WITH ORDINALITY AS w(unnest, ordinality)))"""
+STRETCHES_SQL = f"""(
+  SELECT path, para, min(run) AS run_index, count(*)::INTEGER AS run_group_size, nfc_normalize(string_agg(text, '' ORDER BY run)) AS text
+  FROM (SELECT *, sum(new) OVER (PARTITION BY path, para ORDER BY run) AS island
+        FROM (SELECT *, CASE WHEN run = 0 OR bold IS DISTINCT FROM lag(bold) OVER (PARTITION BY path, para ORDER BY run) THEN 1 ELSE 0 END AS new FROM {WORDS_SQL}))
+  GROUP BY path, para, island)"""
+
+
+def docx_files(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.split(F.regexp_replace("text", XML_BAD, "_"), "\n")
+    bold = lambda w: F.when(F.length(w) % 3 == 0, True).when(F.length(w) % 3 == 1, False)
+    paras = F.transform(lines, lambda line: F.transform(F.split(line, " "), lambda w: F.struct(F.concat(w, F.lit(" ")).alias("text"), bold(w).alias("bold"))))
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return docx_runs.made(docs.select(F.col("doc_id").cast("string").alias("path"), paras.alias("paras")))
+
+
+@query(f"""
+WITH s AS (SELECT *, 'para.' || para || '.run' || run_index AS position FROM {STRETCHES_SQL} WHERE {strip_sql('text')} <> '')
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY para, run_index) - 1)::INTEGER AS seq, substr(sha256(text || chr(0) || position), 1, 16) AS id, position, run_index, run_group_size FROM s
+""")
+def docx_run_segments(spark, d):
+    return docx_runs.grouped(docx_runs.runs_of(docx_files(spark, d))).select("path", "seq", "id", "position", "run_index", "run_group_size")
+
+
+@query(f"""
+WITH s AS (SELECT * FROM {STRETCHES_SQL}),
+r AS (
+  SELECT w.path, w.para, w.run, w.bold, CASE WHEN {strip_sql('s.text')} = '' THEN w.text WHEN w.run = s.run_index THEN '<' || s.text || '>' ELSE '' END AS text
+  FROM {WORDS_SQL} w JOIN s ON s.path = w.path AND s.para = w.para AND w.run >= s.run_index AND w.run < s.run_index + s.run_group_size)
+SELECT path, para, count(*) AS runs, count(*) FILTER (bold) AS bold_runs, sha256(string_agg(text, '|' ORDER BY run)) AS texts FROM r GROUP BY path, para
+""")
+def docx_write_back(spark, d):
+    """Every segment's text in angle brackets, written to its runs; formats stay with their runs."""
+    files = docx_files(spark, d)
+    segments_ = docx_runs.grouped(docx_runs.runs_of(files))
+    plan = docx_runs.plan(segments_, segments_.select("path", "id", F.concat(F.lit("<"), "text", F.lit(">")).alias("new_text")).distinct())
+    back = docx_runs.runs_of(docx_runs.written_to(files, plan))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda r: r["text"]), "|")
+    return back.groupBy("path", "para").agg(F.count(F.lit(1)).alias("runs"), F.count_if("bold").alias("bold_runs"), F.sha2(texts, 256).alias("texts"))
+
+
+SLIDES_SQL = rf"""(
+  SELECT path, n, i, nfc_normalize({strip_sql('word')}) AS text,
+         'slide.' || n || CASE i WHEN 0 THEN '.shape.0.tf.0.para.0' WHEN 1 THEN '.shape.1.group.shape.0.tf.0.para.0' ELSE '.shape.2.table.row.0.col.' || (i - 2) || '.para.0' END AS position
+  FROM (SELECT path, n, unnest(range(len(w)))::INTEGER AS i, unnest(w) AS word
+        FROM (SELECT doc_id::VARCHAR AS path, l.ordinality::INTEGER - 1 AS n, string_split(l.unnest, ' ') AS w
+              FROM documents, unnest(string_split(regexp_replace(text, '{XML_BAD}', '_', 'g'), chr(10))) WITH ORDINALITY AS l(unnest, ordinality)))
+  UNION ALL
+  SELECT path, n, 1000000000, 'note ' || n, 'slide.' || n || '.notes.para.0'
+  FROM (SELECT doc_id::VARCHAR AS path, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS n FROM documents))"""
+
+
+def pptx_files(spark: SparkSession, d: str) -> DataFrame:
+    """A slide for each line of a document: its first word in a shape, its second in a group, the others in a table's cells, and a note."""
+    text = lambda w: F.concat(F.lit("<p:txBody><a:p><a:r><a:t>"), F.replace(F.replace(w, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</a:t></a:r></a:p></p:txBody>"))
+    shape = lambda w: F.concat(F.lit("<p:sp>"), text(w), F.lit("</p:sp>"))
+    cell = lambda w: F.concat(F.lit("<a:tc>"), F.replace(text(w), F.lit("p:txBody"), F.lit("a:txBody")), F.lit("</a:tc>"))
+    group = lambda w: F.concat(F.lit("<p:grpSp>"), shape(w), F.lit("</p:grpSp>"))
+    table_ = lambda ws: F.concat(F.lit("<p:graphicFrame><a:graphic><a:graphicData><a:tbl><a:tr>"), F.array_join(F.transform(ws, cell), ""), F.lit("</a:tr></a:tbl></a:graphicData></a:graphic></p:graphicFrame>"))
+    slide = lambda w: F.concat(shape(F.get(w, F.lit(0))), F.when(F.size(w) > 1, group(F.get(w, F.lit(1)))).otherwise(""), F.when(F.size(w) > 2, table_(F.slice(w, 3, F.size(w)))).otherwise(""))
+    slides = F.transform(F.split(F.regexp_replace("text", XML_BAD, "_"), "\n"), lambda line: slide(F.split(line, " ")))
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+
+    def make(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            note = lambda n: f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="body"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>note {n}</a:t></a:r></a:p></p:txBody></p:sp>'
+            made = [pptx_shapes.package(x, notes={n: note(n) for n in range(len(x))}) for x in batch.column("slides").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return docs.select(F.col("doc_id").cast("string").alias("path"), slides.alias("slides")).mapInArrow(make, "path string, content binary")
+
+
+@query(f"SELECT path, (row_number() OVER (PARTITION BY path ORDER BY n, i) - 1)::INTEGER AS seq, substr(sha256(text || chr(0) || position), 1, 16) AS id, position, text FROM {SLIDES_SQL} WHERE text <> ''")
+def pptx_shape_tree(spark, d):
+    return pptx_shapes.positions_of(pptx_files(spark, d)).select("path", "seq", "id", "position", "text")
+
+
+@query(f"SELECT path, position, CASE WHEN position LIKE '%.notes.%' THEN text ELSE upper(position) || ' ' || text END AS text FROM {SLIDES_SQL} WHERE text <> ''")
+def pptx_write_back(spark, d):
+    """Every text but the notes, with its position in front, written to its paragraph by a join on positions."""
+    files = pptx_files(spark, d)
+    found = pptx_shapes.positions_of(files)
+    new = found.filter(~F.col("position").contains(".notes.")).select("path", "id", F.concat(F.upper("position"), F.lit(" "), "text").alias("new_text"))
+    return pptx_shapes.positions_of(pptx_shapes.written_to(files, pptx_shapes.placed(found, new))).select("path", "position", "text")

@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources import pptx_shapes
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 SEGMENTS = "path string, walk int, position string, text string, kind string"
 
 
@@ -53,48 +54,10 @@ def docx_parts(content: bytes) -> Iterator[tuple[str, str, str]]:
         yield from walk(part, "header")
 
 
-def _pptx_pages(z: zipfile.ZipFile) -> list[tuple[str, str]]:
-    """(head of positions, part): slide masters once, then each slide and its notes."""
-    number = lambda n: int(re.findall(r"\d+", n)[-1])
-    named = lambda pattern: sorted((n for n in z.namelist() if re.fullmatch(pattern, n)), key=number)
-    pages = [(f"master.{i}.shape", n) for i, n in enumerate(named(r"ppt/slideMasters/slideMaster\d+\.xml"))]
-    for i, n in enumerate(named(r"ppt/slides/slide\d+\.xml")):
-        pages.append((f"slide.{i}.shape", n))
-        pages += [(f"slide.{i}.notes", m) for m in named(r"ppt/notesSlides/notesSlide\d+\.xml") if number(m) == number(n)]
-    return pages
-
-
-def _pptx_paragraphs(root: ElementTree.Element, head: str) -> Iterator[tuple[str, ElementTree.Element]]:
-    for k, p in enumerate(root.iter(f"{A}p")):
-        yield f"{head}.para.{k}" if head.endswith("notes") else f"{head}.{k}.para.0", p
-
-
 def pptx_parts(content: bytes) -> Iterator[tuple[str, str, str]]:
-    """(position, text, kind): slide masters once, then each slide's shapes, then its notes."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for head, name in _pptx_pages(z):
-            for position, p in _pptx_paragraphs(ElementTree.fromstring(z.read(name)), head):
-                text = "".join(t.text or "" for t in p.iter(f"{A}t"))
-                if text.strip():
-                    yield position, text, "text"
-
-
-def pptx_with(content: bytes, texts: dict[str, str]) -> bytes:
-    """The file with new texts by position: the first run of a paragraph gets the text, its other runs are emptied."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
-        heads = {name: head for head, name in _pptx_pages(z)}
-        for n in z.namelist():
-            data = z.read(n)
-            if n in heads:
-                root = ElementTree.fromstring(data)
-                for position, p in _pptx_paragraphs(root, heads[n]):
-                    if (new := texts.get(position)) is not None:
-                        for k, t in enumerate(p.iter(f"{A}t")):
-                            t.text = new if k == 0 else ""
-                data = ElementTree.tostring(root, xml_declaration=True, encoding="UTF-8")
-            w.writestr(n, data)
-    return out.getvalue()
+    """(position, text, kind) in the presentation's order."""
+    for position, text in pptx_shapes.texts(content):
+        yield position, text, "smartart" if position.endswith(".smartart") else "text"
 
 
 PARTS = {"docx": docx_parts, "pptx": pptx_parts}
