@@ -12,8 +12,9 @@ also starts in a document with a smaller id.
 3. Automata: documents are dealt to shards of about `shard_bytes` of text. A passage goes to the
    shards whose documents have its anchor, once to each, however many documents that may be. A
    shard's task compiles the anchors of its passages to an Aho-Corasick automaton and streams the
-   shard's documents through it; every occurrence is then extended word by word along each
-   passage of an earlier document. What matches over a window or more goes.
+   shard's documents through it. The windows around an occurrence are looked up among the confirmed
+   ones; one of an earlier document is compared word by word, and extended along its passage. What
+   matches goes.
 
 Hashes choose the passages only; what goes is found by comparing words. A window is missed only if
 two windows with one anchor have the same 64-bit digest.
@@ -27,7 +28,6 @@ not read.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,53 +154,67 @@ def _fetch(window: int):
 
 
 class Automaton:
-    """Passages of a shard, by their anchors' words. Texts are bytes, taken as Latin-1 strings."""
+    """Passages of a shard: an automaton of their anchors' words, and their confirmed windows by digest. Texts are bytes, taken as Latin-1 strings."""
 
     def __init__(self, window: int, anchor: int):
         import ahocorasick
 
-        self.window, self.anchor, self.by, self.seen, self.automaton = window, anchor, {}, {}, ahocorasick.Automaton()
+        self.window, self.anchor, self.memo, self.passages, self.windows, self.automaton = window, anchor, {}, [], {}, ahocorasick.Automaton()
 
-    def add(self, doc_id: object, passage: bytes, at: int) -> None:
-        words = [self.seen.setdefault(w, w) for w in passage.split(b" ")]
-        key = " " + b" ".join(words[at : at + self.anchor]).decode("latin-1") + " "
-        if key not in self.by:
-            self.by[key] = []
-            self.automaton.add_word(key, self.by[key])
-        self.by[key].append((doc_id, words, at))
+    def add(self, doc_id: object, passage: bytes, at: int, confirmed: list[int]) -> None:
+        words = passage.split(b" ")
+        self.automaton.add_word(" " + b" ".join(words[at : at + self.anchor]).decode("latin-1") + " ", 1)
+        self.passages.append((doc_id, words, confirmed))
 
     def compiled(self) -> Automaton:
-        if self.by:
-            for entries in self.by.values():
-                entries.sort(key=lambda e: e[0])
+        if self.passages:
             self.automaton.make_automaton()
+            whole, starts, at = [], [], []
+            for n, (_, words, confirmed) in enumerate(self.passages):
+                starts += [len(whole) + i for i in confirmed]
+                at += [(n, i) for i in confirmed]
+                whole += words
+            for digest, (n, i) in zip(Hashed(whole, self.memo).runs(np.array(starts), self.window).tolist(), at, strict=True):
+                doc_id, words, _ = self.passages[n]
+                if digest not in self.windows or doc_id < self.windows[digest][0]:
+                    self.windows[digest] = (doc_id, words, i)
         return self
 
     def repeated(self, doc_id: object, words: list[bytes]) -> bytearray:
         """A byte for each word: 1 if a passage of an earlier document covers it."""
-        gone = bytearray(len(words))
-        if not self.by or doc_id is None or len(words) < self.window:
+        gone, window = bytearray(len(words)), self.window
+        if not self.passages or doc_id is None or len(words) < window:
             return gone
-        ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)).tolist()  # of the space after each word
-        for end, entries in self.automaton.iter(" " + b" ".join(words).decode("latin-1") + " "):
-            p = bisect_left(ends, end) + 1 - self.anchor
-            for other, passage, at in entries:
-                if not other < doc_id:
-                    break
-                lo, hi = p - at, p - at + len(passage)
-                if lo < 0 or words[lo:hi] != passage:
-                    lo, hi = self._match(words, p, passage, at)
-                if hi - lo >= self.window:
+        ends = [*self.automaton.iter(" " + b" ".join(words).decode("latin-1") + " ")]
+        if not ends:
+            return gone
+        spaces = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # after each word
+        digests = Hashed(words, self.memo).runs(np.arange(len(words) - window + 1), window).tolist()
+        s, lo, hi = 0, 0, 0  # the next window, the last match
+        for p in (np.searchsorted(spaces, [e for e, _ in ends]) + 1 - self.anchor).tolist():
+            s = max(s, p + self.anchor - window)
+            while s <= min(p, len(digests) - 1):
+                if lo <= s and s + window <= hi:
+                    s = hi - window + 1
+                    continue
+                found = self.windows.get(digests[s])
+                if found is not None and found[0] < doc_id and words[s : s + window] == found[1][found[2] : found[2] + window]:
+                    lo, hi = self._match(words, s, found[1], found[2])
                     gone[lo:hi] = b"\1" * (hi - lo)
+                s += 1
         return gone
 
-    def _match(self, words: list[bytes], p: int, passage: list[bytes], at: int) -> tuple[int, int]:
-        left, right = 0, self.anchor
-        while left < min(p, at) and words[p - left - 1] == passage[at - left - 1]:
+    def _match(self, words: list[bytes], s: int, passage: list[bytes], at: int) -> tuple[int, int]:
+        """How far the equal windows at s and at `at` go on to both sides."""
+        lo, hi = s - at, s - at + len(passage)
+        if lo >= 0 and words[lo:hi] == passage:
+            return lo, hi
+        left, right = 0, self.window
+        while left < min(s, at) and words[s - left - 1] == passage[at - left - 1]:
             left += 1
-        while p + right < len(words) and at + right < len(passage) and words[p + right] == passage[at + right]:
+        while s + right < len(words) and at + right < len(passage) and words[s + right] == passage[at + right]:
             right += 1
-        return p - left, p + right
+        return s - left, s + right
 
 
 def _strip(window: int, anchor: int):
@@ -215,7 +229,7 @@ def _strip(window: int, anchor: int):
                     shard, automaton, ready = s, Automaton(window, anchor), False
                 doc_id, body = batch.column("doc_id")[i].as_py(), batch.column("body")[i].as_py()
                 if at is not None:
-                    automaton.add(doc_id, body, at)
+                    automaton.add(doc_id, body, at, batch.column("confirmed")[i].as_py())
                     continue
                 if not ready:
                     automaton, ready = automaton.compiled(), True
@@ -233,7 +247,7 @@ def _strip(window: int, anchor: int):
 
 
 def confirmed(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, doc_id, at, words): spans with a window that a later document has too, from the first document that has them."""
+    """(anchor, doc_id, at, words, confirmed): spans with windows that a later document has too and no earlier one, and where these windows start."""
     kind = dict(texts.dtypes)["doc_id"]
     distinct = cut(found.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start", "n", "at")).alias("f"), F.max("doc_id").alias("last")).select("anchor", "f.*", "last"))
     shared = distinct.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("last").alias("hi")).filter("lo < hi").select("anchor")
@@ -241,10 +255,10 @@ def confirmed(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> DataF
     spans_ = texts.select("doc_id", "body").join(wanted, "doc_id").mapInArrow(_fetch(window), f"doc_id {kind}, anchor long, start int, at int, words binary, digests array<long>, last {kind}")
     spans_ = cut(spans_)
     drop(distinct)
-    windows = spans_.select("anchor", "doc_id", "start", "last", F.explode("digests").alias("d"))
-    windows = windows.groupBy("anchor", "d").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("last").alias("last"))
-    keep = windows.filter("f.doc_id < last").select("anchor", "f.*").distinct()
-    return spans_.join(keep, ["anchor", "doc_id", "start"], "left_semi").select("anchor", "doc_id", "at", "words")
+    windows = spans_.select("anchor", "doc_id", "start", "last", F.posexplode("digests").alias("i", "d"))
+    windows = windows.groupBy("anchor", "d").agg(F.min(F.struct("doc_id", "start", "i")).alias("f"), F.max("last").alias("last"))
+    keep = windows.filter("f.doc_id < last").select("anchor", "f.*").groupBy("anchor", "doc_id", "start").agg(F.array_distinct(F.collect_list("i")).alias("confirmed"))
+    return spans_.join(keep, ["anchor", "doc_id", "start"]).select("anchor", "doc_id", "at", "words", "confirmed")
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = 8_000_000) -> DataFrame:
@@ -259,11 +273,12 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "body"), F.lit(shards)).cast("int"))
     found = cut(texts.filter("doc_id IS NOT NULL").mapInArrow(_find(window, anchor), f"doc_id {kind}, shard int, anchor long, digest long, start int, n int, at int"))
     passages = cut(confirmed(texts.filter("doc_id IS NOT NULL"), found, window))
-    where = found.join(passages.select("anchor").distinct(), "anchor", "left_semi").groupBy("anchor", "shard").agg(F.max("doc_id").alias("last"))
-    dealt = where.join(passages, "anchor").filter("doc_id < last").select("shard", "doc_id", F.col("words").alias("body"), "at")
-    rows = dealt.unionByName(texts.withColumn("at", F.lit(None).cast("int")))
+    # one row for each anchor and shard, however often it occurs there
+    where = found.groupBy("anchor", "shard").agg(F.max("doc_id").alias("last"))
+    dealt = where.join(passages, "anchor").filter("doc_id < last").select("shard", "doc_id", F.col("words").alias("body"), "at", "confirmed")
+    rows = dealt.unionByName(texts.withColumns({"at": F.lit(None).cast("int"), "confirmed": F.lit(None).cast("array<int>")}))
     rows = rows.repartition("shard").sortWithinPartitions("shard", F.col("at").isNull())
-    return rows.select("shard", "doc_id", "body", "at").mapInArrow(_strip(window, anchor), f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
+    return rows.select("shard", "doc_id", "body", "at", "confirmed").mapInArrow(_strip(window, anchor), f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
 def op13(docs: DataFrame) -> DataFrame:
