@@ -159,11 +159,13 @@ class Automaton:
     def __init__(self, window: int, anchor: int):
         import ahocorasick
 
-        self.window, self.anchor, self.memo, self.passages, self.windows, self.automaton = window, anchor, {}, [], {}, ahocorasick.Automaton()
+        self.window, self.anchor, self.memo, self.anchors, self.passages, self.windows, self.automaton = window, anchor, {}, set(), [], {}, ahocorasick.Automaton()
 
-    def add(self, doc_id: object, passage: bytes, at: int, confirmed: list[int]) -> None:
+    def add(self, doc_id: object, passage: bytes, anchor: int, at: int, confirmed: list[int]) -> None:
         words = passage.split(b" ")
-        self.automaton.add_word(" " + b" ".join(words[at : at + self.anchor]).decode("latin-1") + " ", 1)
+        if anchor not in self.anchors:
+            self.anchors.add(anchor)
+            self.automaton.add_word(" " + b" ".join(words[at : at + self.anchor]).decode("latin-1") + " ", 1)
         self.passages.append((doc_id, words, confirmed))
 
     def compiled(self) -> Automaton:
@@ -217,30 +219,31 @@ class Automaton:
         return s - left, s + right
 
 
-def _strip(window: int, anchor: int):
+def _strip(window: int, anchor: int, with_text: bool):
     """Rows of a shard, passages (at not null) before documents -> a row for each document."""
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton, ready = None, None, False
         for batch in batches:
-            rows, out = [], []
-            for i, (s, at) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+            rows, out, texts = [], [], []
+            for i, (s, doc_id, body, hashed, at, confirmed) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("shard", "doc_id", "body", "anchor", "at", "confirmed")], strict=True)):
                 if s != shard:
                     shard, automaton, ready = s, Automaton(window, anchor), False
-                doc_id, body = batch.column("doc_id")[i].as_py(), batch.column("body")[i].as_py()
                 if at is not None:
-                    automaton.add(doc_id, body, at, batch.column("confirmed")[i].as_py())
+                    automaton.add(doc_id, body, hashed, at, confirmed)
                     continue
                 if not ready:
                     automaton, ready = automaton.compiled(), True
                 words = body.split()
                 gone = automaton.repeated(doc_id, words)
-                kept = b" ".join(words if not any(gone) else [w for w, g in zip(words, gone, strict=True) if not g])
+                removed = gone.count(1)
+                kept = b" ".join(words if not removed else [w for w, g in zip(words, gone, strict=True) if not g])
                 rows.append(i)
-                out.append((len(words), sum(gone), kept))
+                out.append((len(words), removed, hashlib.sha256(kept).hexdigest()))
+                texts.append(kept if with_text else None)
             if rows:
-                n, removed, kept = zip(*out, strict=True)
-                cols = [batch.column("doc_id").take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+                n, removed, digest = zip(*out, strict=True)
+                cols = [batch.column("doc_id").take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(digest)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     return strip
@@ -258,11 +261,13 @@ def confirmed(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> DataF
     windows = spans_.select("anchor", "doc_id", "start", "last", F.posexplode("digests").alias("i", "d"))
     windows = windows.groupBy("anchor", "d").agg(F.min(F.struct("doc_id", "start", "i")).alias("f"), F.max("last").alias("last"))
     keep = windows.filter("f.doc_id < last").select("anchor", "f.*").groupBy("anchor", "doc_id", "start").agg(F.array_distinct(F.collect_list("i")).alias("confirmed"))
-    return spans_.join(keep, ["anchor", "doc_id", "start"]).select("anchor", "doc_id", "at", "words", "confirmed")
+    out = cut(spans_.join(keep, ["anchor", "doc_id", "start"]).select("anchor", "doc_id", "at", "words", "confirmed"), "zstd")
+    drop(spans_)
+    return out
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = 8_000_000) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, kept_sha256) of every document; kept: its words that stay, joined by a space."""
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = 8_000_000, with_text: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, kept_sha256) of every document; kept: its words that stay, joined by a space (null without `with_text`)."""
     spark, body = docs.sparkSession, text_or_empty(f"`{text_col}`").cast("binary")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), body.alias("body"))
     kind = dict(texts.dtypes)["doc_id"]
@@ -272,17 +277,17 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shards = parts * max(4, -(-size // (shard_bytes * parts)))
     texts = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "body"), F.lit(shards)).cast("int"))
     found = cut(texts.filter("doc_id IS NOT NULL").mapInArrow(_find(window, anchor), f"doc_id {kind}, shard int, anchor long, digest long, start int, n int, at int"))
-    passages = cut(confirmed(texts.filter("doc_id IS NOT NULL"), found, window))
+    passages = confirmed(texts.filter("doc_id IS NOT NULL"), found, window)
     # one row for each anchor and shard, however often it occurs there
     where = found.groupBy("anchor", "shard").agg(F.max("doc_id").alias("last"))
-    dealt = where.join(passages, "anchor").filter("doc_id < last").select("shard", "doc_id", F.col("words").alias("body"), "at", "confirmed")
-    rows = dealt.unionByName(texts.withColumns({"at": F.lit(None).cast("int"), "confirmed": F.lit(None).cast("array<int>")}))
+    dealt = where.join(passages, "anchor").filter("doc_id < last").select("shard", "doc_id", F.col("words").alias("body"), "anchor", "at", "confirmed")
+    rows = dealt.unionByName(texts.withColumns({"anchor": F.lit(None).cast("long"), "at": F.lit(None).cast("int"), "confirmed": F.lit(None).cast("array<int>")}))
     rows = rows.repartition("shard").sortWithinPartitions("shard", F.col("at").isNull())
-    return rows.select("shard", "doc_id", "body", "at", "confirmed").mapInArrow(_strip(window, anchor), f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
+    return rows.select("shard", "doc_id", "body", "anchor", "at", "confirmed").mapInArrow(_strip(window, anchor, with_text), f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
 def op13(docs: DataFrame) -> DataFrame:
-    return strip_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return strip_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP13_SQL = r"""
