@@ -228,3 +228,22 @@ def test_an_older_fence_is_refused(spark, tmp_path):
     with pytest.raises(PySparkException):
         filesink.write_files(rows(b"late"), str(tmp_path), fence=1)
     assert (tmp_path / "out").read_bytes() == b"second" and files_in(tmp_path) == ["_fence", "out"]
+
+
+def test_font_suffixes_count_in_their_case(spark):
+    from weftline.functions import text as T
+
+    fonts = [("AdvTT.B", True, False), ("AdvTT.b", False, False), ("x-b", False, False), ("ABC+Arial-BoldOblique", True, True), ("Bold+Plain", False, False), ("HEAVY", True, False), ("AdvTT.I", False, True), ("AdvTT.i", False, False), ("a-italic", False, True), ("", False, False)]
+    got = spark.createDataFrame(fonts, "f string, b boolean, i boolean").select("f", T.is_bold_font(F.col("f")), T.is_italic_font(F.col("f"))).collect()
+    assert [tuple(x) for x in got] == fonts
+
+
+def test_markdown_by_hand(spark):
+    from weftline.operators import translate
+
+    rows = [
+        (1, 3, None, "text", "plain ", "", None), (1, 0, "doc_title", "text", "src", " Title ", None), (1, 1, "seal", "text", "seal", "seal", None), (1, 2, "header", "text", "src", "tr", "edited"),
+        (1, 4, "figure", "figure_passthrough", "", None, None), (1, 5, "text", "math_passthrough", " x = 1 ", None, ""), (1, 6, "text", "text", "kept out", " ", None), (2, 0, "page_number", "text", "7", None, None),
+    ]
+    df = spark.createDataFrame(rows, "job_id long, seq int, label string, kind string, source_text string, translated_text string, edited_source_text string")
+    assert dict(map(tuple, translate.to_markdown(df).collect())) == {1: "# Title\n\n## edited\n\nplain\n\n[Figure]\n\n x = 1 \n", 2: ""}

@@ -195,11 +195,11 @@ def is_math_font(font: Column) -> Column:
 
 
 def is_bold_font(font: Column) -> Column:
-    return F.element_at(F.split(font, r"\+"), -1).rlike(r"(?i)bold|black|heavy|-b$|\.b$")
+    return F.element_at(F.split(font, r"\+"), -1).rlike(r"\.B$|(?i)bold|black|heavy")
 
 
 def is_italic_font(font: Column) -> Column:
-    return F.element_at(F.split(font, r"\+"), -1).rlike(r"(?i)italic|oblique|-i$|\.i$")
+    return F.element_at(F.split(font, r"\+"), -1).rlike(r"\.I$|(?i)italic|oblique")
 
 
 def is_valid_email(c: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars as S
 from weftline.functions import text as T
 
-FLAG_TYPES = ["overflow", "glossary_violation", "placeholder_mismatch", "llm_refusal", "layout_degraded", "low_confidence", "ocr_failed", "auto_adjusted"]
+# Fixed values.
+FLAG_TYPES = ["overflow", "glossary_violation", "placeholder_mismatch", "llm_refusal", "smartart", "multi_column_degraded", "figure_passthrough", "ocr_page_error"]
 #: A glossary is broadcast for the containment join up to this many terms; beyond, terms meet texts by their first word.
 MOST_BROADCAST_TERMS = 20_000
 

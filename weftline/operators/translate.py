@@ -78,9 +78,19 @@ def write_back(segments: DataFrame) -> DataFrame:
 
 
 def to_markdown(segments: DataFrame) -> DataFrame:
-    """(job_id, markdown): headings by label, figures as a mark, seals and page numbers left out."""
-    body = F.coalesce(F.nullif(F.col("edited_text"), F.lit("")), F.nullif(F.col("translated_text"), F.lit("")), F.col("source_text"))
-    line = F.when(F.col("label") == "doc_title", F.concat(F.lit("# "), body)).when(F.col("label").isin("paragraph_title", "header"), F.concat(F.lit("## "), body)).when(F.col("label") == "figure", "[Figure]").otherwise(body)
-    kept = segments.filter(~F.coalesce(F.col("label").isin("seal", "page_number"), F.lit(False)))
-    lines = kept.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("s"))
-    return lines.select("job_id", F.array_join(F.transform("s", lambda x: x["line"]), "\n\n").alias("markdown"))
+    """(job_id, markdown) from job_id, seq, label, kind, source_text, translated_text and edited_source_text.
+
+    The corrected source counts first, then the translation, then the source; empty ones count as none. Titles and headers
+    become headings, passed-through figures a mark; seals, page numbers and blank texts are left out. Blocks end with a blank line, and
+    texts are stripped but for formulas. A job without a block has an empty text.
+    """
+    label = F.coalesce("label", F.lit("text"))
+    kind = F.coalesce("kind", F.lit("text"))
+    text = F.coalesce(F.nullif("edited_source_text", F.lit("")), F.nullif("translated_text", F.lit("")), F.col("source_text"), F.lit(""))
+    body, figure = T.strip(text), kind == "figure_passthrough"
+    line = F.when(figure, "[Figure]").when(label == "doc_title", F.concat(F.lit("# "), body)).when(label.isin("paragraph_title", "header"), F.concat(F.lit("## "), body))
+    line = line.when((kind == "math_passthrough") & (label != "table"), text).otherwise(body)
+    kept = ~label.isin("seal", "page_number") & (figure | (body != ""))
+    lines = segments.groupBy("job_id").agg(F.array_sort(F.collect_list(F.when(kept, F.struct("seq", line.alias("line"))))).alias("s"))
+    joined = F.concat(F.array_join(F.transform("s", lambda x: x["line"]), "\n\n"), F.lit("\n"))
+    return lines.select("job_id", F.when(F.size("s") > 0, joined).otherwise("").alias("markdown"))

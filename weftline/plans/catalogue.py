@@ -372,7 +372,7 @@ def flag_facets_flags(spark, d):
     return checks.facets(_flags(spark, d))
 
 
-@query("SELECT t.flag_type, count(DISTINCT (f.job_id, f.seq)) FILTER (f.job_id IS NOT NULL) AS segments FROM (VALUES " + ", ".join(f"('{k}')" for k in checks.FLAG_TYPES) + f") t(flag_type) LEFT JOIN {FLAGS_SQL} f USING (flag_type) GROUP BY t.flag_type")
+@query(f"SELECT t.flag_type, count(DISTINCT (f.job_id, f.seq)) FILTER (f.job_id IS NOT NULL) AS segments FROM (VALUES ('overflow'), ('glossary_violation'), ('placeholder_mismatch'), ('llm_refusal'), ('smartart'), ('multi_column_degraded'), ('figure_passthrough'), ('ocr_page_error')) t(flag_type) LEFT JOIN {FLAGS_SQL} f USING (flag_type) GROUP BY t.flag_type")
 def flag_facets_segments(spark, d):
     return checks.segment_facets(_flags(spark, d))
 
@@ -508,10 +508,30 @@ def page_confidence(spark, d):
     return layout.confidence(tables.events(spark, d), "user_id", F.when(F.col("event_type") != "error", (F.col("event_id") % 101) / 100))
 
 
-@query(f"SELECT job_id, array_to_string(list(CASE seq % 5 WHEN 0 THEN '# ' || text WHEN 1 THEN '## ' || text WHEN 2 THEN '[Figure]' ELSE text END ORDER BY seq) FILTER (seq % 5 <> 4), chr(10) || chr(10)) AS markdown FROM {NUMBERED_SQL} GROUP BY job_id HAVING count(*) FILTER (seq % 5 <> 4) > 0")
+# per line: label and kind by its number, a correction, a translation or neither, and some lines blank
+@query(f"""
+WITH s AS (
+  SELECT job_id, line, CASE line % 7 WHEN 0 THEN 'doc_title' WHEN 1 THEN 'header' WHEN 2 THEN 'paragraph_title' WHEN 3 THEN 'seal' WHEN 4 THEN 'table' WHEN 5 THEN 'page_number' END AS label,
+         CASE line % 11 WHEN 4 THEN 'figure_passthrough' WHEN 8 THEN 'math_passthrough' WHEN 6 THEN 'math_passthrough' ELSE 'text' END AS kind,
+         CASE line % 3 WHEN 0 THEN '  corrected ' || text WHEN 1 THEN '' END AS edited, CASE line % 4 WHEN 0 THEN 'translated ' || text || '  ' WHEN 1 THEN ' ' WHEN 2 THEN '' END AS translated, text
+  FROM {SEGMENTS_SQL}),
+t AS (SELECT *, CASE WHEN edited <> '' THEN edited WHEN translated <> '' THEN translated ELSE text END AS body FROM s),
+b AS (
+  SELECT job_id, line, CASE WHEN kind = 'figure_passthrough' THEN '[Figure]' WHEN label = 'doc_title' THEN '# ' || {strip_sql('body')} WHEN label IN ('header', 'paragraph_title') THEN '## ' || {strip_sql('body')}
+                            WHEN label = 'table' OR kind <> 'math_passthrough' THEN {strip_sql('body')} ELSE body END AS block
+  FROM t WHERE coalesce(label, 'text') NOT IN ('seal', 'page_number') AND (kind = 'figure_passthrough' OR {strip_sql('body')} <> ''))
+SELECT d.job_id, coalesce(string_agg(block || chr(10), chr(10) ORDER BY b.line), '') AS markdown FROM (SELECT DISTINCT job_id FROM s) d LEFT JOIN b ON b.job_id = d.job_id GROUP BY d.job_id
+""")
 def markdown_render(spark, d):
-    label = F.get(F.array(*map(F.lit, ("doc_title", "header", "figure", "text", "seal"))), (F.col("seq") % 5).cast("int"))
-    s = segments.number(tables.segments(spark, d)).select("job_id", "seq", F.col("text").alias("source_text"), F.lit(None).cast("string").alias("edited_text"), F.lit("").alias("translated_text"), label.alias("label"))
+    n = F.col("line")
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (n % by).cast("int"))
+    s = tables.segments(spark, d).select(
+        "job_id", n.alias("seq"), F.col("text").alias("source_text"),
+        pick(("doc_title", "header", "paragraph_title", "seal", "table", "page_number", None), 7).alias("label"),
+        F.when(n % 11 == 4, "figure_passthrough").when((n % 11).isin(6, 8), "math_passthrough").otherwise("text").alias("kind"),
+        F.when(n % 3 == 0, F.concat(F.lit("  corrected "), "text")).when(n % 3 == 1, "").alias("edited_source_text"),
+        F.when(n % 4 == 0, F.concat(F.lit("translated "), "text", F.lit("  "))).when(n % 4 == 1, " ").when(n % 4 == 2, "").alias("translated_text"),
+    )
     return translate.to_markdown(s)
 
 
