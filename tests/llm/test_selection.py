@@ -229,12 +229,12 @@ def test_a_passage_in_very_many_documents(spark):
 def test_every_window_has_one_anchor_by_its_words():
     rng = random.Random(6)
     words = [rng.choice([b"a", b"b", b"c"]) for _ in range(400)]
-    found = substrings.spans(words, np.array([0, 400]), {}, 50, 16)
+    found = substrings.spans([b" ".join(words)], 50, 16)
     covered = [s + i for s, n in zip(found["start"], found["n"], strict=True) for i in range(n)]
     assert covered == list(range(351))
     for s, n, at in zip(found["start"], found["n"], found["at"], strict=True):
         for i in range(n):
-            alone = substrings.spans(words[s + i : s + i + 50], np.array([0, 50]), {}, 50, 16)
+            alone = substrings.spans([b" ".join(words[s + i : s + i + 50])], 50, 16)
             assert alone["at"][0] == at - i
 
 

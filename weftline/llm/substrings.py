@@ -39,8 +39,9 @@ from weftline.llm.common import cut, drop, text_or_empty
 
 WINDOW = 50
 ANCHOR = 16
-#: Words that are hashed at once.
-CHUNK = 300_000
+#: Bytes of texts that are searched for spans together, and words whose bytes are hashed at once.
+CHUNK = 2_000_000
+WORDS_AT_ONCE = 300_000
 #: An odd factor, so that its powers can be inverted modulo 2^64.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -54,47 +55,60 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashed:
-    """64-bit hashes of runs of words, from prefix sums."""
-
-    def __init__(self, words: list[bytes], memo: dict[bytes, int]):
-        from xxhash import xxh3_64_intdigest
-
-        if len(memo) > 1_000_000:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxh3_64_intdigest(w)
-        n = len(words)
-        each = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
-        power = np.full(n + 1, FACTOR)
-        power[:1] = 1
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(each * np.cumprod(power)[:n], out=self.sums[1:])
+    """64-bit hashes of runs of words, from prefix sums over the words' hashes, and these from prefix sums over bytes."""
+
+    def __init__(self, text: bytes):
+        b = np.frombuffer(text, np.uint8)
+        space = np.ones(len(b) + 2, bool)
+        space[1:-1] = (b == 32) | ((b >= 9) & (b <= 13))
+        #: Where each word starts, and where it ends.
+        self.first, self.end = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[:-1] & space[1:])
+        n = len(self.first)
+        each = np.zeros(n, np.uint64)
+        for g in range(0, n, WORDS_AT_ONCE):
+            first, end = self.first[g : g + WORDS_AT_ONCE], self.end[g : g + WORDS_AT_ONCE]
+            sums, back = self._sums(b[first[0] : end[-1]].astype(np.uint64) + np.uint64(1))
+            each[g : g + WORDS_AT_ONCE] = mixed((sums[end - first[0]] - sums[first - first[0]]) * back[first - first[0]])
+        self.sums, self.back = self._sums(each)
+
+    @staticmethod
+    def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums of values times powers of the factor before each place, what brings a sum back from its place)."""
+        n = len(values)
+        power, sums = np.full(n + 1, FACTOR), np.zeros(n + 1, np.uint64)
+        power[0] = 1
+        np.cumsum(values * np.cumprod(power)[:n], out=sums[1:])
         power[1:] = INVERSE
-        self.back = np.cumprod(power)
+        return sums, np.cumprod(power)
 
     def runs(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mixed((self.sums[start + length] - self.sums[start]) * self.back[start])
 
 
-def least(values: np.ndarray, width: int) -> np.ndarray:
-    """For each run of `width` values, the position of its least one, the first of equals."""
-    at, reach = np.arange(len(values)), 1
+def least(values: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` values (64 at most), the position of its least one: 58 bits of a value decide, of equals the place in the text, modulo 64."""
+    low = np.uint64(63)
+    key, reach = (values & ~low) | (place.astype(np.uint64) & low), 1
     while reach < width:
         step = min(reach, width - reach)
-        left, right = at[: len(at) - step], at[step:]
-        at, reach = np.where(values[left] <= values[right], left, right), reach + step
-    return at
+        key, reach = np.minimum(key[: len(key) - step], key[step:]), reach + step
+    start = np.arange(len(key))
+    return start + (((key & low).astype(np.int64) - place[: len(key)]) & 63)
 
 
-def spans(words: list[bytes], starts: np.ndarray, memo: dict, window: int, anchor: int) -> dict[str, np.ndarray]:
-    """Spans of documents that stand one after another in `words`, document i from starts[i] to starts[i + 1]."""
-    if len(words) < window:
+def spans(texts: list[bytes], window: int, anchor: int) -> dict[str, np.ndarray]:
+    """Spans of documents; doc: which of the texts."""
+    h = Hashed(b" ".join(texts))
+    n_words = len(h.first)
+    if n_words < window:
         return {k: np.zeros(0, np.int64) for k in ("doc", "anchor", "digest", "start", "n", "at")}
-    h = Hashed(words, memo)
-    grams = h.runs(np.arange(len(words) - anchor + 1), anchor)
-    at = least(grams, window - anchor + 1)
-    first = np.arange(len(words) - window + 1)
-    doc = np.searchsorted(starts, first, "right") - 1
+    # the word at which each text starts, and the end
+    starts = np.r_[np.searchsorted(h.first, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])), n_words]
+    grams = h.runs(np.arange(n_words - anchor + 1), anchor)
+    doc = np.repeat(np.arange(len(texts)), np.diff(starts))
+    at = least(grams, np.arange(len(grams)) - starts[doc[: len(grams)]], window - anchor + 1)
+    first = np.arange(n_words - window + 1)
+    doc = doc[: len(first)]
     whole = first + window <= starts[doc + 1]
     first, doc, at = first[whole], doc[whole], at[whole]
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
@@ -107,20 +121,19 @@ def _find(window: int, anchor: int):
     """(doc_id, shard, body) -> a row for each span."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
         for batch in batches:
-            words, starts, rows = [], [0], []
+            texts, rows, size = [], [], 0
             for i, body in enumerate(batch.column("body")):
-                more = body.as_py().split()
-                if len(more) >= window:
-                    words += more
-                    starts.append(len(words))
+                text = body.as_py()
+                if len(text) >= 2 * window - 1:
+                    texts.append(text)
                     rows.append(i)
-                if rows and (len(words) >= CHUNK or i == len(batch) - 1):
-                    yield emit(batch, rows, spans(words, np.array(starts), memo, window, anchor))
-                    words, starts, rows = [], [0], []
+                    size += len(text)
+                if size >= CHUNK:
+                    yield emit(batch, rows, spans(texts, window, anchor))
+                    texts, rows, size = [], [], 0
             if rows:
-                yield emit(batch, rows, spans(words, np.array(starts), memo, window, anchor))
+                yield emit(batch, rows, spans(texts, window, anchor))
 
     def emit(batch: pa.RecordBatch, rows: list[int], found: dict) -> pa.RecordBatch:
         owner = pa.array(np.array(rows, np.int64)[found["doc"]])
@@ -134,14 +147,14 @@ def _fetch(window: int):
     """(doc_id, body, spans) -> a row for each span, with its words and the digests of its windows."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
         for batch in batches:
             for i in range(len(batch)):
-                words = batch.column("body")[i].as_py().split()
+                body = batch.column("body")[i].as_py()
+                words = body.split()
                 found = [s for s in batch.column("spans")[i].as_py() if s["start"] + s["n"] + window - 1 <= len(words)]
                 if not found:
                     continue
-                h = Hashed(words, memo)
+                h = Hashed(body)
                 digests = [h.runs(np.arange(s["start"], s["start"] + s["n"]), window).view(np.int64) for s in found]
                 cols = [
                     pa.array(np.full(len(found), i)), pa.array([s["anchor"] for s in found], pa.int64()), pa.array([s["start"] for s in found], pa.int32()), pa.array([s["at"] for s in found], pa.int32()),
@@ -159,7 +172,7 @@ class Automaton:
     def __init__(self, window: int, anchor: int):
         import ahocorasick
 
-        self.window, self.anchor, self.memo, self.anchors, self.passages, self.windows, self.automaton = window, anchor, {}, set(), [], {}, ahocorasick.Automaton()
+        self.window, self.anchor, self.anchors, self.passages, self.windows, self.automaton = window, anchor, set(), [], {}, ahocorasick.Automaton()
 
     def add(self, doc_id: object, passage: bytes, anchor: int, at: int, confirmed: list[int]) -> None:
         words = passage.split(b" ")
@@ -176,7 +189,7 @@ class Automaton:
                 starts += [len(whole) + i for i in confirmed]
                 at += [(n, i) for i in confirmed]
                 whole += words
-            for digest, (n, i) in zip(Hashed(whole, self.memo).runs(np.array(starts), self.window).tolist(), at, strict=True):
+            for digest, (n, i) in zip(Hashed(b" ".join(whole)).runs(np.array(starts), self.window).tolist(), at, strict=True):
                 doc_id, words, _ = self.passages[n]
                 if digest not in self.windows or doc_id < self.windows[digest][0]:
                     self.windows[digest] = (doc_id, words, i)
@@ -187,13 +200,14 @@ class Automaton:
         gone, window = bytearray(len(words)), self.window
         if not self.passages or doc_id is None or len(words) < window:
             return gone
-        ends = [*self.automaton.iter(" " + b" ".join(words).decode("latin-1") + " ")]
+        text = b" ".join(words)
+        ends = [*self.automaton.iter(" " + text.decode("latin-1") + " ")]
         if not ends:
             return gone
-        spaces = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # after each word
-        digests = Hashed(words, self.memo).runs(np.arange(len(words) - window + 1), window).tolist()
+        h = Hashed(text)
+        digests = h.runs(np.arange(len(words) - window + 1), window).tolist()
         s, lo, hi = 0, 0, 0  # the next window, the last match
-        for p in (np.searchsorted(spaces, [e for e, _ in ends]) + 1 - self.anchor).tolist():
+        for p in (np.searchsorted(h.end, [e - 1 for e, _ in ends]) + 1 - self.anchor).tolist():
             s = max(s, p + self.anchor - window)
             while s <= min(p, len(digests) - 1):
                 if lo <= s and s + window <= hi:
