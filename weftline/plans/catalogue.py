@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.functions import text as T
-from weftline.operators import accounts, checks, glossary, jobs, layout, licensing, segments, translate
+from weftline.operators import accounts, checks, glossary, jobs, layout, licensing, markup, segments, translate
 from weftline.sources import docx_runs, languages, pptx_shapes, tables
 from weftline.sources.tables import EVENTS_NOW, JOBS_SQL, LICENSES_SQL, NOW, PAIRS_SQL, SEGMENTS_SQL, USERS_SQL, now, table
 from weftline.streaming import state
@@ -745,3 +745,64 @@ def pptx_write_back(spark, d):
     found = pptx_shapes.positions_of(files)
     new = found.filter(~F.col("position").contains(".notes.")).select("path", "id", F.concat(F.upper("position"), F.lit(" "), "text").alias("new_text"))
     return pptx_shapes.positions_of(pptx_shapes.written_to(files, pptx_shapes.placed(found, new))).select("path", "position", "text")
+
+
+# ---- a document as a page's block: its lines, cut at commas into spans whose looks go by their lengths
+
+SIZE_SQL = "CASE length(text) % 9 WHEN 0 THEN 19.0 WHEN 1 THEN 14.5 WHEN 2 THEN 10.2 ELSE 10.0 END"
+STYLE_SQL = "CASE length(text) % 7 WHEN 0 THEN 16 WHEN 1 THEN 2 WHEN 2 THEN 18 ELSE 4 END"
+FONT_SQL = "CASE length(text) % 11 WHEN 0 THEN 'G' WHEN 1 THEN 'CMR7' WHEN 2 THEN 'X+F.B' WHEN 3 THEN 'F-Oblique' ELSE 'F' END"
+SPANS_SQL = f"""
+l AS (SELECT doc_id, (u.ordinality - 1)::INTEGER AS line, u.unnest AS t FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(unnest, ordinality)),
+y AS (SELECT *, 12.0 * line + 9.0 * (line // 3) AS y0, CASE WHEN line % 4 = 3 THEN 12.0 ELSE 10.0 END AS h FROM l),
+g AS (SELECT *, y0 - lag(y0) OVER w AS gap, lag(h) OVER w AS before FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+m AS (SELECT doc_id, median(gap) FILTER (gap > 0) AS usual FROM g GROUP BY doc_id),
+b AS (SELECT doc_id, line, t, coalesce(gap > usual * 1.2, false) OR coalesce(abs(h - before) >= 1, false) AS is_break FROM g JOIN m USING (doc_id)),
+s AS (SELECT doc_id, line, (u.ordinality - 1)::INTEGER AS place, u.unnest AS text FROM b, unnest(string_split(t, ',')) WITH ORDINALITY AS u(unnest, ordinality)),
+f AS (SELECT *, ({SIZE_SQL})::DOUBLE AS size, {STYLE_SQL} AS flags, {FONT_SQL} AS font FROM s),
+c AS (SELECT doc_id, round_even(size * 2, 0) / 2 AS body FROM f GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, round_even(size * 2, 0) / 2) = 1),
+k AS (SELECT doc_id, font AS usual_font FROM f JOIN c USING (doc_id) WHERE abs(round_even(size * 2, 0) / 2 - body) < 0.6 AND text <> ''
+      GROUP BY doc_id, font QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sum(length(text)) DESC, min((line, place))) = 1),
+e AS (SELECT doc_id, line, place, text, (flags & 16) <> 0 OR font = 'X+F.B' AS bold, (flags & 2) <> 0 OR font = 'F-Oblique' AS italic,
+             coalesce(font <> usual_font, false) AND abs(size - body) <= 1 AND font <> 'CMR7' AS variant, size / body AS ratio
+      FROM f JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)),
+p AS (SELECT doc_id, line, place, text, CASE WHEN ratio >= 1.8 THEN 'h1' WHEN ratio >= 1.4 THEN 'h2' WHEN bold AND italic THEN 'bi' WHEN bold THEN 'b' WHEN italic THEN 'i' WHEN variant THEN 'b' ELSE '' END AS style FROM e WHERE text <> ''),
+j AS (SELECT doc_id, b.line, -1 AS place, CASE WHEN is_break THEN '' ELSE ' ' END AS text, CASE WHEN is_break THEN 'br' ELSE '' END AS style
+      FROM b JOIN (SELECT doc_id, min(line) AS first FROM p GROUP BY doc_id) USING (doc_id) WHERE b.line > first),
+a AS (SELECT *, style = 'br' OR coalesce(style <> lag(style) OVER (PARTITION BY doc_id ORDER BY line, place), true) AS new FROM (FROM p UNION ALL FROM j)),
+n AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY line, place) AS run FROM a),
+r AS (SELECT doc_id, run::BIGINT AS run, any_value(style) AS style, string_agg(text, '' ORDER BY line, place) AS text FROM n GROUP BY doc_id, run),
+q AS MATERIALIZED (
+  SELECT doc_id, run, style, {strip_sql("text")} AS shown, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe FROM r)"""
+
+
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda t, m, of, other: F.coalesce(F.get(F.array(*map(F.lit, of)), F.length(t) % m), F.lit(other))
+    flags, font = lambda t: pick(t, 7, [16, 2, 18], 4), lambda t: pick(t, 11, ["G", "CMR7", "X+F.B", "F-Oblique"], "F")
+    span = lambda t: F.struct(t.alias("text"), flags(t).alias("flags"), font(t).alias("font"), pick(t, 9, [19.0, 14.5, 10.2], 10.0).alias("size"))
+    lines = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    y0 = 12.0 * F.col("line") + 9.0 * F.floor(F.col("line") / 3)
+    return lines.select("doc_id", "line", y0.alias("y0"), (y0 + F.when(F.col("line") % 4 == 3, 12.0).otherwise(10.0)).alias("y1"), F.transform(F.split("t", ","), span).alias("spans"))
+
+
+@query(f"""
+WITH RECURSIVE {SPANS_SQL},
+z AS (
+  SELECT DISTINCT doc_id, 0::BIGINT AS run, '' AS piece, false AS seen, false AS title, false AS fresh, false AS ended, false AS cut FROM l
+  UNION ALL
+  SELECT doc_id, run, CASE WHEN style = 'br' THEN CASE WHEN seen THEN '<br>' ELSE '' END ELSE CASE WHEN due OR listed THEN '<br>' ELSE '' END
+           || CASE style WHEN '' THEN safe WHEN 'bi' THEN '<b><i>' || safe || '</i></b>' ELSE '<' || style || '>' || safe || '</' || style || '>' END END,
+         seen OR shown <> '',
+         CASE WHEN style = 'br' THEN title AND NOT seen WHEN shown = '' THEN title ELSE (title AND NOT due) OR is_title END,
+         CASE WHEN style = 'br' THEN fresh OR seen ELSE shown = '' AND fresh END,
+         CASE WHEN shown = '' THEN ended ELSE right(shown, 1) IN ('.', '?', '!', ':') END,
+         CASE WHEN style = 'br' THEN cut OR seen ELSE false END
+  FROM (
+    SELECT *, style IN ('b', 'bi', 'h1', 'h2') AND (NOT seen OR fresh OR due) AND length(shown) >= 3 AND right(shown, 1) <> ':' AS is_title,
+           style IN ('b', 'bi') AND seen AND ended AND length(shown) BETWEEN 2 AND 80 AND right(shown, 1) IN (':', '.') AND NOT (cut OR due) AS listed
+    FROM (SELECT q.*, z.seen, z.title, z.fresh, z.ended, z.cut, q.style <> 'br' AND z.title AND q.shown <> '' AND q.style NOT IN ('h1', 'h2') AS due FROM z JOIN q ON q.doc_id = z.doc_id AND q.run = z.run + 1)))
+SELECT doc_id, {strip_sql("string_agg(piece, '' ORDER BY run)")} AS html FROM z GROUP BY doc_id
+""")
+def span_html(spark, d):
+    """Every document's block as HTML."""
+    return markup.to_html(page_lines(spark, d), ["doc_id"])
