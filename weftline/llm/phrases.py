@@ -22,7 +22,6 @@ empty table gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
-import re
 import string
 from collections.abc import Iterator
 
@@ -37,61 +36,57 @@ from weftline.llm.common import cut, drop, text_or_empty
 SHARD_WORDS = 2_000_000
 #: Salts of the first step of each language's best phrases.
 PARTS = 64
-BREAK = rb"[.,;:!?\x0A-\x0D]+"
-LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
-
-
-class _Codes(dict):
-    """Numbers keys in the order in which they are met."""
-
-    def __missing__(self, key: object) -> int:
-        self[key] = n = len(self)
-        return n
-
-
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece of a text, A to Z in lower case. Pieces end at punctuation and line ends, words at blanks."""
-    for piece in re.split(BREAK, text.translate(LOWER)):
-        if words := piece.split():
-            yield words
+#: A to Z in lower case, what ends a piece as a line end, what ends a word as a blank.
+PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\x0B\x0C\x0D\x09", string.ascii_lowercase.encode() + b"\n" * 9 + b" ")
 
 
 def _invert(shard_words: int):
     """(lang, body) -> a list for each word of a language in a shard."""
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, langs, at, n = TaskContext.get().partitionId() << 20, {}, [], 0
+        shard, langs, n = TaskContext.get().partitionId() << 20, {}, 0
         for batch in batches:
             for lang, body in zip(batch.column("lang").to_pylist(), batch.column("body"), strict=True):
-                codes = langs.setdefault(lang, _Codes())
-                for words in pieces(body.as_py()):
-                    at.append((lang, n, [*map(codes.__getitem__, words)]))
-                    n += len(words) + 1
+                text = body.as_py().translate(PLAIN)
+                langs.setdefault(lang, []).append(text)
+                n += text.count(b" ") + text.count(b"\n") + 1
                 if n >= shard_words:
-                    yield from lists(shard, langs, at)
-                    shard, langs, at, n = shard + 1, {}, [], 0
-        yield from lists(shard, langs, at)
-
-    def lists(shard: int, langs: dict, at: list) -> Iterator[pa.RecordBatch]:
-        for lang, vocabulary in langs.items():
-            own = [(n, codes) for which, n, codes in at if which == lang]
-            if not own:
+                    yield from lists(shard, langs)
+                    shard, langs, n = shard + 1, {}, 0
+        yield from lists(shard, langs)
+
+    def lists(shard: int, langs: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        base = 0
+        for lang, texts in langs.items():
+            words, positions = numbered(b"\n".join(texts))
+            if not len(words):
                 continue
-            lengths = np.array([len(c) for _, c in own])
-            codes = np.concatenate([np.array(c, np.int32) for _, c in own])
-            # a piece's words stand one after another from its start
-            positions = np.arange(len(codes)) + np.repeat(np.array([n for n, _ in own]) - (np.cumsum(lengths) - lengths), lengths)
+            positions += base
+            base = int(positions[-1]) + 2
+            words = words.dictionary_encode()
+            codes, vocabulary = words.indices.to_numpy(), words.dictionary.cast(pa.string())
             order = np.argsort(codes, kind="stable")
             ends = np.r_[0, np.cumsum(np.bincount(codes, minlength=len(vocabulary)))].astype(np.int32)
-            words = pa.array(list(vocabulary), pa.binary()).cast(pa.string())
             found = pa.ListArray.from_arrays(pa.array(ends), pa.array(positions[order].astype(np.int32)))
-            for lo in range(0, len(words), 50_000):
-                n = len(words[lo : lo + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([lang] * n, pa.string()), words[lo : lo + n], found[lo : lo + n]], names=["shard", "lang", "word", "positions"])
+            for lo in range(0, len(vocabulary), 50_000):
+                n = len(vocabulary[lo : lo + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([lang] * n, pa.string()), vocabulary[lo : lo + n], found[lo : lo + n]], names=["shard", "lang", "word", "positions"])
 
     return invert
 
 
+def numbered(text: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words of a text of words, blanks and line ends, and their positions, with a gap at line ends."""
+    b = np.frombuffer(text, np.uint8)
+    space = np.ones(len(b) + 2, bool)
+    space[1:-1] = (b == 32) | (b == 10)
+    first, end = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[:-1] & space[1:])
+    line = np.searchsorted(np.flatnonzero(b == 10), first)
+    positions = np.arange(len(first)) + np.cumsum(np.diff(line, prepend=line[:1]) > 0)
+    offsets = np.r_[0, np.cumsum(end - first)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(b[~space[1:-1]])]), positions
+
+
 def merge_join(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places in two sorted arrays at which they have the same number."""
     if not len(right):
