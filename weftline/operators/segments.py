@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.operators.folds import Greedy, fold
 
 
 def number(lines: DataFrame, order: str = "line") -> DataFrame:
@@ -38,20 +39,13 @@ def chunks(distinct: DataFrame, size: int = 10, by: str = "job_id") -> DataFrame
 def greedy_batches(segments: DataFrame, tokens: Column, budget: int = 3000, by: str = "job_id", hard: int = 7000) -> DataFrame:
     """Batches in order, flushed when the next text would pass the budget; a text is never split.
 
-    A text above the hard limit makes its job an error (null batch). The fold runs over
-    one job's sorted array, so a job is the unit and jobs are dealt out to tasks.
+    A text above the hard limit makes its job an error (null batch). Rows are streamed, and long jobs are
+    split over tasks (see `folds`); tokens that are null count as none.
     """
-    jobs = segments.withColumn("tokens", tokens).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "tokens"))).alias("s"))
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("t"), F.array().cast("array<struct<seq:int,tokens:int,batch:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        flush = (a["t"] > 0) & (a["t"] + x["tokens"] > budget)
-        batch = F.when(flush, a["b"] + 1).otherwise(a["b"])
-        row = F.struct(x["seq"].cast("int").alias("seq"), x["tokens"].cast("int").alias("tokens"), batch.cast("int").alias("batch"))
-        return F.struct(batch.alias("b"), F.when(flush, x["tokens"]).otherwise(a["t"] + x["tokens"]).cast("int").alias("t"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    folded = jobs.select(by, F.aggregate("s", zero, step)["out"].alias("out"), F.exists("s", lambda x: x["tokens"] > hard).alias("too_long"))
-    return folded.select(by, "too_long", F.inline("out")).withColumn("batch", F.when(~F.col("too_long"), F.col("batch"))).drop("too_long")
+    counted = segments.select(by, F.col("seq").cast("int").alias("seq"), F.coalesce(tokens, F.lit(0)).cast("int").alias("tokens"))
+    too_long = counted.filter(F.col("tokens") > hard).select(F.col(by).alias("__by")).distinct()
+    batches = fold(counted, [by], ["seq"], Greedy(budget), "batch").join(too_long, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return batches.select(by, "seq", "tokens", F.when(F.col("__by").isNull(), F.col("batch")).alias("batch"))
 
 
 def islands(rows: DataFrame, key: list[str], order: list[str], by: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from weftline.operators.folds import Cooldown, Lockout, fold
+
 PROGRESS = "job_id long, seq long, status string, done int, total int"
 
 
@@ -24,28 +26,6 @@ def to_messages(log: DataFrame) -> DataFrame:
     return log.select(F.to_json(F.struct("job_id", "seq", "status", "done", "total")).alias("value"))
 
 
-class Lockout:
-    """The rule, apart from where its state is kept: every failure restarts the window; `limit` of them lock.
-
-    A success clears the count and the lock. State: failures, the time of the last, the
-    end of the lock, in seconds.
-    """
-
-    def __init__(self, window: float = 600, lock: float = 900, limit: int = 5):
-        self.window, self.lock, self.limit = window, lock, limit
-
-    def step(self, state: tuple, at: float, failed: bool) -> tuple[tuple, str]:
-        n, last, until = state
-        if at < until:
-            return state, "locked"
-        if not failed:
-            return (0, 0.0, 0.0), "ok"
-        n = n + 1 if n and at - last < self.window else 1
-        if n >= self.limit:
-            return (0, 0.0, at + self.lock), "lock"
-        return (n, at, 0.0), "failed"
-
-
 class LockoutProcessor(StatefulProcessor):
     """Rows (user_id, event_id, at, failed) of a key in order -> (user_id, event_id, outcome)."""
 
@@ -79,29 +59,12 @@ def lockout_stream(attempts: DataFrame, rule: Lockout | None = None) -> DataFram
 
 def lockout_batch(attempts: DataFrame, rule: Lockout | None = None) -> DataFrame:
     """The same over a table: a fold over each user's attempts in order."""
-    rule = rule or Lockout()
-    t = F.array_sort(F.collect_list(F.struct("at", "event_id", "failed")))
-    kind = "struct<n:int,last:double,until:double,out:array<struct<event_id:bigint,outcome:string>>>"
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("last"), F.lit(0.0).alias("until"), F.array().cast("array<struct<event_id:bigint,outcome:string>>").alias("out")).cast(kind)
-
-    def step(s, x):
-        add = lambda outcome: F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"), F.lit(outcome).alias("outcome"))))
-        n = F.when((s["n"] > 0) & (x["at"] - s["last"] < rule.window), s["n"] + 1).otherwise(1)
-        of = lambda a, b, c, outcome: F.struct(F.lit(a).alias("n") if isinstance(a, int) else a.alias("n"), b.alias("last"), c.alias("until"), add(outcome).alias("out")).cast(kind)
-        z = F.lit(0.0)
-        return F.when(x["at"] < s["until"], of(s["n"], s["last"], s["until"], "locked")).when(~x["failed"], of(0, z, z, "ok")).when(n >= rule.limit, of(0, z, x["at"] + rule.lock, "lock")).otherwise(of(n, x["at"], z, "failed"))
-
-    return attempts.groupBy("user_id").agg(F.aggregate(t, zero, step)["out"].alias("out")).select("user_id", F.inline("out"))
+    return fold(attempts, ["user_id"], ["at", "event_id"], rule or Lockout(), "outcome").select("user_id", "event_id", "outcome")
 
 
 def cooldown(requests: DataFrame, seconds: float = 60) -> DataFrame:
     """Requests (key, event_id, at) that go through: the first, and then the first after `seconds` from the last that did."""
-    t = F.array_sort(F.collect_list(F.struct("at", "event_id")))
-    kind = "struct<last:double,out:array<bigint>>"
-    zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("out")).cast(kind)
-    passes = lambda s, x: s["last"].isNull() | (x["at"] - s["last"] >= seconds)
-    step = lambda s, x: F.when(passes(s, x), F.struct(x["at"].alias("last"), F.concat(s["out"], F.array(x["event_id"])).alias("out")).cast(kind)).otherwise(s)
-    return requests.groupBy("key").agg(F.aggregate(t, zero, step)["out"].alias("out")).select("key", F.explode("out").alias("event_id"))
+    return fold(requests, ["key"], ["at", "event_id"], Cooldown(seconds), "passes").filter("passes").select("key", "event_id")
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
