@@ -92,14 +92,6 @@ def test_refusals_and_boundaries(spark):
     assert got == {(0, "llm_refusal", "unchanged"), (3, "overflow", "ratio above threshold"), (2, "glossary_violation", "Ascii"), (5, "placeholder_mismatch", "⟦T10⟧,⟦T2⟧")}
 
 
-def test_large_glossaries_find_the_same(spark, monkeypatch):
-    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["The Stone house", "in", "onion", "", "stones"])], "id int, source_text string")
-    terms = spark.createDataFrame([("stone", "a"), ("in", "b"), ("HOUSE", "c"), ("n", "d"), ("ones", "e")], "source_term string, target_term string")
-    small = sorted(map(tuple, checks.term_hits(texts, terms).select("id", "source_term").collect()))
-    monkeypatch.setattr(checks, "MOST_BROADCAST_TERMS", 2)
-    assert sorted(map(tuple, checks.term_hits(texts, terms).select("id", "source_term").collect())) == small
-
-
 @pytest.mark.parametrize(("reply", "expected"), [(str.upper, str.upper), (lambda t: t.replace("|||", " ").upper() if "|||" in t else t.upper(), str.upper)])
 def test_translation_keeps_count_and_falls_back(spark, reply, expected):
     texts = ["Year", "Range |||x|||", "Total", "Year", " ", "42", "end |", "see https://e.org"]

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.functions import text as T
+from weftline.operators.containment import contained
 
 # Fixed values.
 FLAG_TYPES = ["overflow", "glossary_violation", "placeholder_mismatch", "llm_refusal", "smartart", "multi_column_degraded", "figure_passthrough", "ocr_page_error"]
-#: A glossary is broadcast for the containment join up to this many terms; beyond, terms meet texts by their first word.
-MOST_BROADCAST_TERMS = 20_000
 
 
 def ratios(pairs: DataFrame, thresholds: DataFrame | None = None, default: float = 1.5) -> DataFrame:
@@ -24,21 +23,9 @@ def ratios(pairs: DataFrame, thresholds: DataFrame | None = None, default: float
     return pairs.withColumn("threshold", F.coalesce("threshold", F.lit(default)))
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, text_col: str = "source_text") -> DataFrame:
-    """Rows of texts with each term (source_term, target_term) that they contain, in any case.
-
-    Containment has no equality to shuffle by, so a glossary of checked size goes to
-    every task. A larger one is met by words: a term that starts and ends at word
-    borders shares its first word with the text, and others are found by their first
-    three characters at any place.
-    """
-    if terms.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS:
-        return texts.join(F.broadcast(terms), T.contains_ci(F.col(text_col), F.col("source_term")))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
-    short = texts.join(F.broadcast(terms.filter(F.length("source_term") < 3).dropDuplicates()), T.contains_ci(F.col(text_col), F.col("source_term")))
-    left = texts.withColumn("__g", F.explode(grams(F.lower(text_col))))
-    right = terms.filter(F.length("source_term") >= 3).withColumn("__g", F.substring(F.lower("source_term"), 1, 3))
-    return left.join(right, "__g").filter(T.contains_ci(F.col(text_col), F.col("source_term"))).drop("__g").unionByName(short)
+def term_hits(texts: DataFrame, terms: DataFrame, text_col: str = "source_text", shards: int = 1) -> DataFrame:
+    """Rows of texts with each term (source_term, target_term) that they contain, in any case; see `containment` for glossaries of any size."""
+    return contained(texts, terms, text_col, "source_term", shards)
 
 
 def flags(pairs: DataFrame, terms: DataFrame | None = None, thresholds: DataFrame | None = None) -> DataFrame:
@@ -57,7 +44,7 @@ def flags(pairs: DataFrame, terms: DataFrame | None = None, thresholds: DataFram
     ))
     found = pairs.select("job_id", "seq", F.inline(own))
     if terms is not None:
-        hits = term_hits(pairs, terms.filter(F.length("target_term") >= 2))
+        hits = term_hits(pairs.select("job_id", "seq", "source_text", "translated_text"), terms.select("source_term", "target_term").filter(F.length("target_term") >= 2))
         lost = hits.filter(~T.contains_ci(out, F.col("target_term")))
         found = found.unionByName(lost.select("job_id", "seq", F.lit("glossary_violation").alias("flag_type"), F.lit("warn").alias("severity"), F.col("source_term").alias("details")))
     return found
