@@ -37,7 +37,7 @@ class Rule(Protocol):
     emits: str
     start: State
 
-    def walk(self, state: State, *values: np.ndarray) -> tuple[State, np.ndarray]: ...
+    def walk(self, state: State, *values: np.ndarray) -> tuple[State, np.ndarray | pa.Array]: ...
 
     def summary(self, *values: np.ndarray) -> list[float]: ...
 
@@ -227,16 +227,20 @@ def _numbers(b: pa.RecordBatch, rule: Rule) -> list[np.ndarray]:
     return [b.column(v).to_numpy(zero_copy_only=False) for v in rule.values]
 
 
-def fold(rows: DataFrame, key: list[str], order: list[str], rule: Rule, out: str, block: int = BLOCK) -> DataFrame:
-    """`rows` (key, order and the rule's values) with what the rule says of each row in column `out`."""
+def fold(rows: DataFrame, key: list[str], order: list[str], rule: Rule, out: str, block: int | None = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`rows` (key, order, the rule's values and what to `keep`) with what the rule says of each row in column `out`.
+
+    Without a `block` each key is streamed through one task, for rules that have no summary.
+    """
     kinds = {f.name: f.dataType for f in rows.schema}
-    names = list(dict.fromkeys([*key, *order, *rule.values]))
+    names = list(dict.fromkeys([*key, *order, *rule.values, *keep]))
     same = lambda a, b: reduce(Column.__and__, [a[k].eqNullSafe(b[f"__{k}"]) for k in key])
     place = F.col(order[0]).cast("double")
     fill = {v: F.coalesce(v, F.lit(False) if kinds[v] == t.BooleanType() else F.lit(0)) for v in rule.values if v not in (*order, *key)}
     rows = rows.select(names).filter(F.col(order[0]).isNotNull()).withColumns(fill)
-    long = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__lo"), F.max(place).alias("__hi")).filter(F.col("__n") > block)
-    blocks = F.ceil(F.col("__n") / block)
+    result = t.StructType([t.StructField(c, kinds[c]) for c in names]).add(out, t.DataType.fromDDL(rule.emits))
+    long = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__lo"), F.max(place).alias("__hi")).filter(F.col("__n") > (block or BLOCK))
+    blocks = F.ceil(F.col("__n") / (block or BLOCK))
     cut = F.least(F.floor((place - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * blocks), blocks - 1)
     dealt = lambda how: rows.join(long, same(rows, long), how).select(*names, F.coalesce(cut, F.lit(0)).cast("long").alias("__block"))
     hashed = [*key, "__block"]
@@ -272,15 +276,18 @@ def fold(rows: DataFrame, key: list[str], order: list[str], rule: Rule, out: str
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = rule.start
-        for b, parts in _groups(batches, hashed):
-            cols, told, entry = _numbers(b, rule), [], b.column("__entry")
+        for b, parts in _groups(batches, key if block is None else hashed):
+            cols, told, entry = _numbers(b, rule), [], None if block is None else b.column("__entry")
             for new, lo, hi in parts:
                 if new:
-                    state = entry[lo].as_py() or rule.start
+                    state = rule.start if entry is None else entry[lo].as_py() or rule.start
                 state, said = rule.walk(state, *[c[lo:hi] for c in cols])
                 told.append(said)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(np.concatenate(told))], [*names, out])
+            said = pa.concat_arrays(told) if isinstance(told[0], pa.Array) else pa.array(np.concatenate(told))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], said], [*names, out])
 
+    if block is None:
+        return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(walked, result)
     of_block = [t.StructField(k, kinds[k]) for k in key] + [t.StructField("__block", t.LongType())]
     numbers = t.ArrayType(t.DoubleType())
     summaries = dealt("inner").repartition(*hashed).sortWithinPartitions(*hashed, *order).mapInArrow(summed, t.StructType([*of_block, t.StructField("__summary", numbers)]))
@@ -288,5 +295,4 @@ def fold(rows: DataFrame, key: list[str], order: list[str], rule: Rule, out: str
     entries = entries.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__block").alias("__of"), "__entry")
     all_rows = dealt("left")
     all_rows = all_rows.join(entries, same(all_rows, entries) & (all_rows["__block"] == entries["__of"]), "left").select(*names, "__block", "__entry")
-    result = t.StructType([t.StructField(c, kinds[c]) for c in names])
-    return all_rows.repartition(*hashed).sortWithinPartitions(*hashed, *order).mapInArrow(walked, result.add(out, rule.emits))
+    return all_rows.repartition(*hashed).sortWithinPartitions(*hashed, *order).mapInArrow(walked, result)
