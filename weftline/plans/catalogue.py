@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.functions import text as T
-from weftline.operators import accounts, checks, glossary, jobs, layout, licensing, markup, segments, translate
+from weftline.operators import accounts, checks, glossary, jobs, layout, licensing, markup, segments, transitions, translate
 from weftline.sources import docx_runs, languages, pptx_shapes, tables
 from weftline.sources.tables import EVENTS_NOW, JOBS_SQL, LICENSES_SQL, NOW, PAIRS_SQL, SEGMENTS_SQL, USERS_SQL, now, table
 from weftline.streaming import state
@@ -299,6 +299,47 @@ def activate_licenses(spark, d):
     return licensing.activate(tables.licenses(spark, d), a, now())
 
 
+COMMAND_KINDS = ["activate", "activate", "activate", "activate", "suspend", "suspend", "extend", "extend", "extend", "expire", "revoke"]
+COMMANDS_SQL = f"(SELECT (event_id * 7) % 1499 + 1 AS license_id, event_id AS command_id, {COMMAND_KINDS}[event_id % 11 + 1] AS kind, ts AS s, ts + to_days((event_id % 40 - 10)::INTEGER) AS until, 'u' || user_id AS actor FROM events)"
+OUTCOMES_SQL = f"""
+WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY license_id ORDER BY s, command_id) AS k FROM {COMMANDS_SQL}),
+l AS MATERIALIZED (SELECT i.license_id, l.id IS NOT NULL AS found, l.status, l.expired_at, CASE tier WHEN 'TRIAL' THEN 30 WHEN 'PRO' THEN 365 ELSE 730 END AS days FROM (SELECT DISTINCT license_id FROM c) i LEFT JOIN {LICENSES_SQL} l ON l.id = i.license_id),
+r(license_id, k, command_id, kind, s, actor, outcome, previous, status, old_expired_at, expired_at) AS (
+  SELECT license_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::TIMESTAMP, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, status, NULL::TIMESTAMP, expired_at::TIMESTAMP FROM l
+  UNION ALL SELECT license_id, k, command_id, kind, s, actor, outcome, was,
+    CASE WHEN outcome <> 'ok' THEN was ELSE CASE kind WHEN 'activate' THEN 'ACTIVE' WHEN 'suspend' THEN 'SUSPENDED' WHEN 'revoke' THEN 'REVOKED' WHEN 'expire' THEN 'EXPIRED' ELSE was END END, till,
+    CASE WHEN outcome = 'ok' AND kind = 'extend' THEN until WHEN outcome = 'ok' AND kind = 'activate' THEN coalesce(till, s + to_days(days)) ELSE till END
+  FROM (SELECT c.*, l.days, r.status AS was, r.expired_at AS till, CASE WHEN NOT l.found THEN 'not_found' ELSE CASE c.kind
+      WHEN 'activate' THEN CASE r.status WHEN 'PENDING' THEN 'ok' ELSE 'bad_state' END
+      WHEN 'suspend' THEN CASE r.status WHEN 'ACTIVE' THEN 'ok' WHEN 'SUSPENDED' THEN 'conflict' ELSE 'bad_state' END
+      WHEN 'revoke' THEN CASE r.status WHEN 'REVOKED' THEN 'conflict' ELSE 'ok' END
+      WHEN 'extend' THEN CASE WHEN r.status = 'REVOKED' THEN 'conflict' WHEN c.until > c.s THEN 'ok' ELSE 'bad_date' END
+      ELSE CASE WHEN r.status = 'ACTIVE' AND r.expired_at < c.s THEN 'ok' ELSE 'bad_state' END END END AS outcome
+    FROM r JOIN c ON c.license_id = r.license_id AND c.k = r.k + 1 JOIN l ON l.license_id = c.license_id))"""
+
+
+def _outcomes(spark, d):
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, COMMAND_KINDS)), (i % 11 + 1).cast("int"))
+    commands = tables.events(spark, d).select((i * 7 % 1499 + 1).alias("license_id"), i.alias("command_id"), kind.alias("kind"), F.col("ts").alias("at"), (F.col("ts") + F.make_dt_interval((i % 40 - 10).cast("int"))).alias("until"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"))
+    return transitions.apply(tables.licenses(spark, d), commands)
+
+
+@query(f"{OUTCOMES_SQL} SELECT license_id, command_id, kind, outcome, previous, status, expired_at FROM r WHERE k > 0")
+def license_commands(spark, d):
+    return _outcomes(spark, d).select("license_id", "command_id", "kind", "outcome", "previous", "status", "expired_at")
+
+
+@query(f"{OUTCOMES_SQL} SELECT license_id, command_id, CASE kind WHEN 'activate' THEN 'activated' WHEN 'suspend' THEN 'suspended' WHEN 'revoke' THEN 'revoked' WHEN 'extend' THEN 'extended' ELSE 'expired' END AS event_type, actor, previous AS previous_status, old_expired_at, expired_at AS new_expired_at FROM r WHERE k > 0 AND outcome = 'ok'")
+def license_audit(spark, d):
+    return transitions.audit(_outcomes(spark, d)).drop("at")
+
+
+@query(f"{OUTCOMES_SQL} SELECT license_id, command_id, CASE kind WHEN 'extend' THEN 'refresh' ELSE 'evict' END AS event, CASE kind WHEN 'extend' THEN floor((epoch_us(expired_at) - epoch_us(s)) / 1e6)::BIGINT END AS ttl FROM r WHERE k > 0 AND outcome = 'ok' AND (kind IN ('suspend', 'revoke', 'expire') OR kind = 'extend' AND status = 'ACTIVE')")
+def license_cache_events(spark, d):
+    return transitions.cache_events(_outcomes(spark, d))
+
+
 # ---- segments
 
 
