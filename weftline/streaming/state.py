@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from weftline.operators.folds import Cooldown, Lockout, fold
+from weftline.operators.jobs import TERMINAL
 
 PROGRESS = "job_id long, seq long, status string, done int, total int"
 
@@ -21,6 +23,74 @@ def progress(messages: DataFrame) -> DataFrame:
     return m.groupBy("job_id").agg(F.max_by(F.struct("status", "done", "total"), "seq").alias("m"), F.max("seq").alias("seq")).select("job_id", "seq", "m.*")
 
 
+LIVE = "job_id long, seq long, status string, done int, total int, ended boolean"
+
+
+class ProgressProcessor(StatefulProcessor):
+    """Messages of a job -> its newest of a batch, or the one that ends it; an ended job leaves no state.
+
+    Messages that aren't newer than the last are dropped, those behind the end in the same batch too. What comes in
+    later batches is a new run of the job. With `ttl_ms`, jobs that never end are forgotten that long after their last message; the query then
+    runs batches without data too, so a trigger that ends with the data doesn't end it.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("newest", "seq long", **({"ttlDurationMs": self.ttl_ms} if self.ttl_ms else {}))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = self.state.get()[0] if self.state.exists() else None
+        best = end = None
+        for part in rows:
+            part = part if seen is None else part[part["seq"] > seen]
+            ends = part[part["status"].isin(TERMINAL)]
+            if len(ends) and (end is None or ends["seq"].min() < end["seq"]):
+                end = ends.loc[ends["seq"].idxmin()]
+            if len(part) and (best is None or part["seq"].max() > best["seq"]):
+                best = part.loc[part["seq"].idxmax()]
+        if end is not None:
+            self.state.clear()
+        elif best is not None:
+            self.state.update((int(best["seq"]),))
+        shown = best if end is None else end
+        if shown is not None:
+            yield pd.DataFrame([[*shown[["job_id", "seq", "status", "done", "total"]], end is not None]], columns=["job_id", "seq", "status", "done", "total", "ended"])
+
+    def close(self) -> None:
+        pass
+
+
+def live_progress(messages: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """A stream of JSON messages (value) -> the newest of each job in a batch, with `ended`; rows that are no messages go."""
+    m = messages.select(F.from_json("value", PROGRESS).alias("m")).select("m.*").filter("job_id IS NOT NULL AND seq IS NOT NULL")
+    return m.groupBy("job_id").transformWithStateInPandas(statefulProcessor=ProgressProcessor(ttl_ms), outputStructType=LIVE, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+
+
+def follow(messages: DataFrame, jobs: list[int], each: Callable[[Row], None], checkpoint: str, seconds: float = 3600) -> set[int]:
+    """Gives `each` the progress of some jobs and stops the query once all have ended, or the time is up; returns those that haven't.
+
+    A job has one row a batch at most, so what the driver gets is bounded by the list. The query is stopped however this ends.
+    """
+    left, till = set(jobs), time.monotonic() + seconds
+
+    def show(batch: DataFrame, _: int) -> None:
+        for row in batch.filter(F.col("job_id").isin(jobs)).collect():
+            if row["job_id"] in left:
+                each(row)
+            if row["ended"]:
+                left.discard(row["job_id"])
+
+    query = live_progress(messages).writeStream.foreachBatch(show).option("checkpointLocation", checkpoint).start()
+    try:
+        while left and time.monotonic() < till and not query.awaitTermination(0.2):
+            pass
+    finally:
+        query.stop()
+    return left
+
+
 def to_messages(log: DataFrame) -> DataFrame:
     """Null fields are left out."""
     return log.select(F.to_json(F.struct("job_id", "seq", "status", "done", "total")).alias("value"))
