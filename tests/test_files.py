@@ -103,6 +103,19 @@ def test_written_texts_keep_formats_links_headers_and_other_parts(spark, grouped
     assert rows[2, 0][0] == "ONLY\t1\n2 " and rows[3, 0] == ("HEAD\t1\n2 ", None, "single")
 
 
+def test_segments_of_files_are_those_of_their_runs_without_a_shuffle(spark, grouped):
+    files, found = grouped(
+        docx(p(r("a", "<w:b/>"), r("b", "<w:b/>"), r("c"), r("e"), r("\u0301 &amp; d"), r("  ", "<w:i/>")) + p() + p(r("\u3000")) + p("<w:hyperlink>" + r("only") + "</w:hyperlink>") + p(r("z", "<w:b/>"))),
+        docx(""), b"no file", docx(p(r("x", '<w:b w:val="0"/>'), r("y", '<w:b w:val="false"/>'), r("z", "<w:b/><w:b w:val='0'/>"))),
+    )
+    own = docx_runs.segments_of(files)
+    assert own.columns == found.columns and own.orderBy("path", "seq").collect() == found.orderBy("path", "seq").collect()
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    new = own.withColumn("new_text", F.upper("text"))
+    kept = lambda plan: {x.path: sorted((w.para, w.run_index or 0, w.run_group_size, w.new_text) for w in x.writes) for x in plan.collect()}
+    assert kept(docx_runs.plan(new)) == kept(docx_runs.plan(own, new.select("path", "id", "new_text")))
+
+
 def test_indexes_beyond_the_runs_are_passed_over():
     content = docx(p(r("a"), r("b")))
     back = docx_runs.with_runs(content, [{"para": 0, "run_index": 5, "run_group_size": 1, "new_text": "x"}, {"para": 0, "run_index": 1, "run_group_size": 9, "new_text": "y"}, {"para": 7, "run_index": 0, "run_group_size": 1, "new_text": "z"}])

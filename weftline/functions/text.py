@@ -6,6 +6,8 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
@@ -67,10 +69,14 @@ def path_part(position: Column, n: int = 2) -> Column:
     return F.split_part(position, F.lit("."), F.lit(n)).try_cast("int")
 
 
-@F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no built-in for it."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+@F.arrow_udf(StringType())
+def nfc(s: pa.Array) -> pa.Array:
+    """Canonical composition; Spark has no built-in for it. ASCII is composed as it is."""
+    plain = pc.fill_null(pc.string_is_ascii(s), True)
+    if pc.all(plain).as_py() is not False:
+        return s
+    made = pa.array([unicodedata.normalize("NFC", x) for x in s.filter(pc.invert(plain)).to_pylist()], s.type)
+    return pc.replace_with_mask(s, pc.invert(plain), made)
 
 
 # Patterns of what a translation must not change, in the order in which they are masked.

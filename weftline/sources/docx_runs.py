@@ -1,8 +1,9 @@
 """DOCX files as runs, formatted stretches of them as segments, and texts written back to the same runs.
 
-Tasks only read XML: `runs` gives a row for each run with what its format is decided by.
-Merging neighbours of one format is a window and a grouping over those rows (`grouped`), and so is
-the plan of what is written where (`plan`); tasks then put the texts into the files (`written`).
+Tasks only read XML: `paragraphs_of` gives a row for each file with its paragraphs' runs and what their formats
+are decided by. Neighbours of one format are merged by column expressions on these arrays, without a shuffle (`segments_of`);
+for runs that come as rows it is a window and a grouping (`grouped`). What is written where is a grouping or a
+join (`plan`); tasks then put the texts into the files (`written`).
 
 A paragraph's number counts every paragraph that the walk meets: the body's with the cells of its
 tables in rows, nested tables in their place, and then for each section its own headers and footers
@@ -18,28 +19,46 @@ no rows and is listed by `unreadable`; an index beyond a paragraph's runs is pas
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.sources.ooxml import Package, R, walked
+from weftline.sources.ooxml import XML, Package, R, escaped, walked
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 FORMAT = ("bold", "italic", "underline", "color", "font", "size")
-RUNS = "path string, para int, tag string, run int, text string, bold boolean, italic boolean, underline string, color string, font string, size string"
+RUN = "text string, look int, bold boolean, italic boolean, underline string, color string, font string, size string"
+PARAGRAPHS = f"path string, paras array<struct<tag:string,text:string,runs:array<struct<{RUN.replace(' ', ':').replace(',:', ',')}>>>>"
+#: Runs in a batch of files that are read.
+AT_ONCE = 100_000
 BAD = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, AttributeError, ValueError)
 OFF = ("0", "false", "off", "none")
 #: Elements of a run that stand for a character.
 CHARACTERS = {f"{W}tab": "\t", f"{W}ptab": "\t", f"{W}br": "\n", f"{W}cr": "\n", f"{W}noBreakHyphen": "-"}
 
 
+WR, WT, WP, WBR, RPR = f"{W}r", f"{W}t", f"{W}p", f"{W}br", f"{W}rPr"
+VAL, TYPE = f"{W}val", f"{W}type"
+#: A format's place in FORMAT by its element, and the attribute that tells it.
+PLACES = {f"{W}b": (0, VAL), f"{W}i": (1, VAL), f"{W}u": (2, VAL), f"{W}color": (3, VAL), f"{W}rFonts": (4, f"{W}ascii"), f"{W}sz": (5, VAL)}
+NONE = (None,) * len(FORMAT)
+
+
 def run_text(run: ElementTree.Element) -> str:
-    return "".join((c.text or "") if c.tag == f"{W}t" else CHARACTERS.get(c.tag, "") for c in run if not (c.tag == f"{W}br" and c.get(f"{W}type", "textWrapping") != "textWrapping"))
+    out = ""
+    for c in run:
+        tag = c.tag
+        if tag == WT:
+            out += c.text or ""
+        elif tag in CHARACTERS and (tag != WBR or c.get(TYPE, "textWrapping") == "textWrapping"):
+            out += CHARACTERS[tag]
+    return out
 
 
 def paragraph_text(p: ElementTree.Element) -> str:
@@ -48,16 +67,15 @@ def paragraph_text(p: ElementTree.Element) -> str:
 
 
 def run_format(run: ElementTree.Element) -> tuple:
-    props = run.find(f"{W}rPr")
+    props = run.find(RPR)
     if props is None:
-        return (None,) * 6
-
-    def value(name: str, attribute: str = "val") -> str | None:
-        found = props.find(f"{W}{name}")
-        return None if found is None else found.get(f"{W}{attribute}")
-
-    flag = lambda name: None if props.find(f"{W}{name}") is None else value(name) not in OFF
-    return flag("b"), flag("i"), value("u"), value("color"), value("rFonts", "ascii"), value("sz")
+        return NONE
+    out: list = [None] * len(FORMAT)
+    for c in props[::-1]:  # the first of a kind counts
+        if (place := PLACES.get(c.tag)) is not None:
+            i, name = place
+            out[i] = c.get(name) not in OFF if i < 2 else c.get(name)
+    return tuple(out)
 
 
 def paragraphs(package: Package) -> Iterator[tuple[str, str, ElementTree.Element]]:
@@ -101,24 +119,56 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(F.lower("path").endswith(".docx")).select("path", "content")
 
 
-def runs_of(files: DataFrame) -> DataFrame:
-    """A row for each run of `files` (path, content); run is null for a paragraph without one."""
+class Looks(dict):
+    """A format -> its number, and the format."""
+
+    def __missing__(self, look: tuple) -> tuple:
+        self[look] = (len(self), *look)
+        return self[look]
+
+
+def paragraphs_of(files: DataFrame) -> DataFrame:
+    """A row for each of `files` (path, content) that can be read, with its paragraphs in order; text: that of a paragraph without a run, look: a number for each format in a file."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in RUNS.split(", ")]
-        types = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in RUNS.split(", ")]
+        run_type = pa.struct([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in RUN.split(", ")])
+        kinds = [f.type for f in run_type]
+
+        def out(paths: list, of_file: list, paras: list, of_para: list, runs: list) -> pa.RecordBatch:
+            cols = zip(*runs, strict=True) if runs else [[]] * len(kinds)
+            run = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], fields=list(run_type))
+            tag, text = zip(*paras, strict=True) if paras else ([], [])
+            para = pa.StructArray.from_arrays([pa.array(tag, pa.string()), pa.array(text, pa.string()), pa.ListArray.from_arrays(pa.array(of_para, pa.int32()), run)], ["tag", "text", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.ListArray.from_arrays(pa.array(of_file, pa.int32()), para)], ["path", "paras"])
+
         for batch in batches:
+            paths, of_file, paras, of_para, runs = [], [0], [], [0], []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 try:
-                    rows = []
-                    for n, (_, tag, p) in enumerate(walked(content.as_py(), paragraphs)):
-                        own = p.findall(f"{W}r")
-                        rows += [(path, n, tag, i, run_text(r), *run_format(r)) for i, r in enumerate(own)] or [(path, n, tag, None, paragraph_text(p), *[None] * 6)]
+                    found = [(tag, p, p.findall(WR)) for _, tag, p in walked(content.as_py(), paragraphs)]
+                    texts = [None if own else paragraph_text(p) for _, p, own in found]
+                    looks = Looks()
+                    rows = [[(run_text(r), *looks[run_format(r)]) for r in own] for _, _, own in found]
                 except BAD:
                     continue
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=names)
+                for (tag, _, _), text, own in zip(found, texts, rows, strict=True):
+                    paras.append((tag, text))
+                    runs += own
+                    of_para.append(len(runs))
+                paths.append(path)
+                of_file.append(len(paras))
+                if len(runs) >= AT_ONCE:
+                    yield out(paths, of_file, paras, of_para, runs)
+                    paths, of_file, paras, of_para, runs = [], [0], [], [0], []
+            yield out(paths, of_file, paras, of_para, runs)
 
-    return files.mapInArrow(read, RUNS)
+    return files.mapInArrow(read, PARAGRAPHS)
+
+
+def runs_of(files: DataFrame) -> DataFrame:
+    """A row for each run of `files` (path, content); run is null for a paragraph without one."""
+    rows = paragraphs_of(files).select("path", F.posexplode("paras").alias("para", "p")).select("path", "para", "p.tag", F.col("p.text").alias("whole"), F.posexplode_outer("p.runs").alias("run", "r"))
+    return rows.select("path", "para", "tag", "run", F.coalesce("r.text", "whole").alias("text"), *[f"r.{c}" for c in FORMAT])
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
@@ -158,10 +208,32 @@ def grouped(rows: DataFrame) -> DataFrame:
     return merged.withColumn("seq", seq).select("path", "seq", "id", "position", "para", "run_index", "run_group_size", "text")
 
 
-def plan(segments: DataFrame, translated: DataFrame) -> DataFrame:
-    """(path, writes): for each file the texts and the runs that get them. translated: (path, id, new_text); a null text leaves the runs."""
-    found = segments.join(translated.filter("new_text IS NOT NULL"), ["path", "id"])
-    return found.groupBy("path").agg(F.collect_list(F.struct("para", "run_index", "run_group_size", T.nfc(F.col("new_text")).alias("new_text"))).alias("writes"))
+def segments_of(files: DataFrame) -> DataFrame:
+    """What `grouped` gives for the runs of `files` (path, content)."""
+
+    def stretches(p: Column, para: Column) -> Column:
+        runs, bound = p["runs"], lambda value, then: F.flatten(F.transform(F.array(value), then))
+        first = lambda looks: F.filter(F.sequence(F.lit(0), F.size(looks) - 1), lambda i: (i == 0) | (F.get(looks, i) != F.get(looks, i - 1)))
+        stretch = lambda at, i, n: F.struct(
+            para.alias("para"), p["tag"].alias("tag"), at.alias("run_index"), n.alias("run_group_size"), F.array_join(F.slice(runs["text"], at + 1, n), "").alias("text")
+        )
+        merged = bound(runs["look"], lambda x: bound(first(x), lambda s: F.transform(s, lambda at, i: stretch(at, i, F.coalesce(F.get(s, i + 1), F.size(x)) - at))))
+        none = F.array(F.struct(para.alias("para"), p["tag"].alias("tag"), F.lit(None).cast("int").alias("run_index"), F.lit(1).alias("run_group_size"), p["text"].alias("text")))
+        return F.when(F.size(runs) > 0, merged).otherwise(none)
+
+    # composing letters makes no text blank and no blank one a text
+    found = F.filter(F.flatten(F.transform("paras", stretches)), lambda s: s["text"].rlike(T.U + r"\S"))
+    found = paragraphs_of(files).select("path", F.posexplode(found).alias("seq", "s")).select("path", "seq", "s.*").withColumn("text", T.nfc(F.col("text")))
+    position = F.concat_ws(".", "tag", F.col("para").cast("string"), F.concat(F.lit("run"), F.col("run_index").cast("string")))
+    found = found.withColumn("position", position).withColumn("id", T.segment_id(F.col("text"), F.col("position")))
+    return found.select("path", "seq", "id", "position", "para", "run_index", "run_group_size", "text")
+
+
+def plan(segments: DataFrame, translated: DataFrame | None = None) -> DataFrame:
+    """(path, writes): for each file the texts and the runs that get them. translated: (path, id, new_text), or segments have new_text; a null text leaves the runs."""
+    found = segments if translated is None else segments.join(translated, ["path", "id"])
+    found = found.filter("new_text IS NOT NULL").select("path", F.struct("para", "run_index", "run_group_size", T.nfc(F.col("new_text")).alias("new_text")).alias("w"))
+    return found.groupBy("path").agg(F.collect_list("w").alias("writes"))
 
 
 def written_to(files: DataFrame, writes: DataFrame) -> DataFrame:
@@ -169,7 +241,7 @@ def written_to(files: DataFrame, writes: DataFrame) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [with_runs(c.as_py(), w or []) for c, w in zip(batch.column("content"), batch.column("writes").to_pylist(), strict=True)]
+            out = [with_runs(c.as_py(), w.as_py() or []) for c, w in zip(batch.column("content"), batch.column("writes"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
 
     return files.join(writes, "path", "left").select("path", "content", "writes").mapInArrow(write, "path string, content binary")
@@ -202,23 +274,22 @@ def with_runs(content: bytes, writes: list[dict]) -> bytes:
     return package.saved(changed)
 
 
+BREAKS = re.compile("([\t\n])")
+CHARACTER_TAGS = {"\t": f"{W}tab", "\n": WBR}
+
+
 def _put(run: ElementTree.Element, text: str) -> None:
     """Replaces what a run says, not how it looks."""
-    for c in [c for c in run if c.tag != f"{W}rPr"]:
+    for c in [c for c in run if c.tag != RPR]:
         run.remove(c)
-    part = ""
-    for ch in [*text, None]:
-        if ch in ("\t", "\n", None):
-            if part:
-                t = ElementTree.SubElement(run, f"{W}t")
-                t.text = part
-                if part.strip() != part:
-                    t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
-            part = ""
-            if ch:
-                ElementTree.SubElement(run, f"{W}tab" if ch == "\t" else f"{W}br")
-        else:
-            part += ch
+    for part in BREAKS.split(text):
+        if part in CHARACTER_TAGS:
+            ElementTree.SubElement(run, CHARACTER_TAGS[part])
+        elif part:
+            t = ElementTree.SubElement(run, WT)
+            t.text = part
+            if part.strip() != part:
+                t.set(f"{{{XML}}}space", "preserve")
 
 
 def made(rows: DataFrame) -> DataFrame:
@@ -226,25 +297,28 @@ def made(rows: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([_document(p.as_py()) for p in batch.column("paras")], pa.binary())], names=["path", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(map(_document, batch.column("paras")), pa.binary())], names=["path", "content"])
 
     return rows.select("path", "paras").mapInArrow(make, "path string, content binary")
 
 
-def _document(paras: list | None) -> bytes:
-    root = ElementTree.Element(f"{W}document")
-    body = ElementTree.SubElement(root, f"{W}body")
-    for para in paras or []:
-        p = ElementTree.SubElement(body, f"{W}p")
-        for r in para:
-            run = ElementTree.SubElement(p, f"{W}r")
-            if r["bold"] is not None:
-                flag = ElementTree.SubElement(ElementTree.SubElement(run, f"{W}rPr"), f"{W}b")
-                if not r["bold"]:
-                    flag.set(f"{W}val", "0")
-            _put(run, r["text"])
-    ElementTree.register_namespace("w", W[1:-1])
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("word/document.xml", ElementTree.tostring(root, xml_declaration=True, encoding="UTF-8"))
-    return out.getvalue()
+START = '<w:t xml:space="preserve">'
+FLAGS = {None: f"<w:r>{START}", True: f"<w:r><w:rPr><w:b/></w:rPr>{START}", False: f'<w:r><w:rPr><w:b w:val="0"/></w:rPr>{START}'}
+
+
+def _document(paras: pa.ListScalar) -> bytes:
+    """A file of paragraphs of runs, written as text: an element for each run takes several times as long."""
+    out = [f'<w:document xmlns:w="{W[1:-1]}"><w:body>']
+    for para in paras.values or []:
+        runs = para.values
+        texts, bold = ([], []) if runs is None or not len(runs) else (runs.field("text").to_pylist(), runs.field("bold").to_pylist())
+        # a control character that XML lacks stands between runs while the texts are escaped together
+        text = escaped("\0".join(texts)).replace("\t", f"</w:t><w:tab/>{START}").replace("\n", f"</w:t><w:br/>{START}")
+        out.append("<w:p>")
+        out += [f"{FLAGS[b]}{t}</w:t></w:r>" for t, b in zip(text.split("\0"), bold, strict=False)]
+        out.append("</w:p>")
+    out.append("</w:body></w:document>")
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "".join(out))
+    return made.getvalue()
