@@ -260,3 +260,21 @@ def test_markdown_by_hand(spark):
     ]
     df = spark.createDataFrame(rows, "job_id long, seq int, label string, kind string, source_text string, translated_text string, edited_source_text string")
     assert dict(map(tuple, translate.to_markdown(df).collect())) == {1: "# Title\n\n## edited\n\nplain\n\n[Figure]\n\n x = 1 \n", 2: ""}
+
+
+def test_write_back_queries_shuffle_files_and_their_writes_only(spark, tmp_path):
+    from weftline.plans import catalogue
+
+    spark.createDataFrame([(1, "one two\nthree"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (catalogue.docx_write_back, catalogue.pptx_write_back):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 1
+
+
+def test_new_texts_of_segments_are_placed_as_joined_ones(spark):
+    files = spark.createDataFrame([("a", bytearray(pptx_shapes.package([sp(para("one")) + sp(para("two"))])))], "path string, content binary")
+    found = pptx_shapes.positions_of(files)
+    new = found.withColumn("new_text", F.when(F.col("text") == "one", "ONE"))
+    placed = lambda rows: sorted((w.position, w.text) for w in rows.head().writes)
+    assert placed(pptx_shapes.placed(new)) == placed(pptx_shapes.placed(found, new.filter("new_text IS NOT NULL").select("path", "id", "new_text")))
+    assert [w[1] for w in placed(pptx_shapes.placed(new))] == ["ONE", "two"]
