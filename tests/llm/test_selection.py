@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import importance, phrases, substrings
 
@@ -226,6 +227,22 @@ def test_a_passage_in_very_many_documents(spark):
     assert {r.doc_id: r.n_removed for r in found} == {i: 60 if i else 0 for i in range(3000)}
 
 
+def test_a_phrase_with_many_surroundings_goes_to_each_shard_once_a_window(spark):
+    """Each surrounding is in two documents, so all are passages of the phrase's anchors; shards times passages would be the square."""
+    rng, n = random.Random(9), 60
+    phrase = [f"p{i}" for i in range(40)]
+    around = [[f"l{i}_{j}" for j in range(40)] + phrase + [f"r{i}_{j}" for j in range(40)] for i in range(n)]
+    docs = [(k * n + i, " ".join([f"x{k}_{i}", *w])) for k in range(2) for i, w in enumerate(around)]
+    rng.shuffle(docs)
+    texts = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("body")).withColumn("shard", (F.col("doc_id") % 50).cast("int")).repartition(4)
+    found = texts.mapInArrow(substrings._find(50, 16), "doc_id long, shard int, anchor long, digest long, start int, n int, at int").cache()
+    passages, needs = substrings.confirmed(texts, found)
+    assert passages.groupBy("anchor").count().agg(F.max("count")).first()[0] >= n
+    assert substrings.dealt(found, passages, needs).count() <= found.count()
+    got = substrings.strip_repeats(spark.createDataFrame(docs, "doc_id long, text string"), shard_bytes=5_000)
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {i: 120 if i >= n else 0 for i in range(2 * n)}
+
+
 def test_every_window_has_one_anchor_by_its_words():
     rng = random.Random(6)
     words = [rng.choice([b"a", b"b", b"c"]) for _ in range(400)]

@@ -10,7 +10,9 @@ also starts in a document with a smaller id.
    documents share an anchor, the windows of its distinct spans are counted; a span with a window
    that a later document has too is a passage, and its words are fetched from its first document.
 3. Automata: documents are dealt to shards of about `shard_bytes` of text. A passage goes to the
-   shards whose documents have its anchor, once to each, however many documents that may be. A
+   shards whose documents have its anchor, once to each, however many documents that may be. Where an anchor has several
+   passages, each goes only to the shards that have a span with one of its confirmed windows, so a phrase with
+   many surroundings isn't sent once for each of them to all. A
    shard's task compiles the anchors of its passages to an Aho-Corasick automaton and streams the
    shard's documents through it. The windows around an occurrence are looked up among the confirmed
    ones; one of an earlier document is compared word by word, and extended along its passage. What
@@ -157,11 +159,11 @@ def _fetch(window: int):
                 h = Hashed(body)
                 digests = [h.runs(np.arange(s["start"], s["start"] + s["n"]), window).view(np.int64) for s in found]
                 cols = [
-                    pa.array(np.full(len(found), i)), pa.array([s["anchor"] for s in found], pa.int64()), pa.array([s["start"] for s in found], pa.int32()), pa.array([s["at"] for s in found], pa.int32()),
+                    pa.array(np.full(len(found), i)), *[pa.array([s[k] for s in found], pa.int64()) for k in ("anchor", "digest")], *[pa.array([s[k] for s in found], pa.int32()) for k in ("start", "at")],
                     pa.array([b" ".join(words[s["start"] : s["start"] + s["n"] + window - 1]) for s in found], pa.binary()), pa.array(digests, pa.list_(pa.int64())),
                 ]
                 last = pa.array([s["last"] for s in found], batch.column("doc_id").type)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(cols[0]), *cols[1:], last], names=["doc_id", "anchor", "start", "at", "words", "digests", "last"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(cols[0]), *cols[1:], last], names=["doc_id", "anchor", "digest", "start", "at", "words", "digests", "last"])
 
     return fetch
 
@@ -263,21 +265,47 @@ def _strip(window: int, anchor: int, with_text: bool):
     return strip
 
 
-def confirmed(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, doc_id, at, words, confirmed): spans with windows that a later document has too and no earlier one, and where these windows start."""
+def confirmed(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Passages and needs.
+
+    Passages (anchor, doc_id, start, at, words, confirmed, hashes): spans with windows that a later document has too and no earlier one, where
+    these windows start, and their digests. Needs (anchor, digest, doc_id, start): for the spans of anchors with several passages, which of these have
+    the spans' windows; a window is in one passage, so a span has at most as many needs as windows.
+    """
     kind = dict(texts.dtypes)["doc_id"]
-    distinct = cut(found.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start", "n", "at")).alias("f"), F.max("doc_id").alias("last")).select("anchor", "f.*", "last"))
+    distinct = cut(found.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start", "n", "at")).alias("f"), F.max("doc_id").alias("last")).select("anchor", "digest", "f.*", "last"))
     shared = distinct.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("last").alias("hi")).filter("lo < hi").select("anchor")
-    wanted = distinct.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "at", "last")).alias("spans"))
-    spans_ = texts.select("doc_id", "body").join(wanted, "doc_id").mapInArrow(_fetch(window), f"doc_id {kind}, anchor long, start int, at int, words binary, digests array<long>, last {kind}")
+    wanted = distinct.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "digest", "start", "n", "at", "last")).alias("spans"))
+    spans_ = texts.select("doc_id", "body").join(wanted, "doc_id").mapInArrow(_fetch(window), f"doc_id {kind}, anchor long, digest long, start int, at int, words binary, digests array<long>, last {kind}")
     spans_ = cut(spans_)
     drop(distinct)
     windows = spans_.select("anchor", "doc_id", "start", "last", F.posexplode("digests").alias("i", "d"))
     windows = windows.groupBy("anchor", "d").agg(F.min(F.struct("doc_id", "start", "i")).alias("f"), F.max("last").alias("last"))
     keep = windows.filter("f.doc_id < last").select("anchor", "f.*").groupBy("anchor", "doc_id", "start").agg(F.array_distinct(F.collect_list("i")).alias("confirmed"))
-    out = cut(spans_.join(keep, ["anchor", "doc_id", "start"]).select("anchor", "doc_id", "at", "words", "confirmed"), "zstd")
+    hashes = F.transform("confirmed", lambda i: F.get("digests", i))
+    out = cut(spans_.join(keep, ["anchor", "doc_id", "start"]).select("anchor", "doc_id", "start", "at", "words", "confirmed", hashes.alias("hashes")), "zstd")
+    homes = out.join(several(out), "anchor", "left_semi").select("anchor", "doc_id", "start", F.explode("hashes").alias("d"))
+    windows = spans_.join(several(out), "anchor", "left_semi").select("anchor", "digest", F.explode("digests").alias("d"))
+    needs = cut(windows.join(homes, ["anchor", "d"]).select("anchor", "digest", "doc_id", "start").distinct())
     drop(spans_)
-    return out
+    return out, needs
+
+
+def several(passages: DataFrame) -> DataFrame:
+    """Anchors with more than one passage."""
+    return passages.groupBy("anchor").count().filter("count > 1").select("anchor")
+
+
+def dealt(found: DataFrame, passages: DataFrame, needs: DataFrame) -> DataFrame:
+    """(shard, doc_id, words, anchor, at, confirmed): a passage once for each shard in which a later document may have one of its windows."""
+    columns = ["shard", "doc_id", "words", "anchor", "at", "confirmed"]
+    many = several(passages)
+    # one row for each anchor and shard, however often it occurs there
+    where = found.groupBy("anchor", "shard").agg(F.max("doc_id").alias("last"))
+    one = where.join(passages.join(many, "anchor", "left_anti"), "anchor").filter("doc_id < last").select(columns)
+    spans_ = found.join(many, "anchor", "left_semi").groupBy("anchor", "digest", "shard").agg(F.max("doc_id").alias("last"))
+    wanted = spans_.join(needs, ["anchor", "digest"]).filter("doc_id < last").select("shard", "anchor", "doc_id", "start").distinct()
+    return one.unionByName(wanted.join(passages, ["anchor", "doc_id", "start"]).select(columns))
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = 8_000_000, with_text: bool = True) -> DataFrame:
@@ -291,11 +319,9 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shards = parts * max(4, -(-size // (shard_bytes * parts)))
     texts = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "body"), F.lit(shards)).cast("int"))
     found = cut(texts.filter("doc_id IS NOT NULL").mapInArrow(_find(window, anchor), f"doc_id {kind}, shard int, anchor long, digest long, start int, n int, at int"))
-    passages = confirmed(texts.filter("doc_id IS NOT NULL"), found, window)
-    # one row for each anchor and shard, however often it occurs there
-    where = found.groupBy("anchor", "shard").agg(F.max("doc_id").alias("last"))
-    dealt = where.join(passages, "anchor").filter("doc_id < last").select("shard", "doc_id", F.col("words").alias("body"), "anchor", "at", "confirmed")
-    rows = dealt.unionByName(texts.withColumns({"anchor": F.lit(None).cast("long"), "at": F.lit(None).cast("int"), "confirmed": F.lit(None).cast("array<int>")}))
+    passages, needs = confirmed(texts.filter("doc_id IS NOT NULL"), found, window)
+    sent = dealt(found, passages, needs).withColumnRenamed("words", "body")
+    rows = sent.unionByName(texts.withColumns({"anchor": F.lit(None).cast("long"), "at": F.lit(None).cast("int"), "confirmed": F.lit(None).cast("array<int>")}))
     rows = rows.repartition("shard").sortWithinPartitions("shard", F.col("at").isNull())
     return rows.select("shard", "doc_id", "body", "anchor", "at", "confirmed").mapInArrow(_strip(window, anchor, with_text), f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
 
