@@ -257,3 +257,13 @@ def test_progress_stream(spark, tmp_path):
 def test_cooldown(spark):
     df = spark.createDataFrame([("a", i, float(t)) for i, t in enumerate([0, 59, 60, 100, 125])], "key string, event_id long, at double")
     assert sorted(r.event_id for r in state.cooldown(df).collect()) == [0, 2, 4]
+
+
+def test_texts_of_a_translation_are_shuffled_once_to_be_asked_and_once_to_be_spread(spark):
+    """Also: segments of one number keep their own translations, and other columns stay."""
+    rows = [(1, 0, "a b", "x"), (1, 0, "c", "y"), (1, 1, "a b", "z"), (1, None, "d", "n"), (None, 2, "e", "j"), (2, 0, "12", "p"), (2, 1, "|f", "q"), (2, 2, "g ||| h", "r"), (2, 3, "é", "s")]
+    out = translate.translate(spark.createDataFrame(rows, "job_id int, seq int, text string, more string"), translate.upper)
+    assert out.columns == ["job_id", "text", "seq", "more", "translated_text"]
+    got = {(r.job_id, r.seq, r.text, r.more): r.translated_text for r in out.collect()}
+    assert got == {(j, s, t, m): t if j is None else "É" if m == "s" else t.upper() for j, s, t, m in rows}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
@@ -30,35 +30,41 @@ def translate(segments: DataFrame, translator: Translator, size: int = 10, calls
     Texts are composed, protected and joined in batches; a reply with another number
     of parts is asked for again text by text. `calls` bounds how many run at once.
     """
+    # a text is named by where it first occurs, so that no more than that goes along with what is asked
+    name = F.struct(F.min("seq").over(Window.partitionBy("job_id", "text")).alias("first_seq"), F.xxhash64("text").alias("h"))
     unique = G.distinct_texts(segments)
     body = unique.filter(~T.is_passthrough(F.col("text")))
     body = G.distinct_texts(body.select("job_id", "text", F.col("first_seq").alias("seq")))
+    body = body.withColumn("__name", F.struct("first_seq", F.xxhash64("text").alias("h")))
     m = T.mask_protected(T.nfc(F.col("text")))
     body = G.chunks(body, size).withColumn("__m", m)
     escaped, n = T.escape_sentinel(F.col("__m.masked"))
     # a text with a bar at an end would run into the separator, and is asked for alone
     body = body.withColumn("batch", F.when(F.col("text").rlike(r"^\||\|$"), -1 - F.col("ordinal")).otherwise(F.col("batch")))
     body = body.withColumns({"escaped": escaped, "n": n, "tokens": F.map_entries("__m.tokens")})
-    batches = body.groupBy("job_id", "batch").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text", "escaped", "n", "tokens"))).alias("parts"))
-    batches = batches.withColumn("ask", F.array_join(F.transform("parts", lambda p: p["escaped"]), T.SENTINEL)).repartition(calls)
+    batches = body.groupBy("job_id", "batch").agg(F.array_sort(F.collect_list(F.struct("ordinal", "escaped", F.col("__name").alias("name"), "n", "tokens"))).alias("parts"))
+    ask = F.array_join(F.transform("parts", lambda p: p["escaped"]), T.SENTINEL)
+    batches = batches.select("job_id", ask.alias("ask"), F.transform("parts", lambda p: F.struct(p["name"].alias("name"), p["n"].alias("n"), p["tokens"].alias("tokens"))).alias("parts")).repartition(calls)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             answers = []
-            for ask in f["ask"]:
+            for ask in f.column("ask").to_pylist():
                 parts = ask.split(T.SENTINEL)
                 got = translator(ask).split(T.SENTINEL)
                 answers.append(got if len(got) == len(parts) else [translator(p) for p in parts])
-            yield pd.DataFrame({"job_id": f["job_id"], "batch": f["batch"], "answers": answers})
+            yield pa.RecordBatch.from_arrays([f.column("job_id"), f.column("parts"), pa.array(answers, pa.list_(pa.string()))], names=["job_id", "parts", "answers"])
 
-    key = segments.schema["job_id"].dataType.simpleString()
-    answers = batches.select("job_id", "batch", "ask").mapInPandas(run, f"job_id {key}, batch int, answers array<string>")
-    back = batches.select("job_id", "batch", "parts").join(answers, ["job_id", "batch"])
+    kinds = {c: batches.schema[c].dataType.simpleString() for c in ("job_id", "parts")}
+    back = batches.mapInArrow(run, f"job_id {kinds['job_id']}, parts {kinds['parts']}, answers array<string>")
     back = back.select("job_id", F.explode(F.arrays_zip("parts", "answers")).alias("z"))
     text = T.restore(T.restore_sentinel(F.col("z.answers"), F.col("z.parts.n")), F.map_from_entries("z.parts.tokens"))
-    done = back.select("job_id", F.col("z.parts.text").alias("text"), T.nfc(text).alias("translated_text"))
-    out = G.spread(segments, done)
-    return out.withColumn("translated_text", F.coalesce("translated_text", "text"))
+    done = back.select(F.col("job_id").alias("__job"), F.col("z.parts.name").alias("__done"), T.nfc(text).alias("translated_text"))
+    named = segments.withColumn("__name", name)
+    same = (F.col("job_id") == F.col("__job")) & (F.col("__name.h") == F.col("__done.h")) & F.col("__name.first_seq").eqNullSafe(F.col("__done.first_seq"))
+    out = named.join(done, same, "left")
+    rest = [F.col(f"`{c}`") for c in segments.columns if c not in ("job_id", "text")]
+    return out.select("job_id", "text", *rest, F.coalesce("translated_text", "text").alias("translated_text"))
 
 
 def effective_text(edited: str, translated: str):
