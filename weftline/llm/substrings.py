@@ -161,9 +161,10 @@ def _fetch(window: int):
                 cols = [
                     pa.array(np.full(len(found), i)), *[pa.array([s[k] for s in found], pa.int64()) for k in ("anchor", "digest")], *[pa.array([s[k] for s in found], pa.int32()) for k in ("start", "at")],
                     pa.array([b" ".join(words[s["start"] : s["start"] + s["n"] + window - 1]) for s in found], pa.binary()), pa.array(digests, pa.list_(pa.int64())),
+                    pa.array([s["many"] for s in found], pa.bool_()),
                 ]
                 last = pa.array([s["last"] for s in found], batch.column("doc_id").type)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(cols[0]), *cols[1:], last], names=["doc_id", "anchor", "digest", "start", "at", "words", "digests", "last"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(cols[0]), *cols[1:], last], names=["doc_id", "anchor", "digest", "start", "at", "words", "digests", "many", "last"])
 
     return fetch
 
@@ -274,9 +275,9 @@ def confirmed(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> tuple
     """
     kind = dict(texts.dtypes)["doc_id"]
     distinct = cut(found.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start", "n", "at")).alias("f"), F.max("doc_id").alias("last")).select("anchor", "digest", "f.*", "last"))
-    shared = distinct.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("last").alias("hi")).filter("lo < hi").select("anchor")
-    wanted = distinct.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "digest", "start", "n", "at", "last")).alias("spans"))
-    spans_ = texts.select("doc_id", "body").join(wanted, "doc_id").mapInArrow(_fetch(window), f"doc_id {kind}, anchor long, digest long, start int, at int, words binary, digests array<long>, last {kind}")
+    shared = distinct.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("last").alias("hi"), (F.count(F.lit(1)) > 1).alias("many")).filter("lo < hi").select("anchor", "many")
+    wanted = distinct.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "digest", "start", "n", "at", "last", "many")).alias("spans"))
+    spans_ = texts.select("doc_id", "body").join(wanted, "doc_id").mapInArrow(_fetch(window), f"doc_id {kind}, anchor long, digest long, start int, at int, words binary, digests array<long>, many boolean, last {kind}")
     spans_ = cut(spans_)
     drop(distinct)
     windows = spans_.select("anchor", "doc_id", "start", "last", F.posexplode("digests").alias("i", "d"))
@@ -284,28 +285,33 @@ def confirmed(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> tuple
     keep = windows.filter("f.doc_id < last").select("anchor", "f.*").groupBy("anchor", "doc_id", "start").agg(F.array_distinct(F.collect_list("i")).alias("confirmed"))
     hashes = F.transform("confirmed", lambda i: F.get("digests", i))
     out = cut(spans_.join(keep, ["anchor", "doc_id", "start"]).select("anchor", "doc_id", "start", "at", "words", "confirmed", hashes.alias("hashes")), "zstd")
-    homes = out.join(several(out), "anchor", "left_semi").select("anchor", "doc_id", "start", F.explode("hashes").alias("d"))
-    windows = spans_.join(several(out), "anchor", "left_semi").select("anchor", "digest", F.explode("digests").alias("d"))
-    needs = cut(windows.join(homes, ["anchor", "d"]).select("anchor", "digest", "doc_id", "start").distinct())
+    held = out.join(several(out), "anchor", "left_semi").select("anchor", "doc_id", "start", F.explode("hashes").alias("d"))
+    windows = spans_.filter("many").join(several(out), "anchor", "left_semi").select("anchor", "digest", F.explode("digests").alias("d"))
+    needs = cut(windows.join(held, ["anchor", "d"]).select("anchor", "digest", "doc_id", "start").distinct())
     drop(spans_)
     return out, needs
 
 
+def homes(passages: DataFrame) -> DataFrame:
+    """(anchor, lo, hi): the first and the last place of each anchor's passages; rows that repeat a place count once."""
+    place = F.struct("doc_id", "start")
+    return passages.groupBy("anchor").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+
+
 def several(passages: DataFrame) -> DataFrame:
     """Anchors with more than one passage."""
-    return passages.groupBy("anchor").count().filter("count > 1").select("anchor")
+    return homes(passages).filter("lo < hi").select("anchor")
 
 
 def dealt(found: DataFrame, passages: DataFrame, needs: DataFrame) -> DataFrame:
-    """(shard, doc_id, words, anchor, at, confirmed): a passage once for each shard in which a later document may have one of its windows."""
-    columns = ["shard", "doc_id", "words", "anchor", "at", "confirmed"]
-    many = several(passages)
+    """(shard, anchor, doc_id, start): a passage once for each shard in which a later document may have one of its windows."""
+    key, many = ["shard", "anchor", "doc_id", "start"], several(passages)
     # one row for each anchor and shard, however often it occurs there
     where = found.groupBy("anchor", "shard").agg(F.max("doc_id").alias("last"))
-    one = where.join(passages.join(many, "anchor", "left_anti"), "anchor").filter("doc_id < last").select(columns)
+    one = homes(passages).filter("lo = hi").select("anchor", "lo.*")
+    one = where.join(one, "anchor").filter("doc_id < last").select(key)
     spans_ = found.join(many, "anchor", "left_semi").groupBy("anchor", "digest", "shard").agg(F.max("doc_id").alias("last"))
-    wanted = spans_.join(needs, ["anchor", "digest"]).filter("doc_id < last").select("shard", "anchor", "doc_id", "start").distinct()
-    return one.unionByName(wanted.join(passages, ["anchor", "doc_id", "start"]).select(columns))
+    return one.unionByName(spans_.join(needs, ["anchor", "digest"]).filter("doc_id < last").select(key).distinct())
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = 8_000_000, with_text: bool = True) -> DataFrame:
@@ -320,7 +326,9 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "body"), F.lit(shards)).cast("int"))
     found = cut(texts.filter("doc_id IS NOT NULL").mapInArrow(_find(window, anchor), f"doc_id {kind}, shard int, anchor long, digest long, start int, n int, at int"))
     passages, needs = confirmed(texts.filter("doc_id IS NOT NULL"), found, window)
-    sent = dealt(found, passages, needs).withColumnRenamed("words", "body")
+    pairs = cut(dealt(found, passages, needs))
+    drop(found, needs)
+    sent = pairs.join(passages, ["anchor", "doc_id", "start"]).select("shard", "doc_id", F.col("words").alias("body"), "anchor", "at", "confirmed")
     rows = sent.unionByName(texts.withColumns({"anchor": F.lit(None).cast("long"), "at": F.lit(None).cast("int"), "confirmed": F.lit(None).cast("array<int>")}))
     rows = rows.repartition("shard").sortWithinPartitions("shard", F.col("at").isNull())
     return rows.select("shard", "doc_id", "body", "anchor", "at", "confirmed").mapInArrow(_strip(window, anchor, with_text), f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
