@@ -273,6 +273,37 @@ def test_seating_matches_exact_chinese_restaurant():
     assert lm.seated(np.full(n, c), np.full(n, a), d, np.arange(n, dtype=np.uint64) * np.uint64(2**40 + 7), 5)[0].mean() == pytest.approx(expected, rel=0.02)
 
 
+@pytest.mark.parametrize("d", [0.1, 0.6, 0.95])
+@pytest.mark.parametrize("c", [64, 65, 300, 2000])
+def test_seating_follows_its_law_for_any_number_of_customers(c, d):
+    """t tables weigh new^t times the generalised Stirling numbers, here by their recurrence; one draw is enough."""
+    log = np.full(c + 2, -np.inf)  # of c customers, by t
+    log[0] = 0.0
+    for k in range(1, c + 1):
+        with np.errstate(divide="ignore"):
+            log[1:] = np.logaddexp(log[:-1], log[1:] + np.log(np.maximum(k - 1 - d * np.arange(1, c + 2), 0.0)))
+        log[0] = -np.inf
+    t, n = np.arange(1, c + 1), 4000
+    for new in (0.3, 10.0, 40.0, 1000.0):
+        p = log[1:-1] + t * math.log(new)
+        p = np.exp(p - p.max())
+        p /= p.sum()
+        got = np.sort(lm.seated(np.full(n, c), np.full(n, new), d, np.arange(n, dtype=np.uint64) * np.uint64(2**40 + 7), 5)[0])
+        assert got[0] >= 1 and got[-1] <= c
+        assert got.mean() == pytest.approx((t * p).sum(), rel=0.02)
+        assert np.abs(np.cumsum(p) - np.searchsorted(got, t, side="right") / n).max() < 1.95 / math.sqrt(n)  # Kolmogorov, at 0.001
+
+
+def test_weights_of_seatings_keep_their_recurrence():
+    """S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t), also where no table of them can be held."""
+    for d in (0.1, 0.5, 0.95):
+        for c in (100.0, 1e4, 1e6, 1e8):
+            t = np.unique(np.geomspace(2, min(c, 1e6), 50).round())
+            many = np.full(len(t), c)
+            after, less, same = lm.log_arrangements(many + 1, t, d) + math.log(c + 1), lm.log_arrangements(many, t - 1, d), lm.log_arrangements(many, t, d)
+            assert np.exp(less - after) + np.exp(same - after) * (c - d * t) == pytest.approx(1, abs=1e-4)
+
+
 def test_seating_takes_and_gives():
     """Cells that shrink, grow and empty keep their customers."""
     sizes, tables = np.array([3, 1, 2, 5]), np.array([2, 1, 0, 1])

@@ -9,11 +9,10 @@ one event, which has the probability of all their spellings.
 Every restaurant seats its customers by the Chinese restaurant process with a discount
 and a strength. A table of a context restaurant is a customer of the restaurant of all
 words, and a table there spells the word once in the byte model. Seating is sampled by
-Gibbs, a block at a time: the customers of a word in a restaurant are seated anew given
-all others. Up to `EXACT` of them are drawn from the exact law of their tables; of more,
-`MOVES` at random leave their tables, one by one, and are seated anew. (The latter keeps
-the same law but moves slowly; a restaurant with so many customers of a word hardly
-depends on its tables.)
+Gibbs, a block at a time: all customers of a word in a restaurant are seated anew given
+all others, and the number of their tables is drawn from its exact law, however many they
+are. That law is held as a table up to `EXACT` customers; of more, its weights are contour
+integrals, evaluated for the few numbers of tables that a rejection from a hat asks for.
 
 Occurrences are shuffled once, by word, and a word's context and parent seatings are
 sampled together where its rows are. What words share, the numbers of customers and
@@ -50,8 +49,6 @@ START = CONTEXTS - 1
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Occurrences of a word in a block beyond which its counts come before them, and bytes of them in a row of their own.
 MANY, CHUNK = 256, 8 << 20
-#: Customers that a sweep seats anew, of a word that has more than EXACT in a restaurant.
-MOVES = 16
 
 
 # ---- occurrences
@@ -414,8 +411,12 @@ def uniform(key: np.ndarray, step: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
 
 
-#: Beyond as many customers of a dish, they are seated one at a time from the start.
+#: Customers of a dish up to which the weights of seatings are held as a table. The law is the same beyond.
 EXACT = 64
+#: Points of a contour integral and how far it goes, in widths of its peak: errors of a weight's logarithm are about 1e-7.
+NODES, WIDTHS = 32, 9.0
+#: Cells whose integrals are evaluated together.
+CELLS_AT_ONCE = 1024
 
 
 @cache
@@ -430,15 +431,114 @@ def arrangements(d: float) -> np.ndarray:
     return out
 
 
-def seated(c: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, step: int, sizes: np.ndarray | None = None, tables: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    """By Stirling's series, from 10 on; below by recurrence."""
+    x = np.maximum(n, 10.0) + 1
+    out = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    for k in range(1, 11):
+        out -= np.where(n < k, np.log(k), 0.0)
+    return out
+
+
+def log_arrangements(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of the weights of all seatings of c customers at t tables, over c!.
+
+    Of the power series of ((1 - (1-z)^d) / d)^t / t!, the coefficient at c, for which see the
+    generalised Stirling numbers: an integral around the cut from 1 on, through the saddle.
+    """
+    ratio = np.log(c) - np.log(t * d)
+    lo, hi = -ratio / (1 - d), np.minimum((np.log(t) - np.log(c)) / (1 - d), -1e-12)
+    v = (lo + hi) / 2  # logarithm of 1 - z at the saddle
+    for _ in range(12):
+        e, ed = -np.expm1(v), -np.expm1(d * v)
+        f = ratio + (1 - d) * v - np.log(e) + np.log(ed)
+        lo, hi = np.where(f < 0, v, lo), np.where(f < 0, hi, v)
+        v = v - f / (1 - d + np.exp(v) / e - d * np.exp(d * v) / ed)
+        v = np.where((v > lo) & (v < hi), v, (lo + hi) / 2)
+    v = np.clip(v, -np.log(c), np.log1p(-0.1 / c))
+    w, z, g = np.exp(v), -np.expm1(v), -np.expm1(d * v)
+    bend, slope = z / (4 * w), d * np.exp(d * v) / w * z / g
+    peak = t * slope * (1 + (1 - d) * z / w - slope) + 2 * bend * np.maximum(c - t * slope, 0)
+    upto = np.minimum(np.pi, WIDTHS / np.sqrt(np.maximum(peak, 1e-30)))
+    angle, bend = (np.arange(NODES) + 0.5) / NODES * upto[:, None], bend[:, None]
+    by = 4 * bend * np.sin(angle / 2) ** 2 + 1j * angle  # of the logarithm of z
+    power = t[:, None] * np.log1p(-np.exp(d * np.log(-np.expm1(np.log(z)[:, None] + by))))
+    near = t * np.exp(d * v) < 1  # to 1, whose integral is 0
+    at = np.where(near, 0.0, t * np.log(g))
+    values = np.exp(np.where(near[:, None], 0.0, power) - at[:, None] - c[:, None] * by)
+    values[near] *= np.expm1(power[near])
+    whole = (values * (1j + 2 * bend * np.sin(angle))).imag.sum(axis=1) * upto / (NODES * np.pi)
+    log = np.log(np.where(t == c, 1.0, whole)) + at - c * np.log(z) - log_factorial(t) - t * np.log(d)
+    return np.where(t == c, -log_factorial(c), log)
+
+
+def expected(c: np.ndarray, new: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """About the mean and the variance of the number of tables."""
+    x = c / new
+    v = np.minimum(-np.log1p(x), -np.log(x) / (1 - d))
+    for _ in range(8):
+        v = np.minimum(v + (np.log(-np.expm1(v)) - (1 - d) * v - np.log(x)) / (np.exp(v) / -np.expm1(v) + 1 - d), -1e-12)
+    mean = new / d * -np.expm1(d * v)
+    return mean, mean - c / (1 + (1 - d) * np.expm1(-np.maximum(v, -600.0)))
+
+
+def drawn(c: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, step: int) -> tuple[np.ndarray, int]:
+    """Numbers of tables of cells with any number of customers from 3 on, and the most proposals that a cell took.
+
+    The weights new^t S(c, t) are log-concave in t (their polynomial has real roots), so chords through
+    three of them, drawn on, are a hat: numbers are proposed by it, and kept by the exact weights.
+    """
+    c, new = c.astype(np.float64), np.maximum(new, 1e-290)
+
+    def weight(i: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return log_arrangements(c[i], t, d) + t * np.log(new[i])
+
+    mean, variance = expected(c, new, d)
+    s = np.maximum(1.0, np.round(1.4 * np.sqrt(np.maximum(variance, 0.25))))
+    m = np.clip(np.floor(mean + 1), 2, c - 1)
+    lo, hi = np.full(len(c), 2.0), c - 1
+    below, above, top, up, down = np.empty((5, len(c)))
+    todo, times = np.arange(len(c)), 1.0
+    while len(todo):  # until the greatest weight is about at m
+        i, a, b = todo, np.minimum(s[todo], m[todo] - 1), np.minimum(s[todo], c[todo] - m[todo])
+        left, mid, right = weight(np.tile(i, 3), np.concatenate([m[i] - a, m[i], m[i] + b])).reshape(3, -1)
+        below[i], above[i], top[i], up[i], down[i] = a, b, mid, (mid - left) / a, (right - mid) / b
+        lo[i], hi[i] = np.where(down[i] > 0, m[i], lo[i]), np.where(up[i] < 0, m[i], hi[i])
+        todo = i[((down[i] > 0) & (m[i] < hi[i])) | ((up[i] < 0) & (m[i] > lo[i]))]
+        to = m[todo] + np.where(down[todo] > 0, times, -times) * s[todo]
+        m[todo] = np.where((to > lo[todo]) & (to < hi[todo]), to, np.where(down[todo] > 0, np.ceil((lo[todo] + hi[todo]) / 2), np.floor((lo[todo] + hi[todo]) / 2)))
+        times *= 2
+    # the hat's pieces, from m outwards: first place, its logarithm there, its fall by place, places
+    first = np.stack([-below, np.zeros(len(c)), np.ones(len(c)), above])
+    slope = np.stack([up, down, up, down])
+    way = np.array([-1.0, -1.0, 1.0, 1.0])[:, None]
+    places = np.stack([m - below, below, above - 1, c - m - above + 1])
+    fall = -way * slope
+    fall = np.where(np.abs(fall) < 1e-12, 1e-12, fall)
+    area = np.cumsum(np.exp(slope * first) * (np.expm1(-fall * places) / np.expm1(-fall)), axis=0)
+    out, todo, rounds = np.zeros(len(c), np.int64), np.arange(len(c)), 0
+    while len(todo):
+        u = uniform(key[todo], step + 1 + 2 * rounds) * area[3, todo]
+        piece = np.minimum((area[:, todo] <= u).sum(axis=0), 3)
+        under = np.where(piece > 0, area[piece - 1, todo], 0.0)
+        u = (u - under) / (area[piece, todo] - under)
+        n, f = places[piece, todo], fall[piece, todo]
+        j = np.clip(np.floor(-np.log1p(u * np.expm1(-f * n)) / f), 0, n - 1)
+        k = first[piece, todo] + way[piece, 0] * j
+        with np.errstate(divide="ignore"):
+            keep = np.log(uniform(key[todo], step + 2 + 2 * rounds)) <= weight(todo, m[todo] + k) - top[todo] - slope[piece, todo] * k
+        out[todo[keep]] = (m[todo] + k)[keep]
+        todo, rounds = todo[~keep], rounds + 1
+    return out, rounds
+
+
+def seated(c: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, step: int) -> tuple[np.ndarray, int]:
     """Tables of the `c` customers of each cell, given the weight `new` of a new one: a Gibbs step.
 
-    A cell with at most EXACT customers is drawn as a whole: t tables weigh new^t times
-    the weights of all seatings at t tables. In others, `MOVES` customers are seated anew,
-    from the seating (`sizes`, `tables`; at first one table) that the step before left.
-    Returns the tables of all cells, and sizes and tables of the cells beyond EXACT.
+    Every cell is drawn as a whole: t tables weigh new^t times the weights of all seatings at
+    t tables. Returns the tables, and the most proposals that a cell took.
     """
-    t = np.minimum(c, 1)
+    t, rounds = np.minimum(c, 1), 0
     order = np.argsort(c, kind="stable")
     upto = np.searchsorted(c[order], np.arange(EXACT + 2))
     log, u = arrangements(d), uniform(key, step)
@@ -448,13 +548,11 @@ def seated(c: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, step: int,
             w = np.log(np.maximum(new[who], 1e-300))[:, None] * np.arange(k) + log[k, 1 : k + 1]
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
             t[who] = 1 + np.minimum((w < (u[who] * w[:, -1])[:, None]).sum(axis=1), k - 1)
-    who = np.sort(order[upto[EXACT + 1] :])
-    if sizes is None:
-        sizes, tables = c[who], np.ones(len(who), np.int64)
-    m = np.full(len(who), MOVES)
-    sizes, tables = reseat(sizes, tables, m, m, new[who], d, key[who], step)
-    t[who] = tables
-    return t, sizes, tables
+    for i in range(upto[EXACT + 1], len(order), CELLS_AT_ONCE):
+        who = order[i : i + CELLS_AT_ONCE]
+        t[who], n = drawn(c[who], new[who], d, key[who], step)
+        rounds = max(rounds, n)
+    return t, rounds
 
 
 def reseat(sizes: np.ndarray, tables: np.ndarray, take: np.ndarray, give: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, step: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -463,6 +561,7 @@ def reseat(sizes: np.ndarray, tables: np.ndarray, take: np.ndarray, give: np.nda
     A cell is a dish in a restaurant; `sizes` has the customers at each table, cell after
     cell, and `tables` how many a cell has. A customer joins a table of n with weight
     n - d, and opens one with weight `new`. Returns the sizes and the tables after that.
+    The model draws cells as a whole; this is the law that tests hold them to.
     """
     rounds = np.maximum(take, give)
     order = np.argsort(-rounds, kind="stable")
@@ -537,9 +636,8 @@ class Spelling:
         key = lambda k, n: (np.arange(n, dtype=np.uint64) << np.uint64(20)) + np.uint64(k)
         p0, p1 = np.full(257, 1 / 257), np.full((257, 257), 1 / 257)
         many = np.bincount(at2, minlength=len(ctx2)).astype(np.float64)  # tables by restaurant, at first one a dish
-        t2, kept = np.ones(len(c2), np.int64), (None, None)
         for k in range(sweeps if len(key2) else 0):
-            t2, *kept = seated(c2, (s + d2 * many[at2]) * p1[one[up2], sym2], d2, key(seed, len(c2)), k << 20, *kept)
+            t2 = seated(c2, (s + d2 * many[at2]) * p1[one[up2], sym2], d2, key(seed, len(c2)), k << 20)[0]
             many = np.bincount(at2, weights=t2, minlength=len(ctx2))
             c1 = np.bincount(up2, weights=t2, minlength=len(key1)).astype(np.int64)
             t1 = seated(c1, (s + d * np.bincount(one, minlength=257)[one]) * p0[sym1], d, key(seed + 1, len(c1)), k << 20)[0]
@@ -614,7 +712,7 @@ class Chain:
         self.key = self.root_key[self.row] + cells["ctx"].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
         self.base = shared.spelling.words(*flat(words, "u1"))
         self.c = cells["c"].astype(np.int64)
-        self.tables, self.kept = np.ones(len(cells), np.int64), (None, None)
+        self.tables = np.ones(len(cells), np.int64)
         self.root_c = ones + np.diff(starts)
         self.root_tables = np.minimum(self.root_c, 1)
         self.step = 0
@@ -624,7 +722,7 @@ class Chain:
         s, n = self.shared, len(self.ones)
         p = s.word(self.root_c, self.root_tables, self.base)
         new = (s.STRENGTH + s.d * s.t[self.cells["ctx"]]) * p[self.row]
-        self.tables, *self.kept = seated(self.c, new, s.d, self.key, self.step << 32, *self.kept)
+        self.tables = seated(self.c, new, s.d, self.key, self.step << 32)[0]
         self.root_c = self.ones + np.bincount(self.row, weights=self.tables, minlength=n).astype(np.int64)
         self.root_tables = seated(self.root_c, (s.ROOT_STRENGTH + s.root_d * s.root_t) * self.base, s.root_d, self.root_key, self.step << 32)[0]
         self.step += 1
