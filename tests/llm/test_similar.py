@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from weftline.llm import simhash
 
@@ -52,3 +54,35 @@ def test_near_duplicates_match_all_pairs(spark):
 
 def test_empty(empty):
     assert simhash.keep_similar(empty).count() == 0
+
+
+def test_a_shards_tree_finds_what_all_pairs_find():
+    """Families of near fingerprints, equal ones, and others: every pair within the radius once, and families don't meet."""
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 2**63, (20, 2), dtype=np.uint64)
+    flips = np.packbits(rng.random((20 * 100, 128)) < 0.05, axis=1).view(np.uint64)
+    f = np.concatenate([np.repeat(centres, 100, axis=0) ^ flips, rng.integers(0, 2**63, (50, 2), dtype=np.uint64), np.repeat(centres[:1], 60, axis=0)])
+    root = np.sort(rng.integers(0, len(f) // 2, len(f)))
+    f = f[rng.permutation(len(f))]
+    a, b = np.triu_indices(len(f), 1)
+    near = (np.bitwise_count(f[a] ^ f[b]).sum(axis=1) <= 30) & (root[a] != root[b])
+    expected = sorted(zip(a[near].tolist(), b[near].tolist(), strict=True))
+    for leaf in (100, 1000, 1 << 30):
+        found = list(simhash.near_pairs(f, root, 30, leaf))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        assert (root[i] != root[j]).all() and len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i)
+        use = np.bitwise_count(f[i] ^ f[j]).sum(axis=1) <= 30
+        assert sorted(zip(i[use].tolist(), j[use].tolist(), strict=True)) == expected
+        assert leaf == 1 << 30 or len(i) < len(a) / 4
+
+
+def test_long_shards_go_through_the_tree(spark):
+    """What members of a shard make of each other is the same whether shards are leaves or trees."""
+    rng = np.random.default_rng(5)
+    f = np.repeat(rng.integers(0, 2**63, (4, 2), dtype=np.uint64), 120, axis=0) ^ np.packbits(rng.random((480, 128)) < 0.06, axis=1).view(np.uint64)
+    rows = [(k % 3 // 2, k, 100, int(x), int(y), k // 2) for k, (x, y) in enumerate(f.view(np.int64).tolist())]
+    df = spark.createDataFrame(rows, "s long, h long, n int, f0 long, f1 long, root long")
+    expected = {(x[1], y[1]) for x in rows for y in rows if x[1] < y[1] and x[0] == y[0] and x[5] != y[5] and (x[3] ^ y[3]).__and__(2**64 - 1).bit_count() + (x[4] ^ y[4]).__and__(2**64 - 1).bit_count() <= simhash.FAR}
+    assert len(expected) > simhash.LEAF / 2
+    assert {(r.a, r.b) for r in simhash.met(df, simhash.SHARE, "all").collect()} == expected

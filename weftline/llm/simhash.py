@@ -16,9 +16,11 @@ a dense group doesn't make all its pairs. Copies share one fingerprint and enter
 once. Components come from randomised contraction, by joins and minima.
 
 `keep_similar` is for a Jaccard similarity of word shingles, at which fingerprints differ
-in many bits. It takes longer fingerprints, deals them to shards by samples of their bits
-(the restricted distance is 0 again), holds the members of a shard against each other by
-the whole distance, those that are near by a wide fingerprint too, and links the pairs whose shingles reach the similarity. So no link is
+in many bits. It takes longer fingerprints. The upper levels of its trees measure the distance to
+a vantage point on one sampled bit each, so that a pair in a shard has the restricted distance 0 again. Below,
+a shard that is more than a leaf goes on as a vantage-point tree over the whole distance (`near_pairs`): branches whose
+distances to a vantage point differ by more than the radius never meet. Pairs that are near by a wide
+fingerprint too are linked if their shingles reach the similarity. So no link is
 below it; `recall` gives the share of the pairs at a similarity that meet in a shard.
 
 Defined cases: a null or empty text has fingerprint 0, linked like any other; a very long
@@ -232,6 +234,8 @@ BITS, TABLES, SAMPLED = 128, 60, 14
 FAR = 30
 #: Bits of a wide fingerprint, and in how many texts of the similarity may differ: the mean at 0.8 is 621, the standard deviation 23.
 WIDE, WIDE_FAR = 4096, 690
+#: Pairs of different roots that a leaf of a shard's tree has at most.
+LEAF = 1 << 14
 #: Rounds in which a shard's members are held against one of them only, and the shards of each.
 STARS, STAR_TABLES = 2, 8
 
@@ -276,8 +280,9 @@ def recall(differing: int, tables: int = TABLES, sampled: int = SAMPLED, bits: i
 
 
 def dealt(each: DataFrame, tables: range) -> DataFrame:
-    """(s, h, n, f0, f1, root): every set's shard in each of the tables."""
+    """(s, h, n, f0, f1, root): every set's shard in each tree: its distances to the tree's vantage points, on a bit each."""
     places = samples()[tables.start : tables.stop]
+    vantage = np.array([[_vantage(t, k, 0) & 1 for k in range(SAMPLED)] for t in tables], np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(places.shape[1])
@@ -285,7 +290,7 @@ def dealt(each: DataFrame, tables: range) -> DataFrame:
             fp = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3)], axis=1)
             on = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
             for t, at in enumerate(places):
-                s = (tables.start + t) << SAMPLED | (on[:, at] * weights).sum(axis=1)
+                s = (tables.start + t) << SAMPLED | ((on[:, at] ^ vantage[t]) * weights).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(s), *b.columns], ["s", *b.schema.names])
 
     return each.select("h", "n", "f0", "f1", "root").mapInArrow(run, "s long, h long, n int, f0 long, f1 long, root long")
@@ -306,6 +311,67 @@ def star_pairs(rows: DataFrame, salt: int, share: tuple[int, int]) -> DataFrame:
     return met.select(F.least("x.h", "hub.h").alias("a"), F.greatest("x.h", "hub.h").alias("b")).distinct()
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) for each place from lo to hi of each row."""
+    many = np.maximum(hi - lo, 0)
+    row = np.repeat(np.arange(len(lo)), many)
+    return row, np.arange(len(row)) + np.repeat(lo - (np.cumsum(many) - many), many)
+
+
+def near_pairs(f: np.ndarray, root: np.ndarray, radius: int, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows whose roots differ, among them all within `radius` bits, each once: a vantage-point tree joined with itself.
+
+    A node is two sets of rows (or one, with itself). One is split by the distance to a vantage
+    point of its own, at a gap wider than the radius or at the median; by the triangle bound, each part meets only rows that are at most `radius` nearer or farther.
+    A node is a leaf when few pairs of different roots are left. `root` ascends.
+    """
+
+    def distance(rows: np.ndarray, v: int) -> np.ndarray:
+        return np.bitwise_count(f[rows] ^ f[v]).sum(axis=1, dtype=np.int64)
+
+    def within(d: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return (d >= of.min() - radius) & (d <= of.max() + radius)
+
+    stack: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(f)), None)]
+    while stack:
+        a, b = stack.pop()
+        if not len(a) or b is not None and not len(b):
+            continue
+        if b is None:
+            after = np.searchsorted(root[a], root[a], side="right")
+            many = int((len(a) - after).sum())
+        else:
+            if len(a) < len(b):
+                a, b = b, a
+            before, after = (np.searchsorted(root[b], root[a], side=x) for x in ("left", "right"))
+            many = int((len(b) - after + before).sum())
+        if many <= leaf or len(a) < 2:
+            if many:
+                i, j = _ranges(after, np.full(len(a), len(a if b is None else b)))
+                if b is None:
+                    yield a[i], a[j]
+                else:
+                    k, m = _ranges(np.zeros(len(a), np.int64), before)
+                    yield np.concatenate([a[i], a[k]]), np.concatenate([b[j], b[m]])
+            continue
+        v = int(a[_vantage(len(a), int(a[0])) % len(a)])
+        d = distance(a, v)
+        up = np.sort(d)
+        k = int(np.argmax(np.diff(up)))
+        gap = up[k + 1] - up[k] > radius and min(k + 1, len(a) - k - 1) ** 2 >= len(a)
+        inner = d <= (up[k] if gap else up[len(a) // 2])
+        if inner.all():
+            inner = d < d.max()
+        if not inner.any():  # all as far: no bound tells them apart
+            inner = np.arange(len(a)) < len(a) // 2
+        near, far = a[inner], a[~inner]
+        if b is None:
+            stack += [(near, None), (far, None), (near[within(d[inner], d[~inner])], far[within(d[~inner], d[inner])])]
+        else:
+            e = distance(b, v)
+            stack += [(near, b[within(e, d[inner])]), (far, b[within(e, d[~inner])])]
+
+
 def met(rows: DataFrame, share: tuple[int, int], what: str) -> DataFrame:
     """What members of a shard whose roots differ make of each other, if they may reach the share.
 
@@ -322,6 +388,9 @@ def met(rows: DataFrame, share: tuple[int, int], what: str) -> DataFrame:
         new |= np.concatenate([[True], root[1:] != root[:-1]])
         behind = np.append(np.flatnonzero(new), len(s))[np.cumsum(new)]
         many = ends - behind
+        of = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1
+        long = np.bincount(of, weights=many) > LEAF
+        many = np.where(long[of], 0, many)
         upto = np.cumsum(many)
         least, other = np.full(len(s), np.iinfo(np.int64).max), np.full(len(s), -1)
 
@@ -335,12 +404,19 @@ def met(rows: DataFrame, share: tuple[int, int], what: str) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        lo = 0
-        while lo < len(s):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20), side="right")))
-            m = many[lo:hi]
-            i = np.repeat(np.arange(lo, hi), m)
-            j = np.repeat(behind[lo:hi] - (np.cumsum(m) - m), m) + np.arange(len(i))
+        def leaves() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            lo = 0
+            while lo < len(s):  # shards that are leaves, many at once
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20), side="right")))
+                i, j = _ranges(behind[lo:hi], behind[lo:hi] + many[lo:hi])
+                yield i + lo, j
+                lo = hi
+            for k in np.flatnonzero(long):
+                lo, hi = np.searchsorted(of, (k, k + 1))
+                for i, j in near_pairs(np.stack([f0[lo:hi], f1[lo:hi]], axis=1), root[lo:hi], FAR):
+                    yield i + lo, j + lo
+
+        for i, j in leaves():
             d = np.bitwise_count(f0[i] ^ f0[j]).astype(np.int64) + np.bitwise_count(f1[i] ^ f1[j])
             use = d <= FAR
             i, j, d = i[use], j[use], d[use]
@@ -356,7 +432,6 @@ def met(rows: DataFrame, share: tuple[int, int], what: str) -> DataFrame:
             elif len(i):
                 nearer(i, j, d)
                 nearer(j, i, d)
-            lo = hi
         found = np.flatnonzero(other >= 0)
         if what == "some":
             yield from batch(s[found], h[found])
