@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import langid, mixing, packing, quality, simhash
-from weftline.llm.common import cut, remove, scratch, shared_dir
+from weftline.llm.common import remove, scratch, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 ids, with their ids and their place in a sequence."""
-    return packing.pack(cut(packing.pieces(docs, with_ids=True)))
+    return packing.pack_with_ids(docs)
 
 
 STAGES = [("language", language), ("quality", rules), ("near_duplicates", near_duplicates), ("mix", mix), ("packing", packed)]

@@ -1,11 +1,14 @@
 import base64
 import random
+import re
+import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import simhash
+from weftline.llm import packing, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,3 +69,21 @@ def test_packed_ids_are_those_of_the_texts(spark, docs):
         of.setdefault(r.doc_id, []).extend(r.ids)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert of == {i: [*encode(t), END] for i, t in texts.items()}
+
+
+def test_ids_are_neither_sorted_nor_sent_through_python_again(spark, docs):
+    """Places are found without the ids, which then are the same as if they had gone along: repeated, null and clashing document ids too."""
+    docs = docs.select(*COLUMNS)
+    some = docs.union(docs.filter("doc_id in (203, 101, 7)")).union(docs.filter("doc_id = 204").withColumn("doc_id", F.lit(None).cast("long"))).union(docs.filter("doc_id = 5").withColumn("doc_id", F.lit(6)))
+    out = corpus_pipeline.packed(spark, some, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    python, window = ([k for k, x in enumerate(plan) if name in x] for name in ("MapInArrow", "Window"))
+    assert python and window and not any(re.search(r"\bids#", plan[k]) for k in python)
+    depth = lambda k: re.search(r"[A-Z]", plan[k]).start()
+    for k in window:
+        below = next((j for j in range(k + 1, len(plan)) if depth(j) <= depth(k)), len(plan))
+        assert not any("Project" in x and re.search(r"\bids#", x) for x in plan[k:below])
+    got = out.collect()
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, packing.pack(packing.pieces(some, with_ids=True)).select(out.columns).collect()))
+    assert out.select(F.countDistinct("sequence_id", "offset")).head()[0] == len(got)

@@ -164,7 +164,8 @@ def pack(pieced: DataFrame, capacity: int = CAPACITY, rows: int = 50_000) -> Dat
     Ranks within a length are made by (length, bucket), with a bucket for about `rows`
     pieces of the length, so that a length that most pieces have is dealt to many tasks.
     The driver gets the histogram and a count for each bucket; the plan and these counts
-    are what tasks get.
+    are what tasks get. Further columns are sorted and passed through Python with their
+    bucket, so they should be short; `pack_with_ids` is for the ids.
     """
     histogram = dict(map(tuple, pieced.groupBy("length").count().collect()))
     many = [-(-histogram.get(n, 0) // rows) or 1 for n in range(capacity + 1)]
@@ -208,10 +209,23 @@ def pack(pieced: DataFrame, capacity: int = CAPACITY, rows: int = 50_000) -> Dat
 
     within = Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = pieced.withColumn("__r", F.row_number().over(within).cast("long"))
-    ids = ["ids"] if "ids" in pieced.columns else []
-    id_type = pieced.schema["doc_id"].dataType.simpleString()
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "__b", "__r", *ids)
-    return ranked.mapInArrow(run, f"doc_id {id_type}, {PIECES}, sequence_id long, offset long" + ", ids array<int>" * len(ids))
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    more = [c for c in pieced.columns if c not in (*own, "__b")]
+    id_type, *types = (pieced.schema[c].dataType.simpleString() for c in ("doc_id", *more))
+    ranked = ranked.select(*own, "__b", "__r", *more)
+    return ranked.mapInArrow(run, ", ".join([f"doc_id {id_type}, {PIECES}, sequence_id long, offset long", *map("{} {}".format, more, types)]))
+
+
+def pack_with_ids(docs: DataFrame, capacity: int = CAPACITY, **how: object) -> DataFrame:
+    """The pieces of `docs` with their place and their ids; `how` is as for `pieces`.
+
+    A piece's ids are some 4 KB and its place needs none of them. Pieces are numbered as they
+    are written and packed without ids, and ids get the places by these numbers. That join hashes the
+    places and streams the ids: they are shuffled once, evenly, and neither sorted nor held.
+    """
+    pieced = cut(pieces(docs, capacity=capacity, with_ids=True, **how).withColumn("__row", F.monotonically_increasing_id()))
+    places = pack(pieced.drop("ids"), capacity)
+    return places.hint("shuffle_hash").join(pieced.select("__row", "ids"), "__row").drop("__row")
 
 
 def op6(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
