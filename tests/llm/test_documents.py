@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -294,6 +295,51 @@ def test_seating_follows_its_law_for_any_number_of_customers(c, d):
         assert np.abs(np.cumsum(p) - np.searchsorted(got, t, side="right") / n).max() < 1.95 / math.sqrt(n)  # Kolmogorov, at 0.001
 
 
+@pytest.mark.parametrize("c", [65, 300, 512])
+def test_seatings_of_hundreds_are_drawn_from_a_table(c, monkeypatch):
+    """No integral is evaluated for them, and what is drawn by integrals beyond has the same law."""
+    n, d = 4000, 0.7
+    cells, new, key = np.full(n, c), np.linspace(0.5, 40, n), np.arange(n, dtype=np.uint64) * np.uint64(2**40 + 7)
+    far, _ = lm.drawn(cells, new, d, key, 5)
+    monkeypatch.setattr(lm, "log_arrangements", None)
+    got, rounds = lm.seated(cells, new, d, key, 5)
+    assert rounds == 0 and got.min() >= 1 and got.max() <= c
+    assert got.mean() == pytest.approx(far.mean(), rel=0.02)
+    mixed = np.random.default_rng(3).permutation(np.repeat([1, 2, 64, c], n // 4))
+    assert (lm.seated(mixed, new, d, key, 5)[0] == np.array([lm.seated(mixed[i : i + 1], new[i : i + 1], d, key[i : i + 1], 5)[0][0] for i in range(n)])).all()
+
+
+def test_sums_by_context_cost_what_is_added():
+    """A few contexts more take no array of all contexts."""
+    sums = lm.Sums()
+    sums.count(lm.TABLES, np.array([3, 3, 9], "<u4"))
+    tracemalloc.start()
+    sums.count(lm.TABLES, np.array([9, lm.START], "<u4"), np.array([1 << 33, 2]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < lm.CONTEXTS // 8
+    assert {i: sums.by[lm.TABLES][i] for i in np.flatnonzero(sums.by[lm.TABLES]).tolist()} == {3: 2, 9: 1 + (1 << 33), lm.START: 2}
+
+
+def test_chunks_of_a_word_share_its_chain(docs, monkeypatch):
+    """In a batch and from batch to batch a word's seatings are sampled once, with the results of each row alone."""
+    rows = lm.gathered(lm.occurrences(docs, many=2), 1)
+    model = lm.fit(rows)
+    found = rows.filter("word IS NOT NULL").select("word", "cells", "ones", "blocks", "counts", "occ").toArrow().combine_chunks().sort_by("word")
+    alone = [lm.mean_probability(model, b)[0] for b in found.to_batches(max_chunksize=1)]
+    seen, chain = Counter(), lm.Chain
+    monkeypatch.setattr(lm, "Chain", lambda shared, words, *a: seen.update(words.to_pylist()) or chain(shared, words, *a))
+    parts, before = [], None
+    for b in (share for b in found.to_batches(max_chunksize=50) for share in lm.shares(b, 400)):
+        assert b.num_rows == 1 or b.column("occ").nbytes <= 400 + 8 * (b.num_rows + 1)
+        part, before = lm.mean_probability(model, b, before)
+        parts.append(part)
+    assert set(seen.values()) == {1} and len(seen) == len(set(found["word"].to_pylist())) < found.num_rows
+    for k in (1, 2, 3, 5):
+        assert np.concatenate([x[k] for x in parts]) == pytest.approx(np.concatenate([x[k] for x in alone]))
+    assert np.concatenate([x[4][x[0]] for x in parts]).tolist() == np.concatenate([x[4][x[0]] for x in alone]).tolist()
+
+
 def test_weights_of_seatings_keep_their_recurrence():
     """S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t), also where no table of them can be held."""
     for d in (0.1, 0.5, 0.95):

@@ -31,7 +31,7 @@ an empty result. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ START = CONTEXTS - 1
 #: Documents in a block at most (an occurrence names one by 12 bits), and bytes.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Occurrences of a word in a block beyond which its counts come before them, and bytes of them in a row of their own.
-MANY, CHUNK = 256, 8 << 20
+MANY, CHUNK = 256, 4 << 20
 
 
 # ---- occurrences
@@ -195,8 +195,9 @@ class Sums:
         self.single[key] = self.single.get(key, 0.0) + float(value)
 
     def count(self, field: int, ctx: np.ndarray, n: np.ndarray | None = None) -> None:
-        self.by.setdefault(field, np.zeros(CONTEXTS))
-        self.by[field] += np.bincount(ctx, weights=n, minlength=CONTEXTS)
+        if field not in self.by:
+            self.by[field] = np.zeros(CONTEXTS)
+        np.add.at(self.by[field], ctx.astype(np.intp), 1.0 if n is None else n.astype(np.float64))  # its cost is that of `ctx`, not of all contexts
 
     def spell(self, word: tuple[np.ndarray, np.ndarray], tables: np.ndarray) -> None:
         """Byte trigrams, once for each of a word's tables."""
@@ -411,15 +412,17 @@ def uniform(key: np.ndarray, step: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
 
 
-#: Customers of a dish up to which the weights of seatings are held as a table. The law is the same beyond.
-EXACT = 64
+#: Customers of a dish up to which the weights of seatings are held as a table (2 MB). The law is the same beyond.
+EXACT = 512
+#: Customers up to which all cells with as many are drawn together; of more, as many cells at once as `TOGETHER`, by size.
+ALIKE, TOGETHER = 64, 64
 #: Points of a contour integral and how far it goes, in widths of its peak: errors of a weight's logarithm are about 1e-7.
 NODES, WIDTHS = 32, 9.0
 #: Cells whose integrals are evaluated together.
 CELLS_AT_ONCE = 1024
 
 
-@cache
+@lru_cache(maxsize=4)
 def arrangements(d: float) -> np.ndarray:
     """Logarithms of the weights of all seatings of c customers at t tables, generalised Stirling numbers: row c, column t."""
     out = np.full((EXACT + 1, EXACT + 1), -np.inf)
@@ -542,12 +545,19 @@ def seated(c: np.ndarray, new: np.ndarray, d: float, key: np.ndarray, step: int)
     order = np.argsort(c, kind="stable")
     upto = np.searchsorted(c[order], np.arange(EXACT + 2))
     log, u = arrangements(d), uniform(key, step)
-    for k in range(2, EXACT + 1):
+
+    def by_table(who: np.ndarray, rows: np.ndarray) -> None:
+        w = np.log(np.maximum(new[who], 1e-300))[:, None] * np.arange(rows.shape[-1]) + rows
+        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+        t[who] = 1 + np.minimum((w < (u[who] * w[:, -1])[:, None]).sum(axis=1), c[who] - 1)
+
+    for k in range(2, ALIKE + 1):
         who = order[upto[k] : upto[k + 1]]
         if len(who):
-            w = np.log(np.maximum(new[who], 1e-300))[:, None] * np.arange(k) + log[k, 1 : k + 1]
-            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            t[who] = 1 + np.minimum((w < (u[who] * w[:, -1])[:, None]).sum(axis=1), k - 1)
+            by_table(who, log[k, 1 : k + 1])
+    for i in range(upto[ALIKE + 1], upto[EXACT + 1], TOGETHER):
+        who = order[i : min(i + TOGETHER, upto[EXACT + 1])]
+        by_table(who, log[c[who], 1 : c[who[-1]] + 1])
     for i in range(upto[EXACT + 1], len(order), CELLS_AT_ONCE):
         who = order[i : i + CELLS_AT_ONCE]
         t[who], n = drawn(c[who], new[who], d, key[who], step)
@@ -802,18 +812,31 @@ def fit(gathered_: DataFrame, burn: int = 1, kept: int = 2, seed: int = 1) -> Mo
     return Model(shared, [sample(found, k, shared.spelling) for k in range(kept)], found[SEEN], seed + 1, burn, int(first[TOKENS]), int(first[TYPES]))
 
 
-def mean_probability(model: Model, b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """For the occurrences of some words' rows: (row, context, place in its block, block, training count of the word, probability)."""
-    n = b.num_rows
+#: The word of the last row seen, its cells' own parts and its probabilities in the parent, for the chunks of it that follow.
+Before = tuple[bytes, np.ndarray, np.ndarray] | None
+
+
+def mean_probability(model: Model, b: pa.RecordBatch, before: Before = None) -> tuple[tuple[np.ndarray, ...], Before]:
+    """For the occurrences of some words' rows: (word's number, context, place in its block, block, training count of each word, probability).
+
+    A word's chain runs once, however many of its rows follow each other.
+    """
     occ, at = flat(b.column("occ"), OCC)
-    row = np.repeat(np.arange(n), np.diff(at))
+    new = changes(b.column("word"))
+    row = np.repeat(np.cumsum(new) - 1, np.diff(at))
     ctx, doc = (occ >> 12).astype(np.int64), occ & 4095
     blocks, _ = flat(b.column("blocks"), "<i8")
     block = np.repeat(blocks, flat(b.column("counts"), "<u4")[0])
+    b = b.select(["word", "cells", "ones"]).take(pa.array(np.flatnonzero(new)))
+    n, words = b.num_rows, b.column("word")
     cells, starts = flat(b.column("cells"), CELL)
     ones, cell_row = b.column("ones").to_numpy(), np.repeat(np.arange(n), np.diff(starts))
     c = np.bincount(cell_row, weights=cells["c"], minlength=n) + ones
-    own, p = model.probabilities(b.column("word"), cells, starts, ones)
+    done = int(before is not None and words[0].as_py() == before[0])
+    own, p = model.probabilities(words.slice(done), cells[starts[done] :], starts[done:] - starts[done], ones[done:])
+    if done:
+        own, p = np.concatenate([before[1], own]), np.concatenate([before[2], p], axis=1)
+    before = words[n - 1].as_py(), own[starts[n - 1] :].copy(), p[:, n - 1 :].copy()
     have, want = cell_row << CONTEXT_BITS | cells["ctx"].astype(np.int64), row << CONTEXT_BITS | ctx
     mine = np.zeros(len(want))
     if len(have):
@@ -827,7 +850,18 @@ def mean_probability(model: Model, b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     total = mine
     for k, s in enumerate(model.samples):
         total = total + s.back(ctx) * p[k][row] / len(model.samples)
-    return row, ctx, doc, block, c, total
+    return (row, ctx, doc, block, c, total), before
+
+
+def shares(b: pa.RecordBatch, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in turn, as many at once as have `size` bytes of occurrences, or one."""
+    import pyarrow.compute as pc
+
+    upto, lo = np.cumsum(pc.binary_length(b.column("occ")).to_numpy()), 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, side="right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
 
 
 SUM = np.dtype([("doc", "<u2"), ("known", "<u4"), ("base", "<f8"), ("score", "<f4")])
@@ -838,7 +872,7 @@ def score(gathered_: DataFrame, model: Model) -> DataFrame:
     sent = gathered_.sparkSession.sparkContext.broadcast(model)
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held = sent.value, {}
+        model, held, before = sent.value, {}, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             for block, sums in held.items():
@@ -848,10 +882,8 @@ def score(gathered_: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["block", "sums"])
             held.clear()
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            row, _, doc, block, c, p = mean_probability(model, b)
+        for b in (share for b in batches for share in shares(b)):
+            (row, _, doc, block, c, p), before = mean_probability(model, b, before)
             known, base = c > 0, np.log10((c + 1) / (model.tokens + model.types + 1))
             values = np.stack([known[row], base[row], np.log10(p), np.ones(len(row))], axis=1)
             order = np.argsort(block, kind="stable")
