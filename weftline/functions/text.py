@@ -69,9 +69,7 @@ def path_part(position: Column, n: int = 2) -> Column:
     return F.split_part(position, F.lit("."), F.lit(n)).try_cast("int")
 
 
-@F.arrow_udf(StringType())
-def nfc(s: pa.Array) -> pa.Array:
-    """Canonical composition; Spark has no built-in for it. ASCII is composed as it is."""
+def composed(s: pa.Array) -> pa.Array:
     plain = pc.fill_null(pc.string_is_ascii(s), True)
     if pc.all(plain).as_py() is not False:
         return s
@@ -79,6 +77,12 @@ def nfc(s: pa.Array) -> pa.Array:
     return pc.replace_with_mask(s, pc.invert(plain), made)
 
 
+@F.arrow_udf(StringType())
+def nfc(s: pa.Array) -> pa.Array:
+    """Canonical composition; Spark has no built-in for it. ASCII is composed as it is."""
+    return composed(s)
+
+
 # Patterns of what a translation must not change, in the order in which they are masked.
 PROTECTED = [
     r"https?://\S+",
