@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.sources.ooxml import XML, Package, R, batches_of, escaped, uncollected, walked
+from weftline.sources.ooxml import GIVEN, SAID, XML, Package, R, Short, batches_of, escaped, rarely_collected, unescaped, walked
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 FORMAT = ("bold", "italic", "underline", "color", "font", "size")
@@ -133,12 +133,7 @@ class Looks(dict):
         return self[look]
 
 
-NAME, MARK = "w:[A-Za-z][A-Za-z0-9]*", "stretch-of-runs"
-GIVEN = f'(?: {NAME}="[^"<>&\\x00-\\x1f]*")*'
-SAID = "[^<>&\\x00-\\x08\\x0b-\\x1f\\ufffe\\uffff]*+"
-#: A run that says one text or none, and whose properties are elements without content: its head, the text's attribute, the text.
-PLAIN = re.compile(f'(<w:r{GIVEN}>(?:<w:rPr>(?:<{NAME}{GIVEN} ?/>)*</w:rPr>)?)(?:<w:t( xml:space="preserve")?>({SAID}(?:&(?:amp|lt|gt|quot|apos);{SAID})*)</w:t>)?</w:r>')
-MARKED = re.compile(f'<w:r {MARK}="([0-9]+)" />')
+ATTRIBUTES, NAME = GIVEN.format("w:"), "w:[A-Za-z][A-Za-z0-9]*"
 START, END = '<w:t xml:space="preserve">', "</w:t></w:r>"
 
 
@@ -154,42 +149,15 @@ class Stretch:
         return "".join([f"{h}{x}</w:r>" if t is None else f"{h}<w:t{t}>{x}</w:t></w:r>" for h, t, x in zip(self.heads, self.tags, self.texts, strict=True)])
 
 
-class Document(Package):
-    """A DOCX file whose trees have an element for each stretch of plain runs instead of several for each run, which take most of the time."""
-
-    def __init__(self, content: bytes):
-        super().__init__(content)
-        self.stretches: list[Stretch] = []
-        self.marked: dict[ElementTree.Element, Stretch] = {}
-
-    def tree(self, name: str) -> ElementTree.Element:
-        if name not in self.trees:
-            before, part = len(self.stretches), self._short(self.parts[name])
-            self.trees[name] = ElementTree.fromstring(part)
-            if len(self.stretches) > before:
-                self.marked |= {r: self.stretches[int(r.get(MARK))] for r in self.trees[name].iter(WR) if MARK in r.attrib}
-        return self.trees[name]
-
-    def _short(self, part: bytes) -> bytes | str:
-        """The part with its stretches marked, if w is what it usually is, throughout, and nothing can hide a run."""
-        start = part.find(b"?>") + 2 if part.startswith(b"<?xml") else 0
-        prolog, root = part[:start].lower(), part[start : part.find(b">", start)]
-        if b"encoding" in prolog and b"utf-8" not in prolog or b"<!" in part or part.find(b"<?", 1) >= 0 or MARK.encode() in part:
-            return part
-        if part.count(W[1:-1].encode()) != 1 or part.count(b"xmlns:w=") != 1 or f'xmlns:w="{W[1:-1]}"'.encode() not in root:
-            return part
-        found = PLAIN.split(part[start:].decode())
-        between, heads, tags, texts = (found[i::4] for i in range(4))
-        ends = [i for i, x in enumerate(between) if x]
-        if ends[0] or ends[-1] != len(heads):
-            return part
+class Document(Short):
+    #: A run that says one text or none, and whose properties are elements without content: its head, the text's attribute, the text.
+    plain = re.compile(f'(<w:r{ATTRIBUTES}>(?:<w:rPr>(?:<{NAME}{ATTRIBUTES} ?/>)*</w:rPr>)?)(?:<w:t( xml:space="preserve")?>({SAID})</w:t>)?</w:r>')
+    tag, prefix, space = "r", "w", W[1:-1]
+
+    def stretch(self, heads: list[str], tags: list[str | None], texts: list[str | None]) -> Stretch:
         for h in set(heads):
             _look(h)  # fails where an attribute is given twice
-        out = [between[0]]
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            out.append(f'<w:r {MARK}="{len(self.stretches)}"/>{between[b]}')
-            self.stretches.append(Stretch(heads[a:b], [None if x is None else t or "" for t, x in zip(tags[a:b], texts[a:b], strict=True)], [x or "" for x in texts[a:b]]))
-        return "".join(out)
+        return Stretch(heads, [None if x is None else t or "" for t, x in zip(tags, texts, strict=True)], [x or "" for x in texts])
 
     def opened(self, node: ElementTree.Element) -> ElementTree.Element:
         """With its own runs in place of their stretches."""
@@ -198,14 +166,6 @@ class Document(Package):
                 node[i : i + 1] = list(ElementTree.fromstring(f'<w:p xmlns:w="{W[1:-1]}">{found}</w:p>'))
         return node
 
-    def _serialized(self, name: str) -> bytes:
-        out = super()._serialized(name)
-        return out if MARK.encode() in self.parts[name] else MARKED.sub(lambda m: str(self.stretches[int(m[1])]), out.decode()).encode()
-
-
-def _unescaped(text: str) -> str:
-    return text.replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&apos;", "'").replace("&amp;", "&")
-
 
 @lru_cache(4096)
 def _look(head: str) -> tuple:
@@ -238,7 +198,7 @@ class Read:
                     if stretch := document.marked.get(r):
                         for h in set(stretch.heads) - heads.keys():
                             heads[h] = formats[_look(h)]
-                        texts += [_unescaped(t) if "&" in t else t for t in stretch.texts]
+                        texts += map(unescaped, stretch.texts)
                         looks += [heads[h] for h in stretch.heads]
                     else:
                         texts.append(run_text(r))
@@ -268,7 +228,7 @@ def _links(document: Document, p: ElementTree.Element) -> ElementTree.Element:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Read]:
-    with uncollected():
+    with rarely_collected():
         found = Read()
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
@@ -397,7 +357,7 @@ def written_to(files: DataFrame, writes: DataFrame) -> DataFrame:
                     rows = writes.values
                     yield path.as_py(), with_rows(content.as_py(), [] if rows is None else zip(*(rows.field(c).to_pylist() for c in WRITE), strict=True))
 
-        with uncollected():
+        with rarely_collected():
             yield from batches_of(files())
 
     return files.join(writes, "path", "left").select("path", "content", "writes").mapInArrow(write, "path string, content binary")
